@@ -6,6 +6,8 @@ evaluated next to the data, without Python workers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,11 +141,15 @@ def is_noise(op: Column) -> Column:
     return has_prefix(op, LOOP_PREFIXES["noise"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _symbolic(operand: Column) -> Column:
-    bare = strip(F.regexp_replace(operand, r"^[+\-]+", ""))
-    bare = strip(F.regexp_replace(bare, "^`", ""))
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(operand, r"^[+\-]+", "")), "^`", ""))
     bare = strip(F.regexp_replace(bare, r"^\((.*)\)$", "$1"))
-    return (bare != "") & (bare.rlike("[$@]") | bare.rlike(r"^[A-Za-z_.][A-Za-z0-9_.$@+\-]*$"))
+    return let(bare, lambda b: (b != "") & (b.rlike("[$@]") | b.rlike(r"^[A-Za-z_.][A-Za-z0-9_.$@+\-]*$")))
 
 
 # Ordered rewrite rules inside an operand that is not one class as a whole.
@@ -166,19 +172,18 @@ OPERAND_RULES = [
 ]
 
 
-def _operand(operand: Column, op: Column) -> Column:
-    text = strip(operand)
+def _operand(text: Column, op: Column) -> Column:
     rest = text
     for pattern, replacement in OPERAND_RULES:
         rest = F.regexp_replace(rest, pattern, replacement)
     return (
         F.when(text == "", "")
         .when(text.contains("[") & text.contains("]") & ~F.lower(text).startswith("c["), "MEM")
+        .when(text.rlike(r"(?i)^[-+]?R\d+(?:\.[A-Za-z0-9_]+)?$"), "REG")
+        .when(text.rlike(r"(?i)^(?:RZ|URZ)$"), "ZERO")
         .when(text.rlike(r"(?i)^-?c\[[^\]]+\]\[[^\]]+\](?:\s+.*)?$"), "CONST")
         .when(text.rlike(r"(?i)^B\d+$"), "BREG")
         .when(text.rlike(r"(?i)^[-+]?UR\d+(?:\.[A-Za-z0-9_]+)?$"), "UREG")
-        .when(text.rlike(r"(?i)^[-+]?R\d+(?:\.[A-Za-z0-9_]+)?$"), "REG")
-        .when(text.rlike(r"(?i)^(?:RZ|URZ)$"), "ZERO")
         .when(text.rlike(r"(?i)^!?(?:P|UP)\d+$|^!?PT$"), "PRED")
         .when(op.isin(LABEL_OPS) & _symbolic(text), "LABEL")
         .when(text.rlike(r"^(?:L_[A-Za-z0-9_]+|\.?L[A-Za-z0-9_.$]+|TARGET\d+)$"), "LABEL")
@@ -190,19 +195,26 @@ def normalize_instruction(line: Column | str) -> Column:
     """Model-ready form of one instruction; null for labels, blanks and NOP."""
     text = F.regexp_replace(F.regexp_replace(_col(line), r"/\*.*?\*/", ""), r"\(\*\".*?\"\*\)", "")
     text = F.regexp_replace(strip(text), ";+$", "")
-    dropped = (text == "") | text.endswith(":")
+    text = F.when(~text.endswith(":"), text)
     text = F.regexp_replace(text, r"(?i)\s+\?trans\d+\b", "")
     text = F.regexp_replace(text, r"\s+&[A-Za-z_][A-Za-z0-9_]*=(?:\{[^}]*\}|\S+)", "")
+    return let(text, _guarded)
+
+
+def _guarded(text: Column) -> Column:
     guard = F.when(text.rlike(r"^@![A-Za-z0-9_]+\s+"), "@!PRED ").when(
         text.rlike(r"^@[A-Za-z0-9_]+\s+"), "@PRED ").otherwise("")
-    body = F.when(guard == "", text).otherwise(strip(F.regexp_replace(text, r"^@!?[A-Za-z0-9_]+\s+", "")))
-    op = F.upper(F.regexp_extract(body, r"^([^ .]*)", 1))
-    rest = F.regexp_replace(body, r"^[^ ]* ?", "")
-    parts = F.when(rest.contains(","), F.split(rest, r",(?![^\[\]]*\])")).otherwise(F.split(rest, r"\s+"))
-    operands = F.filter(F.transform(parts, lambda p: _operand(p, op)), lambda p: p != "")
-    joined = F.array_join(operands, ", ")
-    out = F.concat(guard, op, F.when(joined == "", "").otherwise(F.concat(F.lit(" "), joined)))
-    return F.when(~dropped & (body != "") & (op != "NOP"), out)
+    body = F.when(text.startswith("@"), strip(F.regexp_replace(text, r"^@!?[A-Za-z0-9_]+\s+", ""))).otherwise(text)
+    parts = F.struct(guard.alias("guard"), F.upper(F.regexp_extract(body, r"^([^ .]*)", 1)).alias("op"),
+                     F.regexp_replace(body, r"^[^ ]* ?", "").alias("rest"), (body != "").alias("some"))
+    return let(parts, lambda p: F.when(p["some"] & (p["op"] != "NOP"), _joined(p)))
+
+
+def _joined(p: Column) -> Column:
+    split = F.when(p["rest"].contains(","), F.split(p["rest"], r",(?![^\[\]]*\])")).otherwise(F.split(p["rest"], r"\s+"))
+    operands = F.transform(F.transform(split, strip), lambda x: _operand(x, p["op"]))
+    joined = F.array_join(F.filter(operands, lambda x: x != ""), ", ")
+    return let(joined, lambda j: F.concat(p["guard"], p["op"], F.when(j == "", "").otherwise(F.concat(F.lit(" "), j))))
 
 
 def is_instruction_line(line: Column | str) -> Column:

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 from launchlake.functions import text as T
 
-KERNEL = Window.partitionBy("kernel_id")
-IN_ORDER = KERNEL.orderBy("idx")
-UPTO = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def _kernel():
+    return Window.partitionBy("kernel_id")
+
+
+def _upto():
+    return _kernel().orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+
 
 # Sizes, in instructions, of the compute-region search.
 SMALL_KERNEL = 256
@@ -29,7 +34,7 @@ def instructions_from_lines(kernels: DataFrame, lines: str = "lines") -> DataFra
     rows = kernels.select("kernel_id", F.posexplode(lines).alias("line_no", "line"))
     rows = rows.select("kernel_id", "line_no", T.strip("line").alias("line")).where(F.col("line") != "")
     is_label = F.col("line").endswith(":")
-    order = KERNEL.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    order = _kernel().orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     # a label belongs to the instruction after it
     rows = rows.withColumn("is_label", is_label).withColumn(
         "idx", F.sum((~is_label).cast("int")).over(order) - F.when(is_label, 0).otherwise(1)
@@ -90,12 +95,12 @@ def with_control(ins: DataFrame) -> DataFrame:
     define = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(True).alias("def")))
     refer = F.when(F.col("target").isNull(), F.array()).otherwise(
         F.array(F.struct(F.col("target").alias("label"), F.lit(False).alias("def"))))
-    ends = KERNEL.orderBy("idx")
+    ends = _kernel().orderBy("idx")
     control = F.col("op").isin(T.BRANCH_OPS + T.TERMINAL_OPS + T.CALL_OPS)
-    sums = [F.sum(c).over(UPTO).alias(c.replace("c_", "s_")) for c in flags]
+    sums = [F.sum(c).over(_upto()).alias(c.replace("c_", "s_")) for c in flags]
     rows = rows.select(
-        "*", *sums, F.lag(control, 1, False).over(ends).alias("after_control"), F.count(F.lit(1)).over(KERNEL).alias("n"),
-        F.max(F.when(F.col("c_noise") == 0, F.col("idx"))).over(UPTO).alias("last_good"))
+        "*", *sums, F.lag(control, 1, False).over(ends).alias("after_control"), F.count(F.lit(1)).over(_kernel()).alias("n"),
+        F.max(F.when(F.col("c_noise") == 0, F.col("idx"))).over(_upto()).alias("last_good"))
     roles = F.concat(define.cast("array<struct<label:string,def:boolean>>"), refer.cast("array<struct<label:string,def:boolean>>"))
     roles = F.when(F.size(roles) == 0, F.array(F.lit(None).cast("struct<label:string,def:boolean>"))).otherwise(roles)
     rows = rows.withColumn("role", F.explode(roles)).withColumn("label", F.col("role.label"))
@@ -116,7 +121,7 @@ def with_control(ins: DataFrame) -> DataFrame:
 def with_blocks(control: DataFrame) -> DataFrame:
     """Add ``block_id``: leaders are entry, live labels, and what follows control flow."""
     leader = (F.col("idx") == 0) | F.col("labelled") | F.col("after_control")
-    return control.withColumn("block_id", (F.sum(leader.cast("int")).over(UPTO) - 1).cast("int"))
+    return control.withColumn("block_id", (F.sum(leader.cast("int")).over(_upto()) - 1).cast("int"))
 
 
 def basic_blocks(control: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def region_blocks(control: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("c_noise") == 0, F.col(f"s_{k}"))).alias(f"g_{k}") for k in sums])
     trivial = (F.col("own_useful") == 0) & (F.col("own_noise") == F.col("end") - F.col("start") + 1)
     # counts at the last non-noise instruction so far, carried over all-noise blocks
-    order = KERNEL.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    order = _kernel().orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     carried = {f"g_{k}": F.coalesce(F.max(f"g_{k}").over(order), F.lit(0)) for k in sums}
     return blocks.withColumn("trivial", trivial).withColumns(carried).withColumn(
         "run", F.sum(F.col("trivial").cast("int")).over(order))
@@ -263,7 +268,9 @@ def opcode_mix(ins: DataFrame) -> DataFrame:
 
 def normalized_lines(ins: DataFrame) -> DataFrame:
     """Instructions that survive normalization, with text and token cost."""
-    rows = ins.select("kernel_id", "idx", T.normalize_instruction("text").alias("line")).where(F.col("line").isNotNull())
+    # exploding the compacted one-element array drops nulls without evaluating the rules twice
+    line = F.explode(F.array_compact(F.array(T.normalize_instruction("text"))))
+    rows = ins.select("kernel_id", "idx", line.alias("line"))
     return rows.withColumn("cost", T.token_count("line"))
 
 
@@ -351,12 +358,12 @@ def render_fragments(lines: DataFrame, ranges: DataFrame, budget: int = T.CONTEN
     to the budget. One pass marks both choices on the line table.
     """
     body = budget - 1
-    upto = KERNEL.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    upto = _kernel().orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     loop_upto = Window.partitionBy("kernel_id", "inside").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.join(ranges.select("kernel_id", "start", "end"), "kernel_id", "left").withColumn(
         "inside", F.coalesce(F.col("idx").between(F.col("start"), F.col("end")), F.lit(False)))
     rows = rows.withColumns({
-        "any_inside": F.max("inside").over(KERNEL), "n_lines": F.count(F.lit(1)).over(KERNEL), "total": F.sum("cost").over(KERNEL),
+        "any_inside": F.max("inside").over(_kernel()), "n_lines": F.count(F.lit(1)).over(_kernel()), "total": F.sum("cost").over(_kernel()),
         "loop_upto": F.sum("cost").over(loop_upto), "all_upto": F.sum("cost").over(upto)})
     whole = (F.col("n_lines") <= short) & (F.col("total") <= body)
     limit = min(body, T.BODY_BUDGET)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 import traceback
@@ -69,17 +70,25 @@ def main():
              .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
+
+    def expired(*_):
+        spark.sparkContext.cancelAllJobs()
+        raise TimeoutError("query took too long")
+
+    signal.signal(signal.SIGALRM, expired)
     keys = sys.argv[1:] or list(e.queries())
     queries, oracles = e.queries(), e.oracle_sql()
     bad = 0
     for key in keys:
         t0 = time.time()
+        signal.alarm(int(os.environ.get("QUERY_TIMEOUT", "120")))
         try:
             n, err = compare(spark, con, key, queries[key], oracles.get(key), sf_dir)
         except Exception as exc:  # noqa: BLE001
             n, err = -1, f"{type(exc).__name__}: {str(exc)[:900]}"
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+        signal.alarm(0)
         bad += err is not None
         kind = "" if key in oracles else " (rows only)"
         print(f"{'FAIL' if err else 'ok  '} {key}{kind} rows={n} {time.time() - t0:.1f}s {err or ''}", flush=True)
