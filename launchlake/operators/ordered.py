@@ -71,8 +71,8 @@ def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Sequence[Column], name: str
 ) -> DataFrame:
     """Zero-based position of each row in its group."""
-    out = running_totals(df, keys, order, bucket, {"_nth": F.lit(1)})
-    return out.withColumn(name, F.col("_nth") - 1).drop("_nth")
+    out = running_totals(df, keys, order, bucket, {"_counted": F.lit(1)})
+    return out.withColumn(name, F.col("_counted") - 1).drop("_counted")
 
 
 def previous(

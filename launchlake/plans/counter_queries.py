@@ -14,6 +14,8 @@ from launchlake.plans.registry import query
 from launchlake.plans.views import SQL, sql
 
 SPEC = N.Sliding(60, 5, 0.6, 1.0)
+# processes are sampled every three seconds
+PROCESS_SPEC = N.Sliding(60, 5, 0.6, 3.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -25,7 +27,7 @@ def stats_sql(value: str, prefix: str) -> str:
             f"max({value}) AS {prefix}_max, round(median({value}), 6) AS {prefix}_median, quantile_disc({value}, 0.95) AS {prefix}_p95")
 
 
-def windows_sql(name: str, source: str, keys: str, aggs: str) -> str:
+def windows_sql(name: str, source: str, keys: str, aggs: str, needed: int = 36, interval: int = 1) -> str:
     on = " AND ".join(f"x.{k} = g.{k}" for k in keys.split(", "))
     xk = ", ".join(f"x.{k}" for k in keys.split(", "))
     return f"""
@@ -36,14 +38,14 @@ def windows_sql(name: str, source: str, keys: str, aggs: str) -> str:
     any_value(g.l - g.f) AS span{', ' + aggs if aggs else ''}
   FROM {source} x JOIN {name}_k g ON {on} AND (g.short OR x.timestamp_ns BETWEEN g.f + g.k * 5000000000 AND g.f + g.k * 5000000000 + 60000000000) GROUP BY ALL),
 {name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY k) - 1 AS window_index FROM {name}_a
-  WHERE CASE WHEN short THEN n >= 2 OR (span < 1000000000 AND n >= 1) ELSE n >= 36 END)"""
+  WHERE CASE WHEN short THEN n >= 2 OR (span < {interval * 1000000000} AND n >= 1) ELSE n >= {needed} END)"""
 
 
 SQL["dw"] = windows_sql("dw", "v4", "run_id, gpu_uuid", ", ".join(stats_sql(m, m) for m in N.DEVICE_METRICS))
 PROC_AGGS = ("round(avg(process_gpu_utilization_pct), 6) AS avg_process_gpu_utilization_pct, round(stddev_pop(process_gpu_utilization_pct), 6) AS std_process_gpu_utilization_pct, "
              "round(avg(process_gpu_memory_pct), 6) AS avg_process_gpu_memory_pct, round(avg(host_ram_gb), 6) AS avg_host_ram_gb")
-SQL["pw"] = windows_sql("pw", "v4b", "run_id, gpu_uuid, pid", PROC_AGGS)
-SQL["hw"] = windows_sql("hw", "v4b", "run_id, gpu_uuid, pid", ", ".join(stats_sql(m, m if m.startswith("process_") else "process_" + m) for m in N.PROCESS_METRICS))
+SQL["pw"] = windows_sql("pw", "v4b", "run_id, gpu_uuid, pid", PROC_AGGS, 12, 3)
+SQL["hw"] = windows_sql("hw", "v4b", "run_id, gpu_uuid, pid", ", ".join(stats_sql(m, m if m.startswith("process_") else "process_" + m) for m in N.PROCESS_METRICS), 12, 3)
 
 
 @query("device_points", sql("""
@@ -81,7 +83,7 @@ PROC_SELECT = """SELECT run_id, gpu_uuid, pid, window_index, n AS sample_count,
 
 @query("process_windows", sql(PROC_SELECT, "v4", "v4b", "pw"))
 def process_windows(spark, d):
-    return rounded(N.process_windows(views.process_samples(spark, d), N.Sliding(60, 5, 0.6, 1.0)).drop("k", "start_ns", "end_ns"))
+    return rounded(N.process_windows(views.process_samples(spark, d), PROCESS_SPEC).drop("k", "start_ns", "end_ns"))
 
 
 _hyb = [f"{m if m.startswith('process_') else 'process_' + m}_{s}" for m in N.PROCESS_METRICS for s in ("mean", "std", "min", "max", "median", "p95")]
@@ -94,7 +96,7 @@ SELECT run_id, gpu_uuid, pid, window_index, start_ns AS window_start_ns, end_ns
   coalesce(sample_count_device, 0) AS sample_count_device, {', '.join(f'round({c}, 6) AS {c}' for c in _hyb)},
   {', '.join(f'round(device_{c}, 6) AS device_{c}' for c in _names)} FROM hw LEFT JOIN hd USING (run_id, gpu_uuid, pid, window_index)""", "v4", "v4b", "hw"))
 def hybrid_windows(spark, d):
-    return rounded(N.hybrid_windows(views.process_samples(spark, d), views.device_samples(spark, d), SPEC))
+    return rounded(N.hybrid_windows(views.process_samples(spark, d), views.device_samples(spark, d), PROCESS_SPEC))
 
 
 @query("join_process_sources", sql("""
@@ -137,14 +139,14 @@ def _(spark, d):
 
 @query("feature_build_report", sql("""
 SELECT 'label' AS metric, CASE WHEN label = 'mining_like' THEN 'mining' ELSE 'benign' END AS key, count(*) AS n FROM v7 WHERE status = 'ok' GROUP BY ALL
-UNION ALL SELECT 'runs', 'scanned', count(*) FROM v7 WHERE status = 'ok'
+UNION ALL SELECT 'runs', 'scanned', count(*) FROM v7
 UNION ALL SELECT 'table', 'points', count(*) FROM v4 UNION ALL SELECT 'table', 'device_windows', count(*) FROM dw
 UNION ALL SELECT 'table', 'process_windows', count(*) FROM pw""", "v4", "v4b", "v7", "dw", "pw"))
 def _(spark, d):
     return N.feature_report(run_metadata(spark, d), {
         "points": views.device_samples(spark, d),
         "device_windows": N.sliding_windows(views.device_samples(spark, d), ["run_id", "gpu_uuid"], SPEC),
-        "process_windows": N.sliding_windows(views.process_samples(spark, d), ["run_id", "gpu_uuid", "pid"], SPEC)})
+        "process_windows": N.sliding_windows(views.process_samples(spark, d), ["run_id", "gpu_uuid", "pid"], PROCESS_SPEC)})
 
 
 def text_rows(spark, d) -> DataFrame:
@@ -200,7 +202,7 @@ SELECT run_id AS gpu_index, timestamp_ns // 1000000 AS pid, 'C' AS process_type,
   'job ' || l_linenumber || ' x' AS process_name FROM v4 WHERE l_linenumber <> 4 AND l_linenumber <> 5""", "v4"))
 def _(spark, d):
     v = views.device_samples(spark, d)
-    pid = F.when(F.col("l_linenumber") == 4, "-").otherwise(F.floor(F.col("timestamp_ns") / 1_000_000).cast("string"))
+    pid = F.when(F.col("l_linenumber") == 4, "-").otherwise(F.expr("timestamp_ns div 1000000").cast("string"))
     line = F.concat_ws("   ", "run_id", pid, F.lit("C"), "gpu_utilization_pct", F.lit("1"), F.coalesce(F.col("fan_speed_pct").cast("string"), F.lit("-")),
                        F.lit("- - - job"), F.col("l_linenumber"), F.lit("x"))
     line = F.when(F.col("l_linenumber") == 5, F.lit("# gpu pid type")).otherwise(line)
