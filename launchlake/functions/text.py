@@ -60,7 +60,7 @@ def _col(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(_col(value), r"^\s+|\s+$", "")
+    return F.trim(_col(value), F.lit(" \t\n\x0b\f\r"))
 
 
 def has_prefix(op: Column, prefixes: list[str]) -> Column:
@@ -180,6 +180,7 @@ def _operand(text: Column, op: Column) -> Column:
         F.when(text == "", "")
         .when(text.contains("[") & text.contains("]") & ~F.lower(text).startswith("c["), "MEM")
         .when(text.rlike(r"(?i)^[-+]?R\d+(?:\.[A-Za-z0-9_]+)?$"), "REG")
+        .when(text.rlike(r"^-?(?:0x[0-9a-fA-F]+|\d+)$"), "IMM")
         .when(text.rlike(r"(?i)^(?:RZ|URZ)$"), "ZERO")
         .when(text.rlike(r"(?i)^-?c\[[^\]]+\]\[[^\]]+\](?:\s+.*)?$"), "CONST")
         .when(text.rlike(r"(?i)^B\d+$"), "BREG")
@@ -193,12 +194,17 @@ def _operand(text: Column, op: Column) -> Column:
 
 def normalize_instruction(line: Column | str) -> Column:
     """Model-ready form of one instruction; null for labels, blanks and NOP."""
-    text = F.regexp_replace(F.regexp_replace(_col(line), r"/\*.*?\*/", ""), r"\(\*\".*?\"\*\)", "")
-    text = F.regexp_replace(strip(text), ";+$", "")
-    text = F.when(~text.endswith(":"), text)
-    text = F.regexp_replace(text, r"(?i)\s+\?trans\d+\b", "")
-    text = F.regexp_replace(text, r"\s+&[A-Za-z_][A-Za-z0-9_]*=(?:\{[^}]*\}|\S+)", "")
-    return let(text, _guarded)
+    raw = _col(line)
+    bare = F.regexp_replace(F.regexp_replace(raw, r"/\*.*?\*/", ""), r"\(\*\".*?\"\*\)", "")
+    text = F.rtrim(strip(F.when(raw.contains("*"), bare).otherwise(raw)), F.lit(";"))
+    return let(F.when(~text.endswith(":"), text), lambda t: let(_without_notes(t), _guarded))
+
+
+def _without_notes(text: Column) -> Column:
+    """Drop scheduler annotations, looking for them only where they can be."""
+    bare = F.regexp_replace(text, r"(?i)\s+\?trans\d+\b", "")
+    bare = F.regexp_replace(bare, r"\s+&[A-Za-z_][A-Za-z0-9_]*=(?:\{[^}]*\}|\S+)", "")
+    return F.when(text.contains("?") | text.contains("&"), bare).otherwise(text)
 
 
 def _guarded(text: Column) -> Column:

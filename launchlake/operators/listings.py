@@ -103,18 +103,17 @@ def with_control(ins: DataFrame) -> DataFrame:
         F.max(F.when(F.col("c_noise") == 0, F.col("idx"))).over(_upto()).alias("last_good"))
     roles = F.concat(define.cast("array<struct<label:string,def:boolean>>"), refer.cast("array<struct<label:string,def:boolean>>"))
     roles = F.when(F.size(roles) == 0, F.array(F.lit(None).cast("struct<label:string,def:boolean>"))).otherwise(roles)
-    rows = rows.withColumn("role", F.explode(roles)).withColumn("label", F.col("role.label"))
+    rows = rows.select("*", F.posexplode(roles).alias("role_no", "role")).withColumn("label", F.col("role.label"))
     by_label = Window.partitionBy("kernel_id", "label")
     target = F.max(F.when(F.col("role.def"), F.struct(
         F.col("idx"), *[(F.col(c.replace("c_", "s_")) - F.col(c)).alias(c.replace("c_", "s_")) for c in flags])))
     rows = rows.withColumn("_t", F.when(F.col("label").isNotNull(), target.over(by_label)))
     live = F.coalesce(F.col("role.def") & (F.col("_t.idx") == F.col("idx")), F.lit(False))
     # back to one row per instruction
-    rows = rows.groupBy("kernel_id", "idx").agg(
-        *[F.first(c).alias(c) for c in rows.columns if c not in ("kernel_id", "idx", "role", "label", "_t")],
-        F.max(live).alias("labelled"),
-        F.max(F.when(~F.col("role.def"), F.col("_t"))).alias("goal"),
-    )
+    same = Window.partitionBy("kernel_id", "idx")
+    rows = rows.withColumns({
+        "labelled": F.max(live).over(same), "goal": F.max(F.when(~F.col("role.def"), F.col("_t"))).over(same)})
+    rows = rows.where(F.col("role_no") == 0).drop("role_no", "role", "label", "_t")
     return rows.withColumn("target_idx", F.col("goal.idx"))
 
 

@@ -61,14 +61,14 @@ def chunk_tokens(rows: DataFrame, ids: str, window: int, stride: int, cls_id: in
     count = F.when(n <= window, 1).otherwise(F.floor((n - window - 1) / step) + 2).cast("int")
     if limit is not None:
         count = F.least(count, F.lit(max(1, limit)))
-    part = F.slice(F.col(ids), F.col("chunk_index") * step + 1, window)
-    if cls_id is not None:
-        part = F.concat(F.array(F.lit(cls_id)), part, F.array(F.lit(sep_id)))
+    at = F.sequence(F.lit(0), F.col("num_chunks") - 1)
+    parts = F.transform(at, lambda i: F.slice(F.col(ids), i * step + 1, window))
     rest = [c for c in rows.columns if c != ids]
-    out = rows.withColumn("num_chunks", count).withColumn(
-        "chunk_index", F.explode(F.sequence(F.lit(0), F.col("num_chunks") - 1)))
-    return out.select(*rest, "chunk_index", "num_chunks", part.alias("input_ids")).withColumn(
-        "attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    # slices are cut before they are spread out, so no row carries the whole array
+    out = rows.withColumn("num_chunks", count).select(*rest, "num_chunks", F.posexplode(parts).alias("chunk_index", "input_ids"))
+    if cls_id is not None:
+        out = out.withColumn("input_ids", F.concat(F.array(F.lit(cls_id)), "input_ids", F.array(F.lit(sep_id))))
+    return out.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
 
 
 # What a workload's manifest must name.

@@ -15,6 +15,7 @@ from launchlake.plans import launch_queries as LQ
 from launchlake.plans import views
 from launchlake.plans.registry import query
 from launchlake.plans.views import SQL, VIEW_BUDGET, sql
+from launchlake.session import materialize
 from launchlake.sources import code as C
 
 
@@ -30,6 +31,11 @@ def control(spark, d) -> DataFrame:
     return K.with_control(labelled(spark, d))
 
 
+def shared_control(spark, d) -> DataFrame:
+    """The control table, written once for queries that read it several times."""
+    return materialize(control(spark, d), "control")
+
+
 def lines(spark, d) -> DataFrame:
     return K.normalized_lines(labelled(spark, d))
 
@@ -305,7 +311,7 @@ def _(spark, d):
 
 @query("main_ranges", sql('SELECT kernel_id, n, start, "end", reason FROM ranges', *[c for c in CFG if c not in ("norm", "cost")]))
 def _(spark, d):
-    return K.main_ranges(control(spark, d))
+    return K.main_ranges(shared_control(spark, d))
 
 
 # ---- features --------------------------------------------------------------
@@ -324,8 +330,8 @@ SELECT kernel_id, n AS instruction_count, CASE WHEN ln = 0 THEN n ELSE ln END AS
   round(CASE WHEN ln = 0 THEN bit / greatest(1, bit + mem) ELSE lbit / greatest(1, lbit + lmem) END, 6) AS main_loop_compute_intensity_score
 FROM a""", *CFG))
 def static_features(spark, d):
-    ins = labelled(spark, d)
-    out = K.static_features(K.normalized_lines(ins), K.main_ranges(K.with_control(ins)))
+    ins = shared_control(spark, d)
+    out = K.static_features(K.normalized_lines(ins), K.main_ranges(ins))
     return out.withColumns({c: r6(c) for c, t in out.dtypes if t == "double"})
 
 
@@ -342,8 +348,8 @@ r AS (SELECT kernel_id, list_filter([CASE WHEN n >= 128 THEN 'instruction_count'
   lambda x: x IS NOT NULL) AS rs FROM a)
 SELECT kernel_id, len(rs) >= 4 AS signal, array_to_string(rs, ',') AS reasons FROM r""", *CFG))
 def _(spark, d):
-    ins = labelled(spark, d)
-    feats = K.static_features(K.normalized_lines(ins), K.main_ranges(K.with_control(ins)))
+    ins = shared_control(spark, d)
+    feats = K.static_features(K.normalized_lines(ins), K.main_ranges(ins))
     return K.static_signal(feats).withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -383,8 +389,8 @@ SQL["frag60"] = SQL.pop("frag").replace("{b}", str(VIEW_BUDGET))
 
 
 def fragments(spark, d, budget: int) -> DataFrame:
-    ins = labelled(spark, d)
-    return K.render_fragments(K.normalized_lines(ins), K.main_ranges(K.with_control(ins)), budget)
+    ins = shared_control(spark, d)
+    return K.render_fragments(K.normalized_lines(ins), K.main_ranges(ins), budget)
 
 
 @query("render_mode", sql("SELECT * FROM frag_sum", *CFG, "frag1200"))

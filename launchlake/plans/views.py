@@ -143,24 +143,27 @@ VIEW_OPS = [
 OP_COUNT = len(VIEW_OPS)
 
 
-def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One kernel per document, words kept together until they are needed.
+def _words(text: str) -> Column:
+    return F.filter(F.split(text, "[ \t\r\n]+"), lambda w: w != "")
 
-    Rows are spread by ``kernel_id`` while they are still whole documents, so
-    the per-kernel scans further down need no second shuffle of the far
-    larger instruction table.
-    """
-    words = F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w != "")
-    return (
-        table(spark, sf_dir, "documents")
-        .select(F.col("doc_id").alias("kernel_id"), "source", "lang", "text", words.alias("words"))
-    )
+
+def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One kernel per document with its words."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("kernel_id"), "source", "lang", _words("text").alias("words"))
 
 
 def raw_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kernel_id, idx, addr, text) rows with unresolved branch addresses."""
-    docs = kernels(spark, sf_dir).select("kernel_id", "words").repartition("kernel_id")
-    rows = docs.select("kernel_id", F.size("words").alias("n"), F.posexplode("words").alias("idx", "word"))
+    """(kernel_id, idx, addr, text) rows with unresolved branch addresses.
+
+    Documents are spread by ``kernel_id`` while they are still compact text,
+    so the per-kernel scans further down need no shuffle of the far larger
+    instruction table.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kernel_id"), "text").repartition("kernel_id")
+    # the count is taken below the generator, which then carries no array along
+    docs = docs.select("kernel_id", _words("text").alias("words")).withColumn("n", F.size("words"))
+    rows = docs.select("kernel_id", "n", F.posexplode("words").alias("idx", "word"))
     size, idx = F.length("word"), F.col("idx")
     number = (size * 3 + F.ascii("word") + idx) % OP_COUNT
     names = F.array(*[F.lit(o) for o, _ in VIEW_OPS])

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job of this library relies on. They are all session
 # level, so they can be applied to a session that somebody else created.
@@ -50,3 +50,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="launchlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and return it.
+
+    Cuts the lineage on shared storage, so a lost executor costs a re-read
+    and not a recomputation.
+    """
+    path = scratch_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
