@@ -108,6 +108,7 @@ def rolling_policy(windows: DataFrame, key: str, order: str, score: str = "score
     repeat the last ``count - 1`` rows of the slice before.
     """
     rows = ordered.ordinal(windows.where(F.col(score).isNotNull()), [key], [order], [ordered.bucket_of(order)], "nth")
+    width = max(width, count)  # a slice must cover the rows it passes on
     own = ordered.bucket_of("nth", width)
     late = F.col("nth") % width > width - count
     rows = rows.withColumn("_own", own).withColumn("_b", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
