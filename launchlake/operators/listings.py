@@ -341,13 +341,13 @@ def bitwise_integer_ratio(lines: DataFrame, key: str = "kernel_id", compat: bool
 
 def compute_instruction_ratio(ins: DataFrame, key: str = "kernel_id") -> DataFrame:
     """Compute and memory shares over raw instruction text."""
-    op = T.opcode_normalized("text")
-    rows = ins.select(key, op.alias("op")).where(F.col("op") != "")
-    return rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("instruction_count"),
+    # counted, not filtered: a pushed-down filter would repeat the text rules
+    rows = ins.select(key, T.opcode_normalized("text").alias("op"))
+    out = rows.groupBy(key).agg(
+        F.count_if(F.col("op") != "").alias("instruction_count"),
         F.count_if(T.is_compute(F.col("op"))).alias("compute_instruction_count"),
-        F.count_if(T.is_memory(F.col("op"))).alias("memory_instruction_count"),
-    ).withColumn("compute_instruction_ratio", F.col("compute_instruction_count") / F.col("instruction_count"))
+        F.count_if(T.is_memory(F.col("op"))).alias("memory_instruction_count")).where(F.col("instruction_count") > 0)
+    return out.withColumn("compute_instruction_ratio", F.col("compute_instruction_count") / F.col("instruction_count"))
 
 
 def render_fragments(lines: DataFrame, ranges: DataFrame, budget: int = T.CONTENT_BUDGET, short: int = SMALL_KERNEL) -> DataFrame:

@@ -160,7 +160,9 @@ def raw_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     so the per-kernel scans further down need no shuffle of the far larger
     instruction table.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kernel_id"), "text").repartition("kernel_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kernel_id"), "text")
+    # a fixed count: adaptive coalescing would judge by the compact text, not by what it turns into
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kernel_id")
     # the count is taken below the generator, which then carries no array along
     docs = docs.select("kernel_id", _words("text").alias("words")).withColumn("n", F.size("words"))
     rows = docs.select("kernel_id", "n", F.posexplode("words").alias("idx", "word"))
