@@ -34,9 +34,8 @@ def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, dept
     return Pipeline(stages=stages).fit(balanced_weights(train))
 
 
-def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int = 1 << 16, seed: int = SEED) -> PipelineModel:
+def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int = 1 << 16) -> PipelineModel:
     """Class-weighted linear model on hashed token n-grams."""
-    del seed
     stages = [
         SQLTransformer(statement=f"SELECT *, filter(split(replace({text}, ',', ' , '), '\\\\s+'), t -> t <> '') AS tokens FROM __THIS__"),
         NGram(n=n, inputCol="tokens", outputCol="grams"),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from launchlake.functions import scalars
 from launchlake.operators import launches as L
 from launchlake.operators import ordered
+from launchlake.session import materialize
 
 STREAM = ("pid", "device_pci_bus_id", "stream")
 
@@ -263,6 +264,7 @@ def proportional_condense(launches: DataFrame, keys: Sequence[str], target: int,
     rows = ordered.previous(launches, keys, [position], bucket, {"_before": "code_id"})
     change = (~F.col("_before").eqNullSafe(F.col("code_id"))) | (F.col(position) == 0)
     rows = ordered.running_totals(rows, keys, [position], bucket, {"_run": change.cast("int")})
+    rows = materialize(rows, "code-runs")  # read by every step below
     runs = rows.groupBy(*keys, "_run").agg(
         F.min(position).alias("_start"), F.count(F.lit(1)).alias("_len"))
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
@@ -289,7 +291,6 @@ def _allocate(runs: DataFrame, keys: Sequence[str], target: int) -> DataFrame:
     Too many: the smallest fraction gives up all it can (down to one) before
     the next. Too few: the largest fraction takes the whole rest.
     """
-    bucket = [ordered.bucket_of("_run")]
     sums = runs.groupBy(*keys).agg(
         F.sum("_floor").alias("_given"),
         F.max(F.struct("_frac", (-F.col("_run")).alias("r"))).alias("_top"))
@@ -302,5 +303,4 @@ def _allocate(runs: DataFrame, keys: Sequence[str], target: int) -> DataFrame:
     cut = F.greatest(F.lit(0), F.least(F.col("_floor") - 1, over - before))
     short = F.greatest(target - F.col("_given"), F.lit(0))
     extra = F.when(-F.col("_top.r") == F.col("_run"), short).otherwise(0)
-    del bucket
     return rows.select(*keys, "_run", "_start", "_len", "_total", (F.col("_floor") - cut + extra).cast("long").alias("_alloc"))

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from launchlake.functions import scalars
-from launchlake.functions import text as T
 from launchlake.operators import dataset as D
-from launchlake.operators import launches as L
 from launchlake.operators import text_data as X
 from launchlake.plans import launch_queries as LQ
 from launchlake.plans import views
