@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.llm import language_id, simhash
+from launchlake.llm import decontaminate, language_id, packing, pii, simhash, token_file
 from launchlake.llm.common import read_table
 from launchlake.llm.registry import query
+from launchlake.session import scratch_dir
 
 
 def _fold(doc_id: str, parts: int):
@@ -28,3 +29,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document holds a benchmark item, copied or re-parameterised."""
+    return decontaminate.decisions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_pii_weak_supervision")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and all spans of personal data in every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs)).drop("text")
+    kinds = F.col("base.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
+@query("op6_token_orc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the ORC files."""
+    path = scratch_dir(spark, "token-ids")
+    token_file.write(read_table(spark, sf_dir, "documents"), path)
+    return token_file.digests(spark, path)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents")))
