@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.llm import decontaminate, language_id, packing, pii, simhash, token_file
+from launchlake.llm import decontaminate, language_id, neighbours, packing, pii, simhash, token_file
 from launchlake.llm.common import read_table
 from launchlake.llm.registry import query
 from launchlake.session import scratch_dir
@@ -59,3 +59,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of every document."""
     return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents")))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found for every embedding whose id is divisible by 100."""
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
