@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.llm import decontaminate, language_id, neighbours, packing, pii, simhash, token_file
+from launchlake.llm import decontaminate, language_id, neighbours, packing, pii, repeats, simhash, token_file
 from launchlake.llm.common import read_table
 from launchlake.llm.registry import query
 from launchlake.session import scratch_dir
@@ -65,3 +65,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows found for every embedding whose id is divisible by 100."""
     return neighbours.search(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+@query("op5_de_bruijn_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    left = repeats.remove(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
