@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.llm import decontaminate, language_id, neighbours, packing, pii, repeats, simhash, token_file
+from launchlake.llm import decontaminate, language_id, lm_scoring, neighbours, packing, pii, repeats, simhash, token_file
 from launchlake.llm.common import read_table
 from launchlake.llm.registry import query
 from launchlake.session import scratch_dir
@@ -72,3 +72,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated passages."""
     left = repeats.remove(read_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_context_tree_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from nine tenths of them, beside a unigram base."""
+    scored = lm_scoring.score(read_table(spark, sf_dir, "documents"), _fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -19,8 +19,8 @@ from launchlake.llm.common import LOWER
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-KNOWN_WORDS = 400_000  # words whose ids a worker remembers; then it starts anew
-ENCODE_AT_ONCE = 20_000
+KNOWN_WORDS = 300_000  # words whose ids a worker holds in each of two generations
+WORDS_TOGETHER = 50
 _readers: dict[str, Encoder] = {}
 
 
@@ -32,47 +32,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # Ids that end a unit, for tokenizers that mark word ends.
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of words; those of letters only are one unit each, so they are encoded together and told apart by word ends."""
+        odd: list[bytes] = []
+        plain: list[bytes] = []
+        for w in words:
+            (plain if w.decode().lower().isalpha() else odd).append(w)
+        yield from zip(odd, self._encode([w.decode() for w in odd]))
+        groups = [plain[at:at + WORDS_TOGETHER] for at in range(0, len(plain), WORDS_TOGETHER)]
+        for group, e in zip(groups, self._tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self._ends[ids]) + 1).tolist()]
+            if len(cuts) == len(group) + 1:
+                yield from ((w, ids[a:b].tobytes()) for w, a, b in zip(group, cuts, cuts[1:]))
+            else:
+                yield from zip(group, self._encode([w.decode() for w in group]))
 
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of new words; a final comma or stop behind a letter is a token of its own."""
-        known = self._known
-        if len(known) + len(words) > KNOWN_WORDS:
-            known.clear()
+        """Ids of words not known yet; a final comma or stop behind a letter is a token of its own."""
+        if len(self._known) + len(words) > KNOWN_WORDS:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
         marks = {m: self._encode([m.decode()])[0] for m in (b".", b",")}
         stems: dict[bytes, list[bytes]] = {}
         for w in words:
-            plain = w[:-1] if w[-1:] in marks and w[-2:-1].isalpha() else w
-            stems.setdefault(plain, []).append(w)
-        todo = list(stems)
-        for at in range(0, len(todo), ENCODE_AT_ONCE):
-            part = todo[at:at + ENCODE_AT_ONCE]
-            for plain, ids in zip(part, self._encode([p.decode() for p in part])):
-                for w in stems[plain]:
-                    known[w] = ids if w == plain else ids + marks[w[-1:]]
+            if w in older:
+                known[w] = older[w]
+            else:
+                stems.setdefault(w[:-1] if w[-1:] in marks and w[-2:-1].isalpha() else w, []).append(w)
+        for stem, ids in self._encode_words(list(stems)):
+            for w in stems[stem]:
+                known[w] = ids if w == stem else ids + marks[w[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text (null: none), without an end id."""
-        special = [t is not None and "<|" in t for t in texts]
-        words = [[] if s or not t else t.encode().translate(LOWER).split() for t, s in zip(texts, special)]
-        out: list[bytes] = []
+        special = {i for i, t in enumerate(texts) if t and "<|" in t}
+        words = [[] if i in special or not t else t.encode().translate(LOWER).split() for i, t in enumerate(texts)]
+        new = set().union(*words)
+        if not new <= self._known.keys():
+            # A full table starts anew, so everything this slice needs is learned at once.
+            missing = new - self._known.keys()
+            self._learn(missing if len(self._known) + len(missing) <= KNOWN_WORDS else new)
         known = self._known
-        for i, (text, own) in enumerate(zip(texts, words)):
-            if special[i]:
-                out.append(self._encode([text])[0])
-                continue
-            try:
-                out.append(b"".join([known[w] for w in own]))
-            except KeyError:
-                # Learn the new words of this and the next texts together.
-                self._learn({w for ws in words[i:] for w in ws if w not in known} if len(known) < KNOWN_WORDS // 2 else set(own) - known.keys())
-                if not all(w in known for w in own):
-                    self._learn(set(own))
-                out.append(b"".join([known[w] for w in own]))
-        return out
+        return [self._encode([texts[i]])[0] if i in special else b"".join([known[w] for w in own]) for i, own in enumerate(words)]
 
 
 def encoder(path: str = DEFAULT_TOKENIZER) -> Encoder:
@@ -82,7 +94,7 @@ def encoder(path: str = DEFAULT_TOKENIZER) -> Encoder:
     return _readers[path]
 
 
-def slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``chars`` characters."""
     start = total = 0
     for i, t in enumerate(texts):
