@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.llm import decontaminate, language_id, lm_scoring, neighbours, packing, pii, repeats, simhash, token_file
+from launchlake.llm import chat_view, decontaminate, language_id, lm_scoring, neighbours, packing, pii, repeats, simhash, token_file, tool_calls
 from launchlake.llm.common import read_table
 from launchlake.llm.registry import query
 from launchlake.session import scratch_dir
@@ -79,3 +79,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from nine tenths of them, beside a unigram base."""
     scored = lm_scoring.score(read_table(spark, sf_dir, "documents"), _fold("doc_id", 10) != 0)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_tool_call_linking", chat_view.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tool call and result of the conversations, linked, ordered, checked and serialised."""
+    conversations = read_table(spark, sf_dir, "conversations")
+    return tool_calls.link(chat_view.calls(conversations), chat_view.results(conversations), chat_view.schemas(spark))

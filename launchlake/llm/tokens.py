@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +20,9 @@ from launchlake.llm.common import LOWER
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-KNOWN_WORDS = 300_000  # words whose ids a worker holds in each of two generations
+KNOWN_WORDS = 500_000  # words whose ids a worker holds in each of two generations
 WORDS_TOGETHER = 50
+MARKS = b".,"
 _readers: dict[str, Encoder] = {}
 
 
@@ -44,47 +46,45 @@ class Encoder:
 
     def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of words; those of letters only are one unit each, so they are encoded together and told apart by word ends."""
-        odd: list[bytes] = []
-        plain: list[bytes] = []
-        for w in words:
-            (plain if w.decode().lower().isalpha() else odd).append(w)
+        letters = [w.isalpha() or (not w.isascii() and w.decode().lower().isalpha()) for w in words]
+        odd = [w for w, plain in zip(words, letters) if not plain]
         yield from zip(odd, self._encode([w.decode() for w in odd]))
+        plain = list(compress(words, letters))
         groups = [plain[at:at + WORDS_TOGETHER] for at in range(0, len(plain), WORDS_TOGETHER)]
         for group, e in zip(groups, self._tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            cuts = [0, *(np.flatnonzero(self._ends[ids]) + 1).tolist()]
+            cuts = [0, *((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()]
             if len(cuts) == len(group) + 1:
-                yield from ((w, ids[a:b].tobytes()) for w, a, b in zip(group, cuts, cuts[1:]))
+                raw = ids.tobytes()
+                yield from zip(group, [raw[a:b] for a, b in pairwise(cuts)])
             else:
                 yield from zip(group, self._encode([w.decode() for w in group]))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Ids of words not known yet; a final comma or stop behind a letter is a token of its own."""
-        if len(self._known) + len(words) > KNOWN_WORDS:
+        if len(self._known) > KNOWN_WORDS:
             self._older, self._known = self._known, {}
-        known, older = self._known, self._older
-        marks = {m: self._encode([m.decode()])[0] for m in (b".", b",")}
-        stems: dict[bytes, list[bytes]] = {}
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            else:
-                stems.setdefault(w[:-1] if w[-1:] in marks and w[-2:-1].isalpha() else w, []).append(w)
-        for stem, ids in self._encode_words(list(stems)):
-            for w in stems[stem]:
-                known[w] = ids if w == stem else ids + marks[w[-1:]]
+        older = self._older
+        new = [w for w in words if w not in older]
+        self._known.update((w, older[w]) for w in words if w in older)
+        stems = [w[:-1] if w[-1] in MARKS and w[-2:-1].isalpha() else w for w in new]
+        ids = dict(self._encode_words(list(dict.fromkeys(stems))))
+        marks = {m: self._encode([chr(m)])[0] for m in MARKS}
+        self._known.update((w, ids[s] if len(w) == len(s) else ids[s] + marks[w[-1]]) for w, s in zip(new, stems))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text (null: none), without an end id."""
         special = {i for i, t in enumerate(texts) if t and "<|" in t}
         words = [[] if i in special or not t else t.encode().translate(LOWER).split() for i, t in enumerate(texts)]
-        new = set().union(*words)
-        if not new <= self._known.keys():
-            # A full table starts anew, so everything this slice needs is learned at once.
-            missing = new - self._known.keys()
-            self._learn(missing if len(self._known) + len(missing) <= KNOWN_WORDS else new)
         known = self._known
-        return [self._encode([texts[i]])[0] if i in special else b"".join([known[w] for w in own]) for i, own in enumerate(words)]
+        found = [list(map(known.get, own)) for own in words]
+        short = [i for i, ids in enumerate(found) if None in ids]
+        if short:
+            self._learn(list(dict.fromkeys(w for i in short for w, ids in zip(words[i], found[i]) if ids is None)))
+            learned = self._known
+            for i in short:
+                found[i] = [learned[w] if ids is None else ids for w, ids in zip(words[i], found[i])]
+        return [self._encode([texts[i]])[0] if i in special else b"".join(ids) for i, ids in enumerate(found)]
 
 
 def encoder(path: str = DEFAULT_TOKENIZER) -> Encoder:
