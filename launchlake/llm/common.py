@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.session import materialize
+from launchlake.session import materialize, prepare
 
 # Upper-case ASCII letters to lower case, for ``bytes.translate``; ``bytes.split()``
 # then cuts at exactly the six ASCII white-space bytes 0x20 and 0x09-0x0D.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+# Rows of text handed to Python at once; texts may be long.
+ROWS_PER_BATCH = "1000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings and small batches for Python."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,10 +31,6 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     return materialize(rows, name)
 
 
-def string_parameter(spark: SparkSession, key: str, default: str) -> str:
-    return spark.conf.get(key, default) or default
-
-
 def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b); component is the smallest node reachable.
 

@@ -168,11 +168,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     return Profiles(tuple(found), np.array(list(found.values())).reshape(len(found), DIMENSIONS))
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, the cosine with the winning prototype (0 if negative)."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score``, the cosine with the winning prototype (0 if negative)."""
+    kept = docs.drop(pred, score)
     at = kept.columns.index(text)
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,6 +186,6 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
                         cosines = profiles.vectors @ vector / max(np.linalg.norm(vector), 1e-300)
                         best = int(np.argmax(cosines))
                         names[i], scores[i] = profiles.languages[best], min(max(float(cosines[best]), 0.0), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, pred, score])
 
     return kept.mapInArrow(judge, schema)

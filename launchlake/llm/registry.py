@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from launchlake.session import prepare
+from launchlake.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +18,7 @@ def query(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         run.__doc__ = fn.__doc__
         QUERIES[key] = run

@@ -46,7 +46,7 @@ def _chains(single: DataFrame) -> DataFrame:
         ends = step.select("node", "anchor", "steps")
         if not moved:
             return ends
-        if 1 << rounds > bound + 1:  # whoever still moves goes round in a circle
+        if 1 << (rounds - 1) > bound:  # whoever moved from so far on goes round in a circle
             return step.filter("not moved").select("node", "anchor", "steps")
 
 
