@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from launchlake.llm import decontaminate, language_id, packing, pii, simhash
-from launchlake.llm.common import read_table, settle
-from launchlake.session import prepare
+from launchlake.llm.common import prepared, read_table, settle
 
 # A cosine below this with every language is no language at all.
 LEAST_COSINE = 0.05
@@ -19,14 +18,14 @@ LEAST_COSINE = 0.05
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was learned; profiles come from the rows of ``docs`` that name one."""
-    profiles = language_id.learn(docs)
-    judged = language_id.predict(docs.select(F.struct(*docs.columns).alias("doc"), "text"), profiles)
-    kept = judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_COSINE))
-    return kept.select("doc.*")
+    prepared(spark)
+    judged = language_id.predict(docs, language_id.learn(docs), pred="_language", score="_cosine")
+    return judged.filter((F.col("_language") != language_id.UNDETERMINED) & (F.col("_cosine") >= LEAST_COSINE)).drop("_language", "_cosine")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component of close fingerprints."""
+    prepared(spark)
     grouped = simhash.near_duplicates(docs)
     kept = settle(grouped.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
     # Rows that share the smallest id are one document; so are equal rows. Rows without an id stay.
@@ -35,17 +34,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    prepared(spark)
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind; n_chars follows."""
+    prepared(spark)
     redacted = pii.redact(docs, pii.learn(docs))
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
+    prepared(spark)
     return packing.pack(packing.pieces(docs))
 
 
@@ -63,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs = read_table(prepared(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
