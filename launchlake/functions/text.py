@@ -216,8 +216,25 @@ def _guarded(text: Column) -> Column:
     return let(parts, lambda p: F.when(p["some"] & (p["op"] != "NOP"), _joined(p)))
 
 
+# Brackets inside brackets, or without a partner; for these operands are told apart by depth.
+ODD_BRACKETS = r"\[[^\]]*(?:\[|$)|^[^\[]*\]|\][^\[]*\]"
+
+
+def _split_by_depth(text: Column) -> Column:
+    """Cut at the commas outside all brackets; a closing bracket without a partner counts for nothing."""
+    def step(state: Column, char: Column) -> Column:
+        depth = state["depth"]
+        deeper = F.when(char == "[", depth + 1).when(char == "]", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        written = F.when((char == ",") & (depth == 0), F.lit("\n")).otherwise(char)
+        return F.struct(deeper.alias("depth"), F.concat(state["out"], written).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    return F.split(F.aggregate(F.split(text, ""), start, step)["out"], "\n")
+
+
 def _joined(p: Column) -> Column:
-    split = F.when(p["rest"].contains(","), F.split(p["rest"], r",(?![^\[\]]*\])")).otherwise(F.split(p["rest"], r"\s+"))
+    flat = F.split(p["rest"], r",(?![^\[\]]*\])")
+    split = F.when(~p["rest"].contains(","), F.split(p["rest"], r"\s+")).when(p["rest"].rlike(ODD_BRACKETS), _split_by_depth(p["rest"])).otherwise(flat)
     operands = F.transform(F.transform(split, strip), lambda x: _operand(x, p["op"]))
     joined = F.array_join(F.filter(operands, lambda x: x != ""), ", ")
     return let(joined, lambda j: F.concat(p["guard"], p["op"], F.when(j == "", "").otherwise(F.concat(F.lit(" "), j))))

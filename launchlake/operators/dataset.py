@@ -24,12 +24,17 @@ def check_required(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.withColumn("missing_fields", F.when(F.size(gone) > 0, F.array_join(gone, ", ")))
 
 
-def label_manifest(rows: DataFrame, key: str) -> DataFrame:
-    """One row per binary with the reason it is unusable, if any."""
+def label_manifest(rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per binary with the reason it is unusable, if any.
+
+    Of repeated names the first known value by ``order`` stands, or the
+    smallest field values where no order is given.
+    """
+    order = [*order, *LABEL_FIELDS]
     checked = check_required(rows, LABEL_FIELDS)
     counts = checked.groupBy(key).agg(
         F.count(F.lit(1)).alias("copies"), F.max("missing_fields").alias("missing_fields"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in LABEL_FIELDS])
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in LABEL_FIELDS])
     reason = F.when(F.col("copies") > 1, "duplicate name").when(
         F.col("missing_fields").isNotNull(), F.concat(F.lit("missing fields: "), "missing_fields"))
     return counts.withColumn("reject_reason", reason)
@@ -214,8 +219,8 @@ def grouped_split_simple(examples: DataFrame, seed: int = 1337) -> DataFrame:
     groups = examples.select("group_id").distinct()
     n = groups.agg(F.count(F.lit(1)).alias("n")).select(
         F.greatest(F.lit(1), F.floor(F.col("n") * 0.70)).cast("long").alias("n_train"),
-        F.greatest(F.lit(1), F.floor(F.col("n") * 0.15)).cast("long").alias("n_val"), F.lit(1).alias("_one"))
-    placed = _shuffled(groups, [], seed).withColumn("_one", F.lit(1)).join(n, "_one")
+        F.greatest(F.lit(1), F.floor(F.col("n") * 0.15)).cast("long").alias("n_val"))
+    placed = _shuffled(groups, [], seed).crossJoin(F.broadcast(n))  # one row
     return examples.join(_assign(placed).select("group_id", "split"), "group_id")
 
 

@@ -290,14 +290,14 @@ def main_loop_lines(lines: DataFrame, ranges: DataFrame, budget: int = T.BODY_BU
     return truncate_prefix(body.drop("start", "end"), budget)
 
 
-def static_features(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+def static_features(lines: DataFrame, ranges: DataFrame, budget: int = T.BODY_BUDGET) -> DataFrame:
     """Ten instruction features per kernel, whole kernel against main loop."""
     op = T.opcode_normalized("line")
     upto = Window.partitionBy("kernel_id", "inside").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.join(ranges.select("kernel_id", "start", "end"), "kernel_id", "left").select(
         "kernel_id", "idx", "cost", op.alias("op"),
         F.coalesce(F.col("idx").between(F.col("start"), F.col("end")), F.lit(False)).alias("inside"))
-    rows = rows.withColumn("loop", F.col("inside") & (F.sum("cost").over(upto) <= T.BODY_BUDGET))
+    rows = rows.withColumn("loop", F.col("inside") & (F.sum("cost").over(upto) <= budget))
     named = F.col("op") != ""
     bit, mem, bra = T.is_bitwise_integer(F.col("op")), T.is_memory(F.col("op")), F.col("op").isin(T.FEATURE_BRANCH_OPS)
     agg = rows.groupBy("kernel_id").agg(

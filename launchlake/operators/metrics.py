@@ -221,7 +221,7 @@ def threshold_table(runs: DataFrame, truth: str = "binary_label", score: str = "
     rows = hist.withColumn("t", F.lit(0)).unionByName(tried).groupBy("v").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.max("t").alias("t"))
     rows = ordered.running_totals(rows, [], [F.desc("v")], [-F.floor(F.col("v") * 1024).cast("long")], {"mining_fired": F.col("m"), "benign_fired": F.col("b")})
     total = hist.agg(F.sum("m").alias("mining"), F.sum("b").alias("benign"))
-    rows = rows.where(F.col("t") == 1).withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    rows = rows.where(F.col("t") == 1).crossJoin(F.broadcast(total))  # one row
     c = F.col
     recall, fpr = _safe(c("mining_fired"), c("mining")), _safe(c("benign_fired"), c("benign"))
     both = (c("mining") > 0).cast("int") + (c("benign") > 0).cast("int")

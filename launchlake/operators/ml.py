@@ -15,6 +15,7 @@ from launchlake.operators import counters as N
 from launchlake.operators import metrics as M
 
 SEED = 1337
+MAX_DEPTH = 30  # the deepest tree the engine can hold
 
 
 def balanced_weights(rows: DataFrame, label: str = "label_id") -> DataFrame:
@@ -26,21 +27,21 @@ def balanced_weights(rows: DataFrame, label: str = "label_id") -> DataFrame:
     return rows.withColumn("weight", pick)
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, depth: int = 5, seed: int = SEED) -> PipelineModel:
-    """Class-balanced random forest over complete feature rows."""
+def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, depth: int = MAX_DEPTH, seed: int = SEED) -> PipelineModel:
+    """Class-balanced random forest over complete feature rows; trees grow until they are pure or as deep as the engine allows."""
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestClassifier(featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=stages).fit(balanced_weights(train))
 
 
-def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int = 1 << 16) -> PipelineModel:
+def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int = 1 << 20, rounds: int = 200, tolerance: float = 1e-6) -> PipelineModel:
     """Class-weighted linear model on hashed token n-grams."""
     stages = [
         SQLTransformer(statement=f"SELECT *, filter(split(replace({text}, ',', ' , '), '\\\\s+'), t -> t <> '') AS tokens FROM __THIS__"),
         NGram(n=n, inputCol="tokens", outputCol="grams"),
         HashingTF(inputCol="grams", outputCol="features", numFeatures=buckets),
-        LogisticRegression(featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=20)]
+        LogisticRegression(featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=rounds, tol=tolerance)]
     return Pipeline(stages=stages).fit(balanced_weights(train))
 
 

@@ -17,21 +17,22 @@ def token_counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ()
         F.count(F.lit(1)).alias("n"))
 
 
-def vocab_build(train: DataFrame, min_frequency: int = 2, size: int | None = None, text: str = "text") -> DataFrame:
+def vocab_build(train: DataFrame, min_frequency: int = 1, text: str = "text") -> DataFrame:
     """(token, n, token_id): specials first, then by count and token.
 
-    Ids are positions in one total order, found with a bucketed scan: only
-    one row per (count, leading bytes) slice is ever brought together.
+    Ids are positions in one total order. Tokens of one count are placed by a
+    bucketed scan over their leading bytes; only one row per distinct count is
+    brought together to place the counts.
     """
     kept = token_counts(train, text).where((F.col("n") >= min_frequency) & ~F.col("token").isin(SPECIALS))
     # order-preserving slices: the count, then the first two bytes of the token
     raw = F.encode("token", "UTF-8")
     lead = F.conv(F.rpad(F.hex(F.substring(raw, 1, 2)), 4, "0"), 16, 10).cast("long")
     slices = kept.withColumns({"_c": -F.col("n"), "_a": lead})
-    ranked = ordered.ordinal(slices, [], ["_c", "_a", "token"], [F.col("_c"), F.col("_a")], "_nth")
-    ranked = ranked.select("token", "n", (F.col("_nth") + len(SPECIALS)).cast("long").alias("token_id"))
-    if size is not None:
-        ranked = ranked.where(F.col("token_id") < size)
+    ranked = ordered.ordinal(slices, ["_c"], ["_a", "token"], [F.col("_a")], "_nth")
+    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.groupBy("_c").agg(F.count(F.lit(1)).alias("_m")).select("_c", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"))
+    ranked = ranked.join(starts, "_c").select("token", "n", (F.col("_first") + F.col("_nth") + len(SPECIALS)).cast("long").alias("token_id"))
     fixed = kept.sparkSession.createDataFrame(
         [(t, 0, i) for i, t in enumerate(SPECIALS)], "token string, n long, token_id long")
     return fixed.unionByName(ranked)

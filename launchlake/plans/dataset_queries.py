@@ -12,6 +12,7 @@ from launchlake.plans import launch_queries as LQ
 from launchlake.plans import views
 from launchlake.plans.registry import query
 from launchlake.plans.views import CLASSES, SQL, sql
+from launchlake.session import materialize
 
 SEED = 1337
 
@@ -259,7 +260,7 @@ def _(spark, d):
 
 @query("union_splits", sql("SELECT split, workload, label FROM sp", "v5", "split"))
 def _(spark, d):
-    rows = split_examples(spark, d)
+    rows = materialize(split_examples(spark, d), "split")
     parts = {s: rows.where(F.col("split") == s).drop("split") for s in D.SPLITS}
     return D.union_splits(parts).select("split", "workload", "label")
 
@@ -282,8 +283,8 @@ def _(spark, d):
 
 SQL["tok"] = """
 tok AS (SELECT split, unnest(list_filter(regexp_split_to_array(replace(text, ',', ' , '), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS token FROM documents JOIN sp ON sp.workload = doc_id),
-voc AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 4 AS token_id FROM (SELECT token, count(*) AS n FROM tok WHERE split = 'train' GROUP BY token HAVING count(*) >= 2)),
-vocab AS (SELECT * FROM voc WHERE token_id < 5000 UNION ALL SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]']), 0, unnest([0, 1, 2, 3, 4])),
+voc AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 4 AS token_id FROM (SELECT token, count(*) AS n FROM tok WHERE split = 'train' GROUP BY token)),
+vocab AS (SELECT * FROM voc UNION ALL SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]']), 0, unnest([0, 1, 2, 3, 4])),
 known AS (SELECT split, t.token, count(*) AS n, any_value(v.token_id) AS token_id FROM tok t LEFT JOIN vocab v USING (token) GROUP BY ALL)"""
 
 
@@ -293,7 +294,7 @@ def split_documents(spark, d) -> DataFrame:
 
 
 def vocab(spark, d) -> DataFrame:
-    return X.vocab_build(split_documents(spark, d).where(F.col("split") == "train"), 2, 5000)
+    return X.vocab_build(split_documents(spark, d).where(F.col("split") == "train"), 1)
 
 
 @query("vocab_build", sql("SELECT token, n, token_id FROM vocab", "v5", "split", "tok"))

@@ -16,8 +16,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def chunks(spark, d, n_labels: int = 4) -> DataFrame:
-    rows = views.chunk_logits(spark, d)
-    return rows.withColumn("probabilities", M.softmax(F.slice("logits", 1, n_labels)))
+    """Class probabilities; with fewer labels the logits are folded onto them."""
+    logits = F.array(*[sum((F.col("logits")[j] for j in range(i + n_labels, 4, n_labels)), F.col("logits")[i]) for i in range(n_labels)])
+    return views.chunk_logits(spark, d).withColumn("probabilities", M.softmax(logits))
 
 
 def windowed(spark, d, n_labels: int) -> DataFrame:
@@ -161,12 +162,12 @@ def _(spark, d):
 
 
 @query("roc_auc_ovr", sql("""
-, w AS (SELECT workload, class_id, label_id = class_id AS positive, round(avg(p), 3) AS p FROM long4 GROUP BY ALL),
+, w AS (SELECT workload, class_id, label_id = class_id AS positive, avg(p) AS p FROM long4 GROUP BY ALL),
 r AS (SELECT *, rank() OVER (PARTITION BY class_id ORDER BY p) + (count(*) OVER (PARTITION BY class_id, p) - 1) / 2.0::DOUBLE AS rk FROM w)
 SELECT class_id, round((sum(rk) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive)), 6) AS auc FROM r GROUP BY class_id""", "v6", "long4"))
 def _(spark, d):
     rows = M.long_probabilities(chunks(spark, d).select("workload", "label_id", "probabilities"))
-    mean = rows.groupBy("workload", "label_id", "class_id").agg(F.round(F.avg("p"), 3).alias("p"))
+    mean = rows.groupBy("workload", "label_id", "class_id").agg(F.avg("p").alias("p"))
     return rounded(M.roc_auc_ovr(mean.select("class_id", "p", (F.col("label_id") == F.col("class_id")).alias("positive"))))
 
 

@@ -36,7 +36,7 @@ def _(spark, d):
     return runner.run_append(stateful.stream_token_windows(launches, CONFIG), "token-windows").drop("end_sequence", "dropped_unready_launches")
 
 
-@query("stream_score_windows", sql(WINDOW_SQL.format(", CASE WHEN launch_count > 6 THEN NULL ELSE max_ratio / launch_count END AS score, launch_count > 6 AS failed"), "v1", "launch_rows", "scan", "windows"))
+@query("stream_score_windows", sql(WINDOW_SQL.format(", CASE WHEN launch_count > 6 THEN NULL ELSE max_ratio / launch_count END AS score, launch_count > 6 AS failed, CASE WHEN launch_count > 6 THEN 'ValueError: window too long for the model' END AS error"), "v1", "launch_rows", "scan", "windows"))
 def _(spark, d):
     def scorer():
         def model(rows: pd.DataFrame) -> pd.Series:
@@ -129,7 +129,8 @@ def _(spark, d):
 def _(spark, d):
     out = scratch_dir(spark, "metrics")
     rows = views.device_samples(spark, d).select("run_id", "timestamp_ns", "gpu_utilization_pct", "fan_speed_pct")
-    rows.write.partitionBy("run_id").json(out)
+    # Rebalancing brings a run's rows together and splits large runs, so there are few files.
+    rows.hint("rebalance", "run_id").write.partitionBy("run_id").json(out)
     got = files.read_metric_logs(spark, out, "*.json", "timestamp_ns long, gpu_utilization_pct double, fan_speed_pct double")
     return got.select(F.regexp_extract("run_folder", r"run_id=(\d+)", 1).cast("long").alias("run_id"), "timestamp_ns", "gpu_utilization_pct", "fan_speed_pct")
 

@@ -239,12 +239,14 @@ def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sample_rows(spark, sf_dir).where(~(F.col("n") % 40).between(20, 35))
+    rows = _sample_rows(spark, sf_dir)
+    # Every 40 samples the clock jumps by 16 seconds, so runs have gaps but no sample is left out.
+    second = F.col("n") + 16 * F.expr("(n + 20) div 40")
     return rows.select(
         F.col("l_suppkey").alias("run_id"),
         F.lit("gpu0").alias("gpu_uuid"),
         "n",
-        (F.lit(1_700_000_000_000_000_000) + F.col("n") * 1_000_000_000 + F.col("l_partkey") % 100 * 1_000_000)
+        (F.lit(1_700_000_000_000_000_000) + second * 1_000_000_000 + F.col("l_partkey") % 100 * 1_000_000)
         .alias("timestamp_ns"),
         (F.col("l_quantity") * 2).alias("gpu_utilization_pct"),
         (F.col("l_discount") * 1000).alias("memory_utilization_pct"),
@@ -256,7 +258,7 @@ def device_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = device_samples(spark, sf_dir).where(F.col("l_linenumber") % 2 == 1)
+    rows = device_samples(spark, sf_dir)
     return rows.select(
         "run_id", "gpu_uuid", (100 + F.col("run_id") % 3).alias("pid"),
         (F.col("timestamp_ns") + 300_000_000).alias("timestamp_ns"),
@@ -269,22 +271,21 @@ def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["v4"] = """
 v4 AS (
   SELECT l_suppkey AS run_id, 'gpu0' AS gpu_uuid, n,
-    1700000000000000000 + n * 1000000000 + (l_partkey % 100) * 1000000 AS timestamp_ns,
+    1700000000000000000 + (n + 16 * ((n + 20) // 40)) * 1000000000 + (l_partkey % 100) * 1000000 AS timestamp_ns,
     l_quantity * 2 AS gpu_utilization_pct, l_discount * 1000 AS memory_utilization_pct,
     CAST(40 + l_partkey % 210 AS DOUBLE) AS power_usage_watts,
     30 + 5 * round(l_tax * 100) AS temperature_celsius,
     CASE WHEN l_linenumber % 2 <> 0 THEN CAST(l_partkey % 100 AS DOUBLE) END AS fan_speed_pct,
     l_linenumber, l_quantity, l_partkey
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey
-          ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS BIGINT) AS n FROM lineitem)
-  WHERE NOT (n % 40 BETWEEN 20 AND 35))"""
+          ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS BIGINT) AS n FROM lineitem))"""
 
 SQL["v4b"] = """
 v4b AS (
   SELECT run_id, gpu_uuid, 100 + run_id % 3 AS pid, timestamp_ns + 300000000 AS timestamp_ns,
     CASE WHEN l_linenumber <> 7 THEN 60 + l_quantity * 0.8::DOUBLE END AS process_gpu_utilization_pct,
     CAST(85 + l_partkey % 15 AS DOUBLE) AS process_gpu_memory_pct, 3 + (l_partkey % 20) / 10.0::DOUBLE AS host_ram_gb
-  FROM v4 WHERE l_linenumber % 2 = 1)"""
+  FROM v4)"""
 
 # --------------------------------------------------------------------------
 # examples and run predictions, from documents and labels
@@ -326,10 +327,15 @@ v5 AS (
 # chunk probabilities, from embeddings
 
 
+def _index_is(part: int, parts: int):
+    return lambda _, k: k % parts == part
+
+
 def chunk_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks, including those of workloads that later lose their windows."""
     rows = table(spark, sf_dir, "embeddings")
-    logits = F.array(*[F.col("embedding")[i].cast("double") * 10 for i in range(4)])
+    # Logit i is ten times the sum of the components whose index is i modulo 4.
+    logits = F.array(*[F.aggregate(F.filter(F.col("embedding").cast("array<double>"), _index_is(i, 4)), F.lit(0.0), lambda a, x: a + x) * 10 for i in range(4)])
     workload = F.floor(F.col("vec_id") / 4).cast("long")
     return rows.select(
         F.col("vec_id"), workload.alias("workload"), (F.col("vec_id") % 4).cast("int").alias("chunk_index"),
@@ -342,16 +348,16 @@ SQL["v6"] = """
 v6 AS (
   SELECT vec_id, vec_id // 4 AS workload, vec_id % 4 AS chunk_index, (vec_id // 4) % 4 AS label_id,
     vec_id // 20 AS group_id, (vec_id // 4) % 7 AS session_id,
-    CAST(embedding[1] AS DOUBLE) * 10 AS x0, CAST(embedding[2] AS DOUBLE) * 10 AS x1,
-    CAST(embedding[3] AS DOUBLE) * 10 AS x2, CAST(embedding[4] AS DOUBLE) * 10 AS x3
+    list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, k: k % 4 = 1)) * 10 AS x0, list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, k: k % 4 = 2)) * 10 AS x1,
+    list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, k: k % 4 = 3)) * 10 AS x2, list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, k: k % 4 = 0)) * 10 AS x3
   FROM embeddings),
 prob4 AS (
   SELECT *, exp(x0 - m) / s AS p0, exp(x1 - m) / s AS p1, exp(x2 - m) / s AS p2, exp(x3 - m) / s AS p3 FROM (
     SELECT *, exp(x0 - m) + exp(x1 - m) + exp(x2 - m) + exp(x3 - m) AS s
     FROM (SELECT *, greatest(x0, x1, x2, x3) AS m FROM v6))),
 prob2 AS (
-  SELECT *, exp(x0 - m) / s AS p0, exp(x1 - m) / s AS p1 FROM (
-    SELECT *, exp(x0 - m) + exp(x1 - m) AS s FROM (SELECT *, greatest(x0, x1) AS m FROM v6)))"""
+  SELECT *, exp(y0 - m) / s AS p0, exp(y1 - m) / s AS p1 FROM (
+    SELECT *, exp(y0 - m) + exp(y1 - m) AS s FROM (SELECT *, greatest(y0, y1) AS m FROM (SELECT *, x0 + x2 AS y0, x1 + x3 AS y1 FROM v6))))"""
 
 SQL["long4"] = """
 long4 AS (

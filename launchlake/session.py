@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,10 @@ RUNTIME_CONF = {
 }
 
 
+# Folders of sessions on one machine that name no shared one, by application.
+_local_scratch: dict[str, str] = {}
+
+
 def build_session(app: str = "launchlake", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session; ``master`` is left to spark-submit unless given."""
     builder = SparkSession.builder.appName(app)
@@ -42,13 +47,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for stream checkpoints and hand-off tables.
 
     On a cluster this lies in the shared folder the session names in
-    ``spark.checkpoint.dir``; only a session without one (tests) gets a
-    temporary folder of its own.
+    ``spark.checkpoint.dir``; only a session on one machine (tests) may do
+    without one and gets a temporary folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="launchlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = _local_scratch.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="launchlake-")
+        _local_scratch[spark.sparkContext.applicationId] = base
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 

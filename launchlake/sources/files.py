@@ -29,7 +29,7 @@ def read_events(spark: SparkSession, path: str | list[str], schema: str = EVENT_
         "columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.col("_metadata.file_path"))
     if not strict:
         return rows
-    message = F.concat(F.col("_file"), F.lit(": invalid JSON: "), F.substring("_bad", 1, 200))
+    message = F.concat(F.col("_file"), F.lit(": invalid JSON: "), F.col("_bad"))
     checked = F.when(F.col("_bad").isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("_file"))
     return rows.withColumn("_file", checked).drop("_bad")
 

@@ -17,30 +17,33 @@ def score_windows(windows: DataFrame, scorer: Callable[[], Scorer]) -> DataFrame
     """Add ``score`` and ``failed`` with a model loaded once per task.
 
     Works on batch and stream frames. A batch the model refuses is retried row
-    by row; rows it still refuses are flagged, never dropped.
+    by row; rows it still refuses are flagged with the error, never dropped.
     """
-    schema = windows.schema.simpleString()[len("struct<"):-1] + ",score:double,failed:boolean"
+    schema = windows.schema.simpleString()[len("struct<"):-1] + ",score:double,failed:boolean,error:string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = scorer()
         for batch in batches:
             try:
-                scores = list(model(batch))
+                scored = [(s, None) for s in model(batch)]
             except Exception:  # noqa: BLE001 - fail open per window
-                scores = [_one(model, batch.iloc[[i]]) for i in range(len(batch))]
+                scored = [_one(model, batch.iloc[[i]]) for i in range(len(batch))]
             out = batch.copy()
-            out["score"] = scores
-            out["failed"] = [s is None for s in scores]
+            out["score"] = [s for s, _ in scored]
+            out["error"] = [e for _, e in scored]
+            out["failed"] = out["error"].notna()
+            out = out[[*batch.columns, "score", "failed", "error"]]
             yield out
 
     return windows.mapInPandas(run, schema)
 
 
-def _one(model: Scorer, row: pd.DataFrame) -> float | None:
+def _one(model: Scorer, row: pd.DataFrame) -> tuple[float | None, str | None]:
+    """Score and no error, or no score and the error."""
     try:
-        return float(model(row).iloc[0])
-    except Exception:  # noqa: BLE001
-        return None
+        return float(model(row).iloc[0]), None
+    except Exception as failure:  # noqa: BLE001
+        return None, f"{type(failure).__name__}: {failure}"
 
 
 def stream_drop_stats(events: DataFrame) -> DataFrame:
