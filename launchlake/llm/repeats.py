@@ -99,14 +99,15 @@ def repeated(docs: DataFrame, size: int = WINDOW, seed: int = SEED_WORDS) -> Dat
                                               pa.array(columns[:, 3]), pa.array(columns[:, 4])], names=["key", "at", "count", "minimizer", "content"])
 
     walked = settle(docs.select("key", "text").mapInArrow(walk, "key long, at int, count int, minimizer long, content long"), "paths")
-    often = walked.groupBy("minimizer").agg(F.count("*").alias("seen")).filter("seen > 1").select("minimizer")
+    # Counts are written before they are joined: a join of plain tables is split where one minimizer has many paths.
+    often = settle(walked.groupBy("minimizer").agg(F.count("*").alias("seen")).filter("seen > 1").select("minimizer"), "often")
     open_paths = settle(walked.join(often, "minimizer", "left_semi"), "repeated-minimizers")
 
     path = ["minimizer", "content", "count"]
     compact = settle(open_paths.groupBy(*path).agg(F.count("*").alias("places"), F.min(F.struct("key", "at")).alias("source")), "compact-paths")
     whole = open_paths.join(compact.filter("places > 1").select(*path), path, "left_semi").select("key", "at", "count")
 
-    branching = compact.groupBy("minimizer").agg(F.count("*").alias("paths")).filter("paths > 1").select("minimizer")
+    branching = settle(compact.groupBy("minimizer").agg(F.count("*").alias("paths")).filter("paths > 1").select("minimizer"), "branching")
     opened = compact.join(branching, "minimizer", "left_semi").select("source.key", "source.at", "count", "minimizer", "places")
     opened = opened.groupBy("key").agg(F.collect_list(F.struct("at", "count", "minimizer", "places")).alias("paths"))
 
@@ -129,7 +130,7 @@ def repeated(docs: DataFrame, size: int = WINDOW, seed: int = SEED_WORDS) -> Dat
     texts = docs.filter("text is not null").select("key", "text")
     sources = texts.join(opened, "key").dropDuplicates(["key"])
     edge = settle(sources.mapInArrow(edges, "key long, at int, minimizer long, content long, places long"), "edges")
-    met = edge.groupBy("minimizer", "content").agg(F.sum("places").alias("places")).filter("places > 1").select("minimizer", "content")
+    met = settle(edge.groupBy("minimizer", "content").agg(F.sum("places").alias("places")).filter("places > 1").select("minimizer", "content"), "met-edges")
     # Paths with several places are removed as a whole already.
     single = edge.filter("places = 1").join(met, ["minimizer", "content"], "left_semi").select("key", "at", F.lit(1).alias("count"))
     return whole.union(single)
