@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlake.session import materialize, prepare
+from launchlake.session import prepare, scratch_dir
 
 # Upper-case ASCII letters to lower case, for ``bytes.translate``; ``bytes.split()``
 # then cuts at exactly the six ASCII white-space bytes 0x20 and 0x09-0x0D.
@@ -28,7 +28,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def settle(rows: DataFrame, name: str) -> DataFrame:
     """Write ``rows`` to the shared folder and read them back: cuts the lineage, survives lost executors."""
-    return materialize(rows, name)
+    path = scratch_dir(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:

@@ -42,9 +42,10 @@ END = 0xFF
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
 WORD = 1 << 62  # keys of words have this bit, keys of grams (context and byte) don't
-GRAM_BITS = np.uint64((1 << 8 * (DEPTH + 1)) - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 21
+ROWS_AT_ONCE = 500  # of a block, when it is scored
+WORDS_HELD = 100_000  # logs that are remembered between them
 
 
 def _bytes(text: str | None) -> bytes:
@@ -315,23 +316,28 @@ def _score(docs: pa.Table, needs: pa.Table) -> pa.Table:
     is_word = keys >= WORD
     table = _Table(keys[~is_word], values[~is_word])
     count_of = _Table(keys[is_word], values[is_word])
-    texts = [_bytes(t) for t in docs.column("text").to_pylist()]
-    scores = np.concatenate([np.add.reduceat(table[g], starts) for a, b in _slices(texts) for g, starts in [grams(texts[a:b])]])
     known: dict[bytes, float] = {}
-    n_tokens, n_known, base = [], [], []
-    for text in texts:
-        words = text.split()
-        words.append(b"")
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            known.update(zip(new, np.log10(count_of[np.array([word_key(w) for w in new], np.int64)] + 0.1).tolist()))
-        logs = np.array([known[w] for w in words])
-        n_tokens.append(len(words))
-        n_known.append(int((logs > -0.999).sum()))
-        base.append(float(logs.sum()))
+    scores, n_tokens, n_known, base = [], [], [], []
+    for batch in docs.select(["text"]).to_batches(max_chunksize=ROWS_AT_ONCE):
+        texts = [_bytes(t) for t in batch.column(0).to_pylist()]
+        for a, b in _slices(texts):
+            gram, starts = grams(texts[a:b])
+            scores.append(np.add.reduceat(table[gram], starts))
+        if len(known) > WORDS_HELD:
+            known.clear()
+        for text in texts:
+            words = text.split()
+            words.append(b"")
+            if new := [w for w in dict.fromkeys(words) if w not in known]:
+                known.update(zip(new, np.log10(count_of[np.array([word_key(w) for w in new], np.int64)] + 0.1).tolist()))
+            logs = np.array([known[w] for w in words])
+            n_tokens.append(len(words))
+            n_known.append(int((logs > -0.999).sum()))
+            base.append(float(logs.sum()))
     # Each word that was trained is first in one block only.
     distinct = int((is_word & needs.column("first").to_numpy(zero_copy_only=False) & (values > 0)).sum())
     return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                     "logs": pa.array(base), "score": pa.array(scores), "distinct": pa.array([distinct] + [0] * (len(texts) - 1), pa.int64())})
+                     "logs": pa.array(base), "score": pa.array(np.concatenate(scores)), "distinct": pa.array([distinct] + [0] * (len(base) - 1), pa.int64())})
 
 
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
