@@ -31,7 +31,8 @@ def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, dept
     """Class-balanced random forest over complete feature rows; trees grow until they are pure or as deep as the engine allows."""
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)]
+        RandomForestClassifier(featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed,
+                               cacheNodeIds=True, maxMemoryInMB=1024)]
     return Pipeline(stages=stages).fit(balanced_weights(train))
 
 
@@ -58,18 +59,19 @@ def label_id(binary: Column | str = "binary_label") -> Column:
     return (F.col(binary) if isinstance(binary, str) else binary).eqNullSafe("mining").cast("double")
 
 
-def train_window_forest(windows: DataFrame, candidates: Sequence[str], trees: int = 200) -> tuple[PipelineModel, DataFrame]:
+def train_window_forest(windows: DataFrame, candidates: Sequence[str], trees: int = 200, depth: int = MAX_DEPTH) -> tuple[PipelineModel, DataFrame]:
     """Fit on the train split of window features; predictions for every split."""
     rows = windows.where(F.col("binary_label").isin("benign", "mining"))
     features = N.usable_features(rows, candidates)
     rows = N.complete_rows(rows, features).withColumn("label_id", label_id())
-    model = fit_forest(rows.where(F.col("split") == "train"), features, trees)
+    model = fit_forest(rows.where(F.col("split") == "train"), features, trees, depth)
     return model, apply_model(model, rows)
 
 
-def train_point_forest(points: DataFrame, candidates: Sequence[str], max_fpr: float = 0.01, trees: int = 200) -> tuple[PipelineModel, float, DataFrame]:
+def train_point_forest(points: DataFrame, candidates: Sequence[str], max_fpr: float = 0.01, trees: int = 200,
+                       depth: int = MAX_DEPTH) -> tuple[PipelineModel, float, DataFrame]:
     """Forest on raw samples, run roll-up, alarm threshold tuned on validation runs."""
-    model, scored = train_window_forest(points, candidates, trees)
+    model, scored = train_window_forest(points, candidates, trees, depth)
     runs = N.run_alarm_rows(scored).join(scored.select("run_id", "split").distinct(), "run_id")
     tuned = M.tune_alarm(runs.where(F.col("split") == "val"), max_fpr).first()
     if tuned is None or tuned["runs"] is None:

@@ -15,6 +15,9 @@ from launchlake.plans.dataset_queries import split_examples
 from launchlake.plans.registry import query
 from launchlake.session import materialize, scratch_dir
 
+# The labels of this view have nothing to do with its features, so trees without a limit would only grow to one leaf per sample.
+DEPTH = 10
+
 WINDOW_FEATURES = [f"{m}_{s}" for m in N.DEVICE_METRICS for s in ("mean", "std", "min", "max", "median", "p95")]
 
 
@@ -31,21 +34,21 @@ def confusion(scored: DataFrame) -> DataFrame:
 @query("train_window_forest")
 def _(spark, d):
     windows = N.device_windows(views.device_samples(spark, d), SPEC)
-    _, scored = ml.train_window_forest(with_split(windows), WINDOW_FEATURES)
+    _, scored = ml.train_window_forest(with_split(windows), WINDOW_FEATURES, depth=DEPTH)
     return confusion(scored)
 
 
 @query("train_point_forest")
 def _(spark, d):
     points = with_split(N.device_points(views.device_samples(spark, d)))
-    _, _, runs = ml.train_point_forest(points, N.DEVICE_METRICS)
+    _, _, runs = ml.train_point_forest(points, N.DEVICE_METRICS, depth=DEPTH)
     return runs.select("split", "run_id", "binary_label", "sample_count", "mean_mining_probability", "run_prediction")
 
 
 @query("score_points")
 def _(spark, d):
     points = with_split(N.device_points(views.device_samples(spark, d)))
-    model, threshold, _ = ml.train_point_forest(points, N.DEVICE_METRICS)
+    model, threshold, _ = ml.train_point_forest(points, N.DEVICE_METRICS, depth=DEPTH)
     path = scratch_dir(spark, "point-model")
     model.write().overwrite().save(path)
     features = model.stages[0].getInputCols()
