@@ -55,6 +55,16 @@ def _label(addr: Column) -> Column:
     return F.concat(F.lit("L_"), F.when(digits == "", "0").otherwise(digits))
 
 
+def rewrite_branches(raw: DataFrame) -> DataFrame:
+    """(kernel_id, idx, text) with branch addresses replaced by label names, row by row.
+
+    Enough where nobody asks which instructions carry the labels.
+    """
+    hit = F.regexp_extract("text", BRANCH_ADDRESS, 1)
+    name = _label(F.regexp_replace(hit, "^0x", ""))
+    return raw.select("kernel_id", "idx", F.when(hit != "", F.replace("text", hit, name)).otherwise(F.col("text")).alias("text"))
+
+
 def label_branch_targets(raw: DataFrame) -> DataFrame:
     """Name branched-to addresses and rewrite branch operands to the names.
 

@@ -37,7 +37,12 @@ def shared_control(spark, d) -> DataFrame:
 
 
 def lines(spark, d) -> DataFrame:
-    return K.normalized_lines(labelled(spark, d))
+    return K.normalized_lines(K.rewrite_branches(views.raw_instructions(spark, d)))
+
+
+def loose_lines(spark, d) -> DataFrame:
+    """Normalized lines for reports that need no order within a kernel: no shuffle of the texts."""
+    return K.normalized_lines(K.rewrite_branches(views.raw_instructions(spark, d, spread=False)))
 
 
 # Pieces of SQL shared by the checks below.
@@ -124,14 +129,14 @@ CFG = ("ins0", "ins", "norm", "cost", "blk", "sums", "loops", "scored", "regions
 @query("token_count", sql("SELECT norm_text AS line, cost AS tokens, count(*) AS n FROM cost WHERE body IS NOT NULL GROUP BY ALL",
                           "ins0", "ins", "norm", "cost"))
 def _(spark, d):
-    return lines(spark, d).groupBy("line", F.col("cost").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+    return loose_lines(spark, d).groupBy("line", F.col("cost").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("normalize_instruction", sql("""
 SELECT norm_text AS line, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum, count(DISTINCT kernel_id) AS kernels
 FROM norm WHERE body IS NOT NULL GROUP BY ALL""", "ins0", "ins", "norm"))
 def _(spark, d):
-    return lines(spark, d).groupBy("line").agg(
+    return loose_lines(spark, d).groupBy("line").agg(
         F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"), F.count_distinct("kernel_id").alias("kernels"))
 
 
@@ -161,25 +166,26 @@ def _(spark, d):
 
 @query("opcode_raw", sql("SELECT op AS opcode, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM ins GROUP BY ALL", "ins0", "ins"))
 def _(spark, d):
-    return views.raw_instructions(spark, d).groupBy(T.opcode("text").alias("opcode")).agg(
+    return views.raw_instructions(spark, d, spread=False).groupBy(T.opcode("text").alias("opcode")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"))
 
 
 @query("opcode_normalized", sql("SELECT norm_op AS opcode, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM norm WHERE body IS NOT NULL GROUP BY ALL",
                                 "ins0", "ins", "norm"))
 def _(spark, d):
-    return lines(spark, d).groupBy(T.opcode_normalized("line").alias("opcode")).agg(
+    return loose_lines(spark, d).groupBy(T.opcode_normalized("line").alias("opcode")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"))
 
 
 @query("branch_target", sql("SELECT kernel_id, idx, 'L_' || lower(to_hex(target * 16)) AS target FROM ins WHERE kind = 'bra'", "ins0", "ins"))
 def _(spark, d):
-    return labelled(spark, d).select("kernel_id", "idx", T.branch_target("text").alias("target")).where(F.col("target").isNotNull())
+    rows = K.rewrite_branches(views.raw_instructions(spark, d, spread=False))
+    return rows.select("kernel_id", "idx", T.branch_target("text").alias("target")).where(F.col("target").isNotNull())
 
 
 @query("is_predicated", sql("SELECT kernel_id, count(*) AS instructions, count(*) FILTER (predicated) AS predicated FROM ins GROUP BY ALL", "ins0", "ins"))
 def _(spark, d):
-    return views.raw_instructions(spark, d).groupBy("kernel_id").agg(
+    return views.raw_instructions(spark, d, spread=False).groupBy("kernel_id").agg(
         F.count(F.lit(1)).alias("instructions"), F.count_if(T.is_predicated("text")).alias("predicated"))
 
 
@@ -189,13 +195,13 @@ SELECT op, CASE WHEN op IN ('IADD3', 'IMAD', 'LOP3', 'SHF', 'POPC', 'PRMT') THEN
   WHEN op IN ('FADD', 'FFMA', 'MUFU') THEN 'float' WHEN op = 'HMMA' THEN 'tensor' ELSE 'other' END AS class, count(*) AS n
 FROM ins GROUP BY ALL""", "ins0", "ins"))
 def _(spark, d):
-    rows = views.raw_instructions(spark, d).select(T.opcode("text").alias("op"))
+    rows = views.raw_instructions(spark, d, spread=False).select(T.opcode("text").alias("op"))
     return rows.groupBy("op", T.opcode_class(F.col("op")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("opcode_mix", sql("SELECT kernel_id, op, count(*) AS n FROM ins GROUP BY ALL", "ins0", "ins"))
 def _(spark, d):
-    return K.opcode_mix(views.raw_instructions(spark, d))
+    return K.opcode_mix(views.raw_instructions(spark, d, spread=False))
 
 
 @query("parse_log_metric", """
@@ -357,7 +363,7 @@ def _(spark, d):
 SELECT kernel_id, round(avg((norm_op IN ('IADD3', 'IMAD', 'LOP3', 'SHF', 'ISETP', 'LEA'))::INT), 6) AS ratio
 FROM norm WHERE body IS NOT NULL AND norm_op <> '' GROUP BY ALL""", "ins0", "ins", "norm"))
 def _(spark, d):
-    return K.bitwise_integer_ratio(lines(spark, d)).withColumn("ratio", r6("ratio"))
+    return K.bitwise_integer_ratio(loose_lines(spark, d)).withColumn("ratio", r6("ratio"))
 
 
 @query("compute_instruction_ratio", sql("""
@@ -368,7 +374,7 @@ SELECT kernel_id, count(*) AS instruction_count,
   round(count(*) FILTER (o IN ('IADD3', 'IMAD', 'LOP3', 'SHF', 'ISETP', 'LEA', 'FADD', 'FFMA', 'MUFU', 'HMMA')) / count(*), 6) AS compute_instruction_ratio
 FROM o GROUP BY ALL""", "ins0", "ins"))
 def _(spark, d):
-    out = K.compute_instruction_ratio(labelled(spark, d))
+    out = K.compute_instruction_ratio(views.raw_instructions(spark, d, spread=False))
     return out.withColumn("compute_instruction_ratio", r6("compute_instruction_ratio"))
 
 

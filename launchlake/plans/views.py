@@ -153,16 +153,16 @@ def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("kernel_id"), "source", "lang", _words("text").alias("words"))
 
 
-def raw_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_instructions(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """(kernel_id, idx, addr, text) rows with unresolved branch addresses.
 
-    Documents are spread by ``kernel_id`` while they are still compact text,
+    With ``spread``, documents are spread by ``kernel_id`` while they are still compact text,
     so the per-kernel scans further down need no shuffle of the far larger
     instruction table.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kernel_id"), "text")
     # a fixed count: adaptive coalescing would judge by the compact text, not by what it turns into
-    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kernel_id")
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kernel_id") if spread else docs
     # the count is taken below the generator, which then carries no array along
     docs = docs.select("kernel_id", _words("text").alias("words")).withColumn("n", F.size("words"))
     rows = docs.select("kernel_id", "n", F.posexplode("words").alias("idx", "word"))

@@ -122,3 +122,10 @@ def test_names(spark):
     df = spark.createDataFrame([("kernel/name:with space", "Crypto Night_O3"), ("", "--")], "k string, w string")
     a, b = df.select(S.safe_kernel("k").alias("k"), S.safe_workload("w").alias("w"), S.group_id("w").alias("g")).collect()
     assert (a.k, a.w, a.g) == ("kernel_name_with_space", "crypto_night_o3", "Crypto Night") and (b.k, b.w) == ("kernel", "unknown")
+
+
+def test_operands_are_told_apart_by_bracket_depth(spark):
+    cases = [("IADD3 R1, [R2, c[R3]], R4", "IADD3 REG, MEM, REG"), ("LDG R1, [R2, [R3, [R4]]], R5", "LDG REG, MEM, REG"), ("MOV R1], R2, [R3], R4", "MOV REG], REG, MEM, REG"),
+             ("MOV R1, R2, c[0x0][0x20]", "MOV REG, REG, CONST"), ("LD R1, [R2, R3", "LD REG, [REG, REG")]
+    got = spark.createDataFrame(cases, "line string, want string").select("want", T.normalize_instruction("line").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
