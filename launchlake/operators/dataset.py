@@ -268,12 +268,27 @@ def coverage_equality(examples: DataFrame, everything: DataFrame) -> DataFrame:
         right.exceptAll(left).withColumn("side", F.lit("all_only")))
 
 
-def class_weights(examples: DataFrame, n_labels: int) -> DataFrame:
-    """Balanced weights over groups; conflicting or missing classes are flagged."""
-    groups = examples.groupBy("group_id").agg(F.min("label_id").alias("label_id"), F.max("label_id").alias("_hi"))
+def windowed_only(examples: DataFrame) -> DataFrame:
+    """Examples without the placeholders of captures that have no window (``no_window``, where the column exists)."""
+    return examples.where(~F.coalesce("no_window", F.lit(False))) if "no_window" in examples.columns else examples
+
+
+def class_weights(examples: DataFrame, n_labels: int, strict: bool = True) -> DataFrame:
+    """Balanced weights over groups with windows.
+
+    A group with several labels, or a class without groups, stops a strict
+    run; otherwise they are counted in ``conflicts`` and get no weight.
+    """
+    groups = windowed_only(examples).groupBy("group_id").agg(F.min("label_id").alias("label_id"), F.max("label_id").alias("_hi"))
+    if strict:
+        mixed = F.raise_error(F.concat(F.lit("conflicting labels for group "), F.col("group_id").cast("string"))).cast("boolean")
+        groups = groups.where(F.when(F.col("_hi") != F.col("label_id"), mixed).otherwise(True))
     per = groups.groupBy("label_id").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("_hi") != F.col("label_id")).alias("conflicts"))
     total = per.agg(F.sum("groups").alias("total")).withColumn("label_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_labels - 1).cast("long"))))
     out = total.join(per, "label_id", "left")
+    if strict:
+        absent = F.raise_error(F.concat(F.lit("no group has label "), F.col("label_id").cast("string"))).cast("boolean")
+        out = out.where(F.when(F.col("groups").isNull(), absent).otherwise(True))
     return out.select("label_id", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"),
                       (F.col("total") / (n_labels * F.col("groups"))).alias("weight"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchlake.functions import text as T
+from launchlake.operators import dataset as D
 from launchlake.operators import ordered
 
 # The special tokens, in id order.
@@ -13,7 +14,8 @@ SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 
 
 def token_counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select(*keys, F.explode(T.tokens(text)).alias("token")).groupBy(*keys, "token").agg(
+    """Counts per token; placeholders of captures without windows have no text to count."""
+    return D.windowed_only(docs).select(*keys, F.explode(T.tokens(text)).alias("token")).groupBy(*keys, "token").agg(
         F.count(F.lit(1)).alias("n"))
 
 

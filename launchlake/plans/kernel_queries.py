@@ -394,8 +394,12 @@ SQL["frag1200"] = SQL["frag"].replace("{b}", "1200")
 SQL["frag60"] = SQL.pop("frag").replace("{b}", str(VIEW_BUDGET))
 
 
-def fragments(spark, d, budget: int) -> DataFrame:
-    ins = shared_control(spark, d)
+def fragments(spark, d, budget: int, launched: DataFrame | None = None) -> DataFrame:
+    """Rendered lines of every listing, or of the ``launched`` kernels only."""
+    raw = views.raw_instructions(spark, d)
+    if launched is not None:
+        raw = raw.join(launched.select("kernel_id").distinct(), "kernel_id", "left_semi")
+    ins = materialize(K.with_control(K.label_branch_targets(raw)), "control")
     return K.render_fragments(K.normalized_lines(ins), K.main_ranges(ins), budget)
 
 
@@ -577,16 +581,19 @@ def rendered_kernels(spark, d) -> DataFrame:
 , r AS (SELECT m.capture_id, m.window_id, m.pos, f.idx, f.norm_text AS line, f.cost FROM members m JOIN rk ON rk.kid = m.kid JOIN frag f USING (kernel_id)
   UNION ALL SELECT m.capture_id, m.window_id, m.pos, 1000000000, 'KERNEL_BOUNDARY', 1 FROM members m JOIN rk ON rk.kid = m.kid),
 c AS (SELECT *, sum(cost) OVER (PARTITION BY capture_id, window_id ORDER BY pos DESC, idx DESC) AS c, sum(cost) OVER (PARTITION BY capture_id, window_id) AS pre FROM r),
-inc AS (SELECT capture_id, window_id, count(*) AS members, count(rk.kid) AS included FROM members m LEFT JOIN rk ON rk.kid = m.kid GROUP BY ALL)
-SELECT capture_id, window_id, any_value(included) AS included_launches, any_value(members - included) AS missing_launches, CAST(any_value(pre) AS BIGINT) AS pre_clip_token_cost,
-  CAST(sum(cost) AS BIGINT) AS token_cost, any_value(pre) > 60 AS front_clipped, CAST(any_value(pre) - sum(cost) AS BIGINT) AS clipped_token_count,
-  md5(string_agg(line, chr(10) ORDER BY pos, idx)) AS text_md5
-FROM c JOIN inc USING (capture_id, window_id) WHERE c <= 60 GROUP BY capture_id, window_id""",
+inc AS (SELECT capture_id, window_id, count(*) AS members, count(rk.kid) AS included, coalesce(string_agg(DISTINCT m.kid, ',' ORDER BY m.kid) FILTER (rk.kid IS NULL), '') AS missing_kernels
+  FROM members m LEFT JOIN rk ON rk.kid = m.kid GROUP BY ALL),
+t AS (SELECT capture_id, window_id, any_value(pre) AS pre, sum(cost) FILTER (c <= 60) AS kept, md5(string_agg(line, chr(10) ORDER BY pos, idx) FILTER (c <= 60)) AS text_md5 FROM c GROUP BY capture_id, window_id)
+SELECT capture_id, window_id, included AS included_launches, members - included AS missing_launches, missing_kernels, CAST(coalesce(pre, 0) AS BIGINT) AS pre_clip_token_cost,
+  CAST(coalesce(kept, 0) AS BIGINT) AS token_cost, coalesce(pre, 0) > 60 AS front_clipped, CAST(coalesce(pre, 0) - coalesce(kept, 0) AS BIGINT) AS clipped_token_count, included = 0 AS failed, text_md5
+FROM inc LEFT JOIN t USING (capture_id, window_id)""",
     "v1", "launch_rows", "scan", "windows", "members", *CFG, "frag60", "rk"))
 def _(spark, d):
     from launchlake.operators import render
-    return render.render_windows(LQ.window_members(spark, d), rendered_kernels(spark, d), fragments(spark, d, VIEW_BUDGET),
-                                 ["capture_id", "window_id"], VIEW_BUDGET).withColumn("text_md5", F.md5("text")).drop("text")
+    kernels = materialize(rendered_kernels(spark, d), "rendered-kernels")
+    return render.render_windows(LQ.window_members(spark, d), kernels, fragments(spark, d, VIEW_BUDGET, kernels),
+                                 ["capture_id", "window_id"], VIEW_BUDGET).withColumns(
+                                     {"text_md5": F.md5("text"), "missing_kernels": F.array_join("missing_kernels", ",")}).drop("text")
 
 
 @query("capped_workload_render", sql("""
@@ -599,8 +606,9 @@ def _(spark, d):
     from launchlake.operators import render
     from launchlake.operators.launches import limit_launches
     first = limit_launches(LQ.launch_rows(spark, d), ["capture_id"], 16).withColumn("kernel_id", F.col("l0_kernel_id")).withColumn("pos", F.col("rank"))
-    out = render.render_windows(first, rendered_kernels(spark, d), fragments(spark, d, VIEW_BUDGET), ["capture_id"], None)
-    return out.select("capture_id", "included_launches", "token_cost", F.md5("text").alias("text_md5"))
+    kernels = materialize(rendered_kernels(spark, d), "rendered-kernels")
+    out = render.render_windows(first, kernels, fragments(spark, d, VIEW_BUDGET, kernels), ["capture_id"], None)
+    return out.where(~F.col("failed")).select("capture_id", "included_launches", "token_cost", F.md5("text").alias("text_md5"))
 
 
 @query("artifact_validation", """

@@ -104,3 +104,27 @@ def test_strict_and_lenient_event_reads(spark, tmp_path):
     assert [(r.sequence, r._bad is None) for r in rows] == [(1, True), (None, False)]
     with pytest.raises(Exception, match="invalid JSON"):
         files.read_events(spark, str(tmp_path)).select("sequence", "_file").collect()
+
+
+def test_class_weights_leave_out_placeholders_and_refuse_conflicts(spark):
+    schema = "group_id string, label_id long, no_window boolean"
+    rows = [("a", 0, False), ("a", 0, None), ("b", 1, False), ("c", 1, False), ("a", 1, True), ("d", 0, True)]
+    got = {r.label_id: (r.groups, r.weight) for r in D.class_weights(spark.createDataFrame(rows, schema), 2).collect()}
+    assert got == {0: (1, 1.5), 1: (2, 0.75)}
+    mixed = spark.createDataFrame([*rows, ("b", 0, False)], schema)
+    with pytest.raises(Exception, match="conflicting labels for group b"):
+        D.class_weights(mixed, 2).collect()
+    assert sum(r.conflicts for r in D.class_weights(mixed, 2, strict=False).collect()) == 1
+    with pytest.raises(Exception, match="no group has label 2"):
+        D.class_weights(spark.createDataFrame(rows, schema), 3).collect()
+
+
+def test_a_window_without_any_listing_is_kept_as_failed(spark):
+    from launchlake.operators import render
+
+    members = spark.createDataFrame([("w1", 0, "k1"), ("w1", 1, "gone"), ("w2", 0, "gone"), ("w2", 1, None)], "w string, pos int, kernel_id string")
+    kernels = spark.createDataFrame([("k1", 7)], "kernel string, kernel_id long")
+    lines = spark.createDataFrame([(7, 0, "MOV REG, REG", 4)], "kernel_id long, idx int, line string, cost long")
+    got = {r.w: r for r in render.render_windows(members, kernels, lines, ["w"], 60).collect()}
+    assert (got["w1"].failed, got["w1"].missing_kernels, got["w1"].token_cost) == (False, ["gone"], 5)
+    assert (got["w2"].failed, got["w2"].missing_kernels, got["w2"].text, got["w2"].missing_launches) == (True, ["gone", "unnamed"], None, 2)
