@@ -8,10 +8,11 @@ of a special token are encoded as a whole.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import compress, pairwise
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -23,21 +24,33 @@ END_ID = 1
 KNOWN_WORDS = 500_000  # words whose ids a worker holds in each of two generations
 WORDS_TOGETHER = 50
 MARKS = b".,"
+HARMLESS = {"NFC", "NFKC", "Lowercase", "Replace", "Split", "ByteLevel"}
 _readers: dict[str, Encoder] = {}
 
 
+def _steps(part: dict | None) -> list[dict]:
+    """The steps of a tokenizer's normalizer or pre-tokenizer."""
+    return [] if part is None else part.get("normalizers") or part.get("pretokenizers") or [part]
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         # Ids that end a unit, for tokenizers that mark word ends.
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Lower-case ASCII letters pass these steps unchanged, so such words can go to the merges at once.
+        settings = json.loads(self._tokenizer.to_str())
+        steps = {k["type"] for part in ("normalizer", "pre_tokenizer") for k in _steps(settings[part])}
+        self._letters = Tokenizer(self._tokenizer.model) if steps <= HARMLESS else self._tokenizer
+        if steps <= HARMLESS:
+            self._letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
@@ -46,12 +59,16 @@ class Encoder:
 
     def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of words; those of letters only are one unit each, so they are encoded together and told apart by word ends."""
-        letters = [w.isalpha() or (not w.isascii() and w.decode().lower().isalpha()) for w in words]
-        odd = [w for w, plain in zip(words, letters) if not plain]
+        ascii_, other, odd = [], [], []
+        for w in words:
+            (ascii_ if w.isalpha() else other if not w.isascii() and w.decode().lower().isalpha() else odd).append(w)
         yield from zip(odd, self._encode([w.decode() for w in odd]))
-        plain = list(compress(words, letters))
-        groups = [plain[at:at + WORDS_TOGETHER] for at in range(0, len(plain), WORDS_TOGETHER)]
-        for group, e in zip(groups, self._tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+        yield from self._encode_together(self._letters, ascii_)
+        yield from self._encode_together(self._tokenizer, other)
+
+    def _encode_together(self, tokenizer: object, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        groups = [words[at:at + WORDS_TOGETHER] for at in range(0, len(words), WORDS_TOGETHER)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cuts = [0, *((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()]
             if len(cuts) == len(group) + 1:
@@ -64,13 +81,15 @@ class Encoder:
         """Ids of words not known yet; a final comma or stop behind a letter is a token of its own."""
         if len(self._known) > KNOWN_WORDS:
             self._older, self._known = self._known, {}
-        older = self._older
+        known, older = self._known, self._older
         new = [w for w in words if w not in older]
-        self._known.update((w, older[w]) for w in words if w in older)
+        known.update((w, older[w]) for w in words if w in older)
         stems = [w[:-1] if w[-1] in MARKS and w[-2:-1].isalpha() else w for w in new]
-        ids = dict(self._encode_words(list(dict.fromkeys(stems))))
+        distinct = dict.fromkeys(stems)
+        known.update((s, older[s]) for s in distinct if s in older)
+        known.update(self._encode_words([s for s in distinct if s not in known]))
         marks = {m: self._encode([chr(m)])[0] for m in MARKS}
-        self._known.update((w, ids[s] if len(w) == len(s) else ids[s] + marks[w[-1]]) for w, s in zip(new, stems))
+        known.update((w, known[s] + marks[w[-1]]) for w, s in zip(new, stems) if len(w) != len(s))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text (null: none), without an end id."""
