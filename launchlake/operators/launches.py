@@ -51,8 +51,13 @@ def with_order(df: DataFrame) -> DataFrame:
 ORDER = ("_tier", "_value", "_line")
 
 
+def value_bucket(tier: Column, value: Column, width: int = ordered.DEFAULT_WIDTH) -> Column:
+    """Bucket of an order value; timestamps count nanoseconds, so theirs are a million times as wide."""
+    return F.when(tier == 1, ordered.bucket_of(value, width * 1_000_000)).otherwise(ordered.bucket_of(value, width))
+
+
 def order_bucket(width: int = ordered.DEFAULT_WIDTH) -> list[Column]:
-    return [F.col("_tier"), ordered.bucket_of("_value", width)]
+    return [F.col("_tier"), value_bucket(F.col("_tier"), F.col("_value"), width)]
 
 
 def event_order(events: DataFrame, keys: Sequence[str], width: int = ordered.DEFAULT_WIDTH) -> DataFrame:

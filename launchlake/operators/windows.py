@@ -151,7 +151,7 @@ def window_ids(windows: DataFrame, scope: Sequence[str] = ("capture_id",), width
     """
     flush = F.col("is_flush").cast("int")
     order = [flush, F.col("place._tier"), F.col("place._value"), F.col("place._line")]
-    bucket = [flush, F.col("place._tier"), ordered.bucket_of(F.col("place._value"), width)]
+    bucket = [flush, F.col("place._tier"), L.value_bucket(F.col("place._tier"), F.col("place._value"), width)]
     numbered = ordered.ordinal(windows, scope, order, bucket, "window_index")
     digits = F.col("window_index").cast("string")
     padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
@@ -295,9 +295,8 @@ def _allocate(runs: DataFrame, keys: Sequence[str], target: int) -> DataFrame:
         F.sum("_floor").alias("_given"),
         F.max(F.struct("_frac", (-F.col("_run")).alias("r"))).alias("_top"))
     rows = runs.join(sums, list(keys))
-    # runs in order of (fraction, run); fractions are in [0, 1), so a coarse slice of them is the bucket
-    slice_ = [F.floor(F.col("_frac") * 4096).cast("long")]
-    rows = ordered.running_totals(rows, keys, ["_frac", "_run"], slice_, {"_spare": F.col("_floor") - 1})
+    # runs in order of (fraction, run); runs of one length share their fraction, so they are cut by number, too
+    rows = ordered.running_totals(rows, keys, ["_frac", "_run"], [F.col("_frac"), ordered.bucket_of("_run")], {"_spare": F.col("_floor") - 1})
     over = F.greatest(F.col("_given") - target, F.lit(0))
     before = F.col("_spare") - (F.col("_floor") - 1)
     cut = F.greatest(F.lit(0), F.least(F.col("_floor") - 1, over - before))

@@ -325,7 +325,17 @@ def _(spark, d):
         F.sum("launch_count").alias("launches"))
 
 
-@query("proportional_condense")
+@query("proportional_condense", sql("""
+, p AS (SELECT capture_id, pid, device, stream, sequence, code_id, row_number() OVER (PARTITION BY capture_id, pid, device, stream ORDER BY sequence) - 1 AS pos FROM launch_rows),
+c AS (SELECT *, sum((pos = 0 OR code_id IS DISTINCT FROM before)::INT) OVER (PARTITION BY capture_id, pid, device, stream ORDER BY pos) AS run FROM (SELECT *, lag(code_id) OVER (PARTITION BY capture_id, pid, device, stream ORDER BY pos) AS before FROM p)),
+r AS (SELECT *, sum(len) OVER (PARTITION BY capture_id, pid, device, stream) AS total FROM (SELECT capture_id, pid, device, stream, run, min(pos) AS start, count(*) AS len FROM c GROUP BY ALL)),
+e AS (SELECT *, greatest(1, floor(len * 20 / total)) AS fl, len * 20 / total - floor(len * 20 / total) AS fr FROM r),
+g AS (SELECT *, sum(fl) OVER (PARTITION BY capture_id, pid, device, stream) AS given, row_number() OVER (PARTITION BY capture_id, pid, device, stream ORDER BY fr DESC, run) = 1 AS top,
+  sum(fl - 1) OVER (PARTITION BY capture_id, pid, device, stream ORDER BY fr, run ROWS UNBOUNDED PRECEDING) AS spare FROM e),
+a AS (SELECT *, CAST(fl - greatest(0, least(fl - 1, greatest(given - 20, 0) - (spare - (fl - 1)))) + CASE WHEN top THEN greatest(20 - given, 0) ELSE 0 END AS BIGINT) AS alloc FROM g),
+k AS (SELECT capture_id, pid, device, stream, sequence, pos, code_id, total, row_number() OVER (PARTITION BY capture_id, pid, device, stream ORDER BY pos) AS nth FROM c JOIN a USING (capture_id, pid, device, stream, run)
+  WHERE total <= 20 OR alloc >= len OR CASE WHEN alloc = 1 THEN pos = start ELSE list_contains(list_transform(range(alloc), lambda i: CAST(round_even(i * ((len - 1) / (alloc - 1)), 0) AS BIGINT)), pos - start) END)
+SELECT capture_id, pid, device AS device_pci_bus_id, stream, sequence, pos, code_id FROM k WHERE nth <= 20 OR total <= 20""", "v1", "launch_rows"))
 def _(spark, d):
     rows = L.event_order(launch_rows(spark, d), KEYS).withColumnRenamed("position", "pos")
     return W.proportional_condense(rows, KEYS, 20).select(*KEYS, "sequence", "pos", "code_id")
