@@ -67,7 +67,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
-@query("op5_de_bruijn_dedup")
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS pos, len(words) AS n FROM d),
+k AS (SELECT r, pos, CASE WHEN pos + 35 <= n THEN sha256(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h, word FROM w),
+c AS (SELECT r, pos, word, CASE WHEN h IS NOT NULL THEN count(*) OVER (PARTITION BY h) > 1 ELSE false END AS again FROM k),
+g AS (SELECT r, pos, word, bool_or(again) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+s AS (SELECT r, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
+
+
+@query("op5_de_bruijn_dedup", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated passages."""
     left = repeats.remove(read_table(spark, sf_dir, "documents"))
