@@ -17,36 +17,43 @@ LEAST_COSINE = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that was learned; profiles come from the rows of ``docs`` that name one."""
+    """Keep documents in a language that was learned; profiles come from the rows of ``docs`` that name one.
+
+    Null texts and texts without a letter are in no language and go.
+    """
     prepared(spark)
     judged = language_id.predict(docs, language_id.learn(docs), pred="_language", score="_cosine")
     return judged.filter((F.col("_language") != language_id.UNDETERMINED) & (F.col("_cosine") >= LEAST_COSINE)).drop("_language", "_cosine")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of close fingerprints."""
+    """Keep one document of each component of close fingerprints: the one with the smallest id, then the smallest hash.
+
+    Rows are told apart by id and text: equal rows are one document, rows that share an id but not the text are
+    judged by themselves, and a missing id comes before all others.
+    """
     prepared(spark)
-    grouped = simhash.near_duplicates(docs)
-    kept = settle(grouped.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    # Rows that share the smallest id are one document; so are equal rows. Rows without an id stay.
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    keyed = docs.withColumn("_key", decontaminate.row_key("doc_id", "text"))
+    grouped = simhash.near_duplicates(keyed.withColumn("_id", F.struct("doc_id", "_key")), doc_id="_id")
+    kept = settle(grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id._key").alias("_key")).distinct(), "kept-rows")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts hold none."""
     prepared(spark)
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by its kind; n_chars follows."""
+    """Replace personal data in the texts by its kind; n_chars follows. Null texts stay null."""
     prepared(spark)
     redacted = pii.redact(docs, pii.learn(docs))
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences; null and empty texts are one end id."""
     prepared(spark)
     return packing.pack(packing.pieces(docs))
 
