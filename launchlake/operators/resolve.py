@@ -27,9 +27,9 @@ def resolve_names(pairs: DataFrame, functions: DataFrame, use_size: bool = True)
 
     Ladder: exact, equal after newline folding, substring either way without
     blanks, largest function of the code object. Ties go to the longer, then
-    the earlier function. The substring step is an equi-join on four-character
-    seeds, so the functions of one code object are never paired with all of
-    its launched names. ``use_size=False`` is the live variant in which bodies
+    the earlier function. The substring step is an equi-join on the rarest
+    four characters of the shorter name, so the functions of one code object
+    are never paired with all of its launched names. ``use_size=False`` is the live variant in which bodies
     have no length yet.
     """
     pairs = pairs.select("kernel_name", "code_id").distinct()
@@ -60,24 +60,36 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, size)))
 
 
+def containment_candidates(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(code_id, needle, text) pairs that share the needle's rarest gram.
+
+    Takes distinct (code_id, needle) and (code_id, text). Grams are counted per
+    code object first; a needle with a gram that no text has is inside none,
+    and the others meet only the texts that hold their rarest gram, so names
+    with a common beginning are not paired with each other.
+    """
+    short = F.least(F.lit(SEED), F.length("text"))
+    grams = hay.select("code_id", "text", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), short), lambda n: _grams(F.col("text"), n)))).alias("seed"))
+    spread = grams.groupBy("code_id", "seed").agg(F.count(F.lit(1)).alias("df"))
+    own = needles.select("code_id", "needle", F.explode(_grams(F.col("needle"), F.least(F.lit(SEED), F.length("needle")))).alias("seed"))
+    rarest = own.join(spread, ["code_id", "seed"], "left").groupBy("code_id", "needle").agg(
+        F.min(F.struct("df", "seed")).alias("r"), F.count_if(F.col("df").isNull()).alias("absent")).where(F.col("absent") == 0)
+    return rarest.select("code_id", "needle", F.col("r.seed").alias("seed")).join(grams, ["code_id", "seed"]).select("code_id", "needle", "text")
+
+
 def _substring_matches(pairs: DataFrame, funcs: DataFrame) -> DataFrame:
     target = pairs.withColumn("target", compact_name("kernel_name")).where(~F.col("target").isin("", "$"))
-    # an empty function name is inside every target and has no seed of its own
+    # an empty function name is inside every target and has no gram
     empty = target.join(funcs.where(F.col("compact") == ""), "code_id")
     named = funcs.where(F.col("compact") != "")
-    short = lambda c: F.least(F.lit(SEED), F.length(c))
-    sizes = F.transform(F.sequence(F.lit(1), short(F.col("compact"))), lambda n: _grams(F.col("compact"), n))
-    # target inside function: the target's leading seed occurs in the function
-    in_function = target.withColumn("seed", F.substring(F.col("target"), F.lit(1), short(F.col("target")))).join(
-        named.withColumn("seed", F.explode(F.flatten(sizes))), ["code_id", "seed"]
-    ).where(F.contains("compact", "target"))
-    # function inside target: the function's leading seed occurs in the target
-    own = F.transform(F.sequence(F.lit(1), short(F.col("target"))), lambda n: _grams(F.col("target"), n))
-    in_target = target.withColumn("seed", F.explode(F.flatten(own))).join(
-        named.withColumn("seed", F.substring(F.col("compact"), F.lit(1), short(F.col("compact")))), ["code_id", "seed"]
-    ).where(F.contains("target", "compact"))
+    targets, compacts = target.select("code_id", "target").distinct(), named.select("code_id", "compact").distinct()
+    in_function = containment_candidates(targets.withColumnRenamed("target", "needle"), compacts.withColumnRenamed("compact", "text"))
+    in_function = in_function.where(F.contains("text", "needle")).select("code_id", F.col("needle").alias("target"), F.col("text").alias("compact"))
+    in_target = containment_candidates(compacts.withColumnRenamed("compact", "needle"), targets.withColumnRenamed("target", "text"))
+    in_target = in_target.where(F.contains("text", "needle")).select("code_id", F.col("text").alias("target"), F.col("needle").alias("compact"))
+    met = in_function.union(in_target).distinct()
     columns = ["kernel_name", "code_id", "function", "n_instr", "ord"]
-    return in_function.select(*columns).unionByName(in_target.select(*columns)).unionByName(empty.select(*columns))
+    return target.join(met, ["code_id", "target"]).join(named, ["code_id", "compact"]).select(*columns).unionByName(empty.select(*columns))
 
 
 def join_launch_kernel(launches: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -129,3 +129,14 @@ def test_operands_are_told_apart_by_bracket_depth(spark):
              ("MOV R1, R2, c[0x0][0x20]", "MOV REG, REG, CONST"), ("LD R1, [R2, R3", "LD REG, [REG, REG")]
     got = spark.createDataFrame(cases, "line string, want string").select("want", T.normalize_instruction("line").alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_mangled_names_of_one_library_are_not_all_paired(spark):
+    names = [f"_ZN2at6native29vectorized_elementwise_kernelILi4E{i:04d}EEvT0_" for i in range(2000)]
+    hay = spark.createDataFrame([(1, n) for n in names], "code_id long, text string")
+    needles = spark.createDataFrame([(1, n[:-3]) for n in names] + [(1, "_ZN2at6nothing"), (1, "v")], "code_id long, needle string")
+    met = R.containment_candidates(needles, hay)
+    assert met.where("needle = 'v'").count() == 2000 and met.where("needle = '_ZN2at6nothing'").count() == 0
+    longer = met.where("length(needle) > 1")
+    assert longer.where("contains(text, needle)").count() == 2000
+    assert longer.count() <= 10 * 2000
