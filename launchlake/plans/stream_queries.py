@@ -21,9 +21,10 @@ from launchlake.streaming import runner, stateful, stateless
 
 
 def event_stream(spark, d) -> DataFrame:
-    """The events table as a stream of launch-view rows."""
-    schema = views.table(spark, d, "events").schema
-    return views.launch_columns(runner.stream_table(spark, d, schema, glob="events.parquet"))
+    """The events table as a stream of launch-view rows, in four micro-batches or more."""
+    events = views.table(spark, d, "events")
+    path = runner.stage_in_order(events, "event_id", [F.col("user_id") % 30], "event-feed")
+    return views.launch_columns(runner.stream_table(spark, path, events.schema, files_per_trigger=1))
 
 
 WINDOW_SQL = """
@@ -98,8 +99,8 @@ SELECT run_id, gpu_uuid, start_ns, count(*) AS n, round(avg(v), 6) AS m_mean, ro
 FROM s GROUP BY run_id, gpu_uuid, start_ns""", "v4"))
 def _(spark, d):
     samples = views.device_samples(spark, d).select("run_id", "gpu_uuid", "timestamp_ns", "power_usage_watts")
-    path = runner.stage(samples, "counter-input")
-    stream = runner.stream_table(spark, path, samples.schema)
+    path = runner.stage_in_order(samples, "timestamp_ns", [F.col("run_id")], "counter-input")
+    stream = runner.stream_table(spark, path, samples.schema, files_per_trigger=1)
     return rounded(runner.run_complete(stateless.stream_counter_windows(stream, "power_usage_watts"), "counter-windows"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from launchlake.session import scratch_dir
 
@@ -41,6 +44,21 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def stage_in_order(rows: DataFrame, order: str, keys: Sequence[Column], name: str, steps: int = 4, rows_per_file: int = 500_000) -> str:
+    """Write a table in ``steps`` appends of rising ``order``, so a stream of one file at a time sees it in that order.
+
+    Within an append the rows of a key stay in one file.
+    """
+    out = scratch_dir(rows.sparkSession, name)
+    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    width = ((span.high or 0) - (span.low or 0)) // steps + 1
+    files = max(1, -(-span.n // (steps * rows_per_file)))
+    for step in range(steps):
+        low = (span.low or 0) + step * width
+        rows.where(F.col(order).between(low, low + width - 1)).repartition(files, *keys).write.mode("append").parquet(out)
+    return out
+
+
 def stage(rows: DataFrame, name: str, files: int | None = None) -> str:
     """Write a table other jobs or streams read from the shared folder."""
     out = scratch_dir(rows.sparkSession, name)
