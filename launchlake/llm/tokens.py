@@ -21,7 +21,7 @@ from launchlake.llm.common import LOWER
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-KNOWN_WORDS = 500_000  # words whose ids a worker holds in each of two generations
+KNOWN_WORDS = 700_000  # words whose ids a worker holds in each of two generations
 WORDS_TOGETHER = 50
 MARKS = b".,"
 HARMLESS = {"NFC", "NFKC", "Lowercase", "Replace", "Split", "ByteLevel"}
