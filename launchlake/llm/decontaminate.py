@@ -4,8 +4,10 @@ Texts become templates: numbers, names and units are replaced by typed placehold
 everything else is lower-cased letters. A benchmark item is found in a document when
 windows of five template words, covering at least ``share`` of the item's distinct
 windows, occur there with consistent slots: along one alignment, equal values of the
-item must stand for equal values of the document and different ones for different
-ones. Copies and re-parameterised questions are both caught that way.
+item must stand for equal values of the document. Where they don't, the value at most
+places holds, or the item's own among equally frequent ones, and only the windows over
+other values are lost; without such a value all windows over these slots are. Copies and
+re-parameterised questions are both caught that way.
 
 Only DataFrame functions are used. The windows of all documents are joined once with
 the distinct windows of the benchmark. Pairs of document and item are then formed
@@ -112,12 +114,18 @@ def found_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     keys = settle(under.select("key").distinct(), "slot-keys")
     own = docs.filter(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("key"), F.col(text).alias("own_text")).join(
         _bounded(keys), "key").dropDuplicates(["key"]).select("key", raw_words(F.col("own_text")).alias("raw"))
-    values = own.join(under, "key").select("key", "item", "version", "shift", "kind", "item_value", F.get("raw", F.col("place") + F.col("shift")).alias("value"))
+    values = own.join(under, "key").select(
+        "key", "item", "version", "shift", "place", "kind", "item_value", F.get("raw", F.col("place") + F.col("shift")).alias("value"))
     along = ["key", "item", "version", "shift"]
-    mixed = values.groupBy(*along, "kind", "item_value").agg(F.min("value").alias("low"), F.max("value").alias("high")).filter("low != high").select(*along)
-    merged = values.groupBy(*along, "kind", "value").agg(F.min("item_value").alias("low"), F.max("item_value").alias("high")).filter("low != high").select(*along)
+    # An item has few slots, so the votes on one of its values are few.
+    votes = values.groupBy(*along, "kind", "item_value", "value").agg(F.count("*").alias("n")).groupBy(*along, "kind", "item_value").agg(
+        F.sort_array(F.collect_list(F.struct("n", (F.col("value") == F.col("item_value")).alias("own"), "value")), asc=False).alias("v")).filter(F.size("v") > 1)
+    tied = (F.col("v")[0].n == F.col("v")[1].n) & (F.col("v")[0].own == F.col("v")[1].own)
+    odd = values.join(votes.select(*along, "kind", "item_value", F.when(~tied, F.col("v")[0].value).alias("holds")), [*along, "kind", "item_value"]).filter(
+        F.col("holds").isNull() | (F.col("value") != F.col("holds")))
+    lost = odd.select(*along, F.explode(F.sequence(F.col("place") - (WINDOW - 1), F.col("place"))).alias("at")).distinct()
     changed = values.filter("value != item_value").select(*along).distinct().withColumn("changed", F.lit(True))
-    kept = hits.join(mixed.union(merged).distinct(), along, "left_anti").join(changed, along, "left")
+    kept = hits.join(lost, [*along, "at"], "left_anti").join(changed, along, "left")
     covered = kept.groupBy("key", "item", "version", "n").agg(F.count_distinct("h").alias("c"), F.bool_or(F.coalesce("changed", F.lit(False))).alias("changed"))
     enough = covered.filter(F.col("c") >= needed).select("key", "item", (F.col("c") / F.col("n")).alias("coverage"), (~F.col("changed")).alias("exact"))
     return enough.groupBy("key", "item").agg(F.max("coverage").alias("coverage"), F.bool_or("exact").alias("exact"))

@@ -475,6 +475,17 @@ def test_copies_and_changed_parameters_are_found(spark, nothing):
     assert decontaminate.clean(frame, bench.limit(0)).count() == len(docs)
 
 
+def test_a_slot_conflict_costs_only_its_windows(spark):
+    item = ("A baker packs 12 rolls into every box and sells each of them at the market early in the morning before school, so with 12 boxes "
+            "and 30 guests in the garden how many rolls are left when all of them have had one?")
+    texts = {1: item.replace("12 boxes", "13 boxes"), 2: item.replace("30", "12"), 3: item.replace("12 rolls", "14 rolls").replace("12 boxes", "13 boxes"),
+             4: item.replace("12", "17").replace("30", "17"), 5: "unrelated words " * 9}
+    docs = spark.createDataFrame([(i, f"before it {t} after it") for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.exact, r.coverage) for r in decontaminate.decisions(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    n = len(item.split()) - 4
+    assert got == {1: (True, False, (n - 5) / n), 2: (True, False, 1.0), 3: (False, None, None), 4: (True, False, 1.0), 5: (False, None, None)}
+
+
 def test_coverage_matches_brute_force(spark):
     """On literal text the decision is the share of an item's distinct windows that the document holds."""
     rng = random.Random(11)
