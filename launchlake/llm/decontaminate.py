@@ -16,8 +16,12 @@ are tried, a document that holds ``share`` of them must hold one of those, so li
 common to many items don't pair every document with all of them.
 
 Definitions: an item of fewer than five template words is never found. A window of
-placeholders only is no evidence. Names are capitalised words inside a sentence; units
-count after a number. Null and empty texts have no windows. Documents are told apart by
+placeholders only is no evidence. Numbers are digits or spelled out (English, German,
+Spanish, French; no articles); units count after a number. Names are words of two letters or
+more with a capital, and are read in three ways, each with windows of its own: only inside a
+sentence, anywhere, and none at all. So names that begin sentences, names in capitals or mixed
+case, and copies in lower case or in capitals are all found; values are compared without case.
+A copy in lower case whose names were changed, too, has nothing that tells its names. Null and empty texts have no windows. Documents are told apart by
 id and text, so a repeated row is judged like its twin and rows that share an id but not
 the text are judged by themselves. Extra columns are not read.
 """
@@ -40,21 +44,43 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec secs m
          "meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards "
          "gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons "
          "mph kph dollar dollars cent cents euro euros usd eur percent degree degrees").split()
+# Spelled-out cardinals; words that are articles as well are left out.
+NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+           "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+           "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+           "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+           "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta "
+           "ochenta noventa cien ciento mil "
+           "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille").split()
 NUMBER, NAME, UNIT = "0", "1", "2"
 TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+"
+INSIDE = "\x01"  # marks words inside a sentence
 
 
-def template_words(text: Column) -> Column:
-    """The template of a text: lower-case words, and 0, 1 and 2 for numbers, names and units."""
-    numbers = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", f" {NUMBER} ")
-    names = F.regexp_replace(numbers, r"(?<=[\p{L}0-9,;]\s)\p{Lu}\p{Ll}+(?!\p{L})", NAME)
-    units = F.regexp_replace(F.lower(names), rf"(?<= {NUMBER} {{1,2}})(?:{'|'.join(UNITS)})(?!\p{{L}})", UNIT)
-    return F.filter(F.split(units, r"[^\p{L}0-2]+"), lambda w: w != "")
+def raw_words(text: Column) -> Column:
+    """The numbers and words of a text; those inside a sentence are marked."""
+    marked = F.regexp_replace(F.translate(text, INSIDE, " "), r"(?<=[\p{L}0-9,;]\s)(?=\p{L})", INSIDE)
+    return F.regexp_extract_all(marked, F.lit(f"{INSIDE}?(?:{TOKEN})"), F.lit(0))
 
 
-def raw_words(text: Column) -> Column:
-    """The words that the placeholders of ``template_words`` stand for, at the same places."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def _value(raw: Column) -> Column:
+    return F.lower(F.ltrim(raw, F.lit(INSIDE)))
+
+
+def with_templates(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``templates`` of their ``raw`` words: lower-case words, and 0, 1 and 2 for numbers, names and units.
+
+    Names are read as none, inside a sentence only, and anywhere.
+    """
+    bare = lambda w: F.ltrim(w, F.lit(INSIDE))
+    words = rows.withColumn("_words", F.transform("raw", lambda w: F.struct(
+        F.lower(bare(w)).alias("word"), w.startswith(INSIDE).alias("inside"), ((bare(w) != F.lower(bare(w))) & (F.length(bare(w)) > 1)).alias("capital"))))
+    number = lambda w: w.word.substr(1, 1).between("0", "9") | w.word.isin(NUMBERS)
+    typed = words.withColumn("_words", F.transform("_words", lambda w, i: F.struct(
+        F.when(number(w), NUMBER).when(w.word.isin(UNITS) & (i > 0) & number(F.get("_words", i - 1)), UNIT).otherwise(w.word).alias("word"), w.inside.alias("inside"), w.capital.alias("capital"))))
+    name = lambda w, read: F.when(read & w.capital & ~w.word.isin(NUMBER, UNIT), NAME).otherwise(w.word)
+    return typed.withColumn("templates", F.array(
+        F.col("_words.word"), F.transform("_words", lambda w: name(w, w.inside)), F.transform("_words", lambda w: name(w, F.lit(True))))).drop("_words")
 
 
 def windows(words: Column, size: int = WINDOW) -> Column:
@@ -68,11 +94,16 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
+def _item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """item, version, words and raw: every different template of every item."""
+    raw = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text")).filter("item is not null").distinct().select("item", raw_words(F.col("text")).alias("raw"), "text")
+    return with_templates(raw).select("item", "text", "raw", F.explode(F.array_distinct("templates")).alias("words")).select(
+        "item", F.xxhash64("text", "words").alias("version"), "words", "raw")
+
+
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item, at, h and n (distinct windows of the item): each distinct window once, at its first place."""
-    words = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text")).filter("item is not null").distinct().select(
-        "item", template_words(F.col("text")).alias("words"), F.xxhash64("text").alias("version"))
-    placed = words.select("item", "version", "words", F.posexplode(windows(F.col("words"))).alias("at", "h"))
+    """item, version, at, h and n (distinct windows of the version): each distinct window once, at its first place."""
+    placed = _item_words(benchmark, item_id, text).select("item", "version", "words", F.posexplode(windows(F.col("words"))).alias("at", "h"))
     literal = F.exists(F.slice("words", F.col("at") + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT))
     first = placed.filter(literal).groupBy("item", "version", "h").agg(F.min("at").alias("at"))
     sizes = first.groupBy("item", "version").agg(F.count("*").alias("n"))
@@ -85,11 +116,13 @@ def row_key(doc_id: str, text: str) -> Column:
 
 def found_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                 item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """key, item, coverage and exact (all slots hold the item's own values) for every item found in a document."""
+    """key, item, coverage and exact (all slots of the best covered reading hold the item's own values) for every item found in a document."""
     items = settle(_items(benchmark, item_id, item_text), "bench-windows")
     wanted = settle(items.select("h").distinct(), "bench-hashes")
-    template = docs.filter(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("key"), template_words(F.col(text)).alias("words"))
-    places = template.select("key", F.posexplode(windows(F.col("words"))).alias("pos", "h"))
+    raw = docs.filter(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("key"), raw_words(F.col(text)).alias("raw"))
+    read = with_templates(raw).select("key", *[windows(F.col("templates")[i]).alias(f"h{i}") for i in range(3)])
+    places = read.select("key", F.posexplode(F.arrays_zip("h0", "h1", "h2")).alias("pos", "hs")).select(
+        "key", "pos", F.explode(F.array_distinct(F.array("hs.h0", "hs.h1", "hs.h2"))).alias("h"))
     matched = settle(places.join(_bounded(wanted), "h", "left_semi").distinct(), "matched-windows")
 
     # An item's rarest windows, one more than it may miss, lead to its candidates.
@@ -104,10 +137,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     hits = settle(hits, "hits")
 
     # Slots under the hits: their values in the item and in the document.
-    item_words = benchmark.select(F.col(item_id).alias("item"), F.xxhash64(item_text).alias("version"), template_words(F.col(item_text)).alias("words"),
-                                  raw_words(F.col(item_text)).alias("raw")).filter("item is not null").distinct()
-    slots = item_words.select("item", "version", "raw", F.posexplode("words").alias("place", "kind")).filter(F.col("kind").isin(NUMBER, NAME, UNIT)).select(
-        "item", "version", "place", "kind", F.get("raw", F.col("place")).alias("item_value"))
+    slots = _item_words(benchmark, item_id, item_text).select("item", "version", "raw", F.posexplode("words").alias("place", "kind")).filter(F.col("kind").isin(NUMBER, NAME, UNIT)).select(
+        "item", "version", "place", "kind", _value(F.get("raw", F.col("place"))).alias("item_value"))
     under = hits.select("key", "item", "version", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW - 1)).alias("place")).distinct().join(
         slots, ["item", "version", "place"])
     under = settle(under, "slots")
@@ -115,7 +146,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     own = docs.filter(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("key"), F.col(text).alias("own_text")).join(
         _bounded(keys), "key").dropDuplicates(["key"]).select("key", raw_words(F.col("own_text")).alias("raw"))
     values = own.join(under, "key").select(
-        "key", "item", "version", "shift", "place", "kind", "item_value", F.get("raw", F.col("place") + F.col("shift")).alias("value"))
+        "key", "item", "version", "shift", "place", "kind", "item_value", _value(F.get("raw", F.col("place") + F.col("shift"))).alias("value"))
     along = ["key", "item", "version", "shift"]
     # An item has few slots, so the votes on one of its values are few.
     votes = values.groupBy(*along, "kind", "item_value", "value").agg(F.count("*").alias("n")).groupBy(*along, "kind", "item_value").agg(
@@ -128,7 +159,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     kept = hits.join(lost, [*along, "at"], "left_anti").join(changed, along, "left")
     covered = kept.groupBy("key", "item", "version", "n").agg(F.count_distinct("h").alias("c"), F.bool_or(F.coalesce("changed", F.lit(False))).alias("changed"))
     enough = covered.filter(F.col("c") >= needed).select("key", "item", (F.col("c") / F.col("n")).alias("coverage"), (~F.col("changed")).alias("exact"))
-    return enough.groupBy("key", "item").agg(F.max("coverage").alias("coverage"), F.bool_or("exact").alias("exact"))
+    return enough.groupBy("key", "item").agg(F.max(F.struct("coverage", "exact")).alias("b")).select("key", "item", "b.coverage", "b.exact")
 
 
 def decisions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:

@@ -486,6 +486,16 @@ def test_a_slot_conflict_costs_only_its_windows(spark):
     assert got == {1: (True, False, (n - 5) / n), 2: (True, False, 1.0), 3: (False, None, None), 4: (True, False, 1.0), 5: (False, None, None)}
 
 
+def test_spelled_numbers_and_all_names_are_slots(spark):
+    item = ("At noon McDonald buys seven ripe apples from a farm near the old harbour. Anna then takes three of these apples home and gives the rest "
+            "to NASA before school begins. McDonald keeps one basket, so how many are left?")
+    changed = item.replace("seven", "12").replace("three", "four").replace("Anna", "Maria").replace("McDonald", "O").replace("NASA", "ESA").replace("O ", "MacLeod ")
+    texts = [(1, changed), (2, item.replace("seven", "twelve")), (3, item.lower()), (4, item.upper()), (5, item.replace("Anna", "Maria")), (6, item.replace("apples", "pears").replace("left", "gone").replace("begins", "ends").replace("farm", "shop"))]
+    docs = spark.createDataFrame([(i, f"before it: {t} after it") for i, t in texts], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.exact) for r in decontaminate.decisions(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (True, True), 4: (True, True), 5: (True, False), 6: (False, None)}
+
+
 def test_coverage_matches_brute_force(spark):
     """On literal text the decision is the share of an item's distinct windows that the document holds."""
     rng = random.Random(11)
