@@ -33,6 +33,15 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+# Sides of a join are broadcast only up to so many rows, counted after they are written.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcast if they are few; they must be written already."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b); component is the smallest node reachable.
 
