@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchlake.functions import scalars
-from launchlake.functions.stats import stats6
+from launchlake.functions.stats import array_stats6
 from launchlake.operators import ordered
 
 # Metric columns of the two sample tables.
@@ -39,8 +40,6 @@ class Sliding:
 
     @property
     def needed(self) -> int:
-        import math
-
         expected = max(1, math.floor(self.window_s / self.interval_s))
         return math.ceil(expected * self.min_ratio)
 
@@ -56,25 +55,62 @@ def device_points(samples: DataFrame, keys: Sequence[str] = ("run_id", "gpu_uuid
     return rows.select(*keys, "sample_index", "timestamp_ns", *[scalars.number(m).alias(m) for m in DEVICE_METRICS])
 
 
-def sliding_members(samples: DataFrame, keys: Sequence[str], spec: Sliding) -> DataFrame:
-    """Samples repeated per candidate window ``k`` of their group, both ends inclusive.
+# Panes of one bucket; a bucket also holds copies of the panes its last windows reach into.
+PANES = 512
+
+
+def panes_ahead(rows: DataFrame, keys: Sequence[str], slot: Column, reach: int, items: Sequence[Column], asks: Column | None = None) -> DataFrame:
+    """One row per (keys, slot) with rows in it: ``slot``, ``before`` (the slot before it in its bucket) and ``near``.
+
+    A pane is the rows of one slot, gathered once; ``near`` holds the arrays of ``items`` of the panes from ``slot`` to
+    ``slot + reach``. Where ``asks`` is not null, a row is no sample but a question and is gathered in ``asked`` of its slot.
+    Groups are cut into buckets of slots, and only the first panes of a bucket travel twice.
+    """
+    width = max(PANES, 4 * (reach + 1))
+    ask = asks if asks is not None else F.lit(None).cast("struct<x:int>")
+    rows = rows.select(*keys, slot.alias("slot"), ask.alias("_ask"), *items)
+    names = [c for c in rows.columns if c not in (*keys, "slot", "_ask")]
+    own = F.floor(F.col("slot") / width).cast("long")
+    ahead = F.col("_ask").isNull() & (F.pmod("slot", F.lit(width)) <= reach)
+    rows = rows.withColumn("_own", own).withColumn("_bucket", F.explode(F.when(ahead, F.array(own, own - 1)).otherwise(F.array(own))))
+    group = [*keys, "_bucket"]
+    sample = F.when(F.col("_ask").isNull(), F.struct(*names))
+    panes = rows.repartition(*group).groupBy(*group, "slot").agg(
+        F.first(F.col("_own") == F.col("_bucket")).alias("own"), F.collect_list(sample).alias("_items"), F.collect_list("_ask").alias("asked"))
+    place = Window.partitionBy(*group).orderBy("slot")
+    near = F.flatten(F.collect_list("_items").over(place.rangeBetween(0, reach)))
+    first = F.col("_bucket") * width
+    out = panes.select(*keys, "slot", "own", "asked", near.alias("near"), F.lag("slot").over(place).alias("before"), first.alias("first_slot"), (first + width - 1).alias("last_slot"))
+    return out if asks is not None else out.drop("asked")
+
+
+def sliding_arrays(samples: DataFrame, keys: Sequence[str], spec: Sliding, values: dict[str, Column]) -> DataFrame:
+    """Candidate windows ``k`` that hold samples, with ``n``, bounds and one array per entry of ``values``.
 
     A group no longer than one window has the single candidate 0; otherwise
-    window ``k`` covers ``[first + k*step, first + k*step + window]`` and the
-    last one must end by the last sample. All in integer nanoseconds.
+    window ``k`` covers ``[first + k*step, first + k*step + window]``, both ends inclusive, and the
+    last one must end by the last sample. All in integer nanoseconds. Samples are gathered in panes as wide
+    as step and window allow, and every pane answers for the windows that begin after the pane before it.
     """
     rows = samples.where(F.col("timestamp_ns").isNotNull())
     span = rows.groupBy(*keys).agg(F.min("timestamp_ns").alias("_first"), F.max("timestamp_ns").alias("_last"))
-    span = span.withColumn("_short", F.col("_last") - F.col("_first") <= spec.window_ns)
-    left = rows.alias("x").join(span.alias("g"), [F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
-    rows = left.select("x.*", "_first", "_last", "_short")
-    at = F.col("timestamp_ns") - F.col("_first")
-    step, window = spec.step_ns, spec.window_ns
-    low = F.greatest(F.lit(0).cast("long"), _ceil_div(at - window, step))
-    high = F.least(_floor_div(at, step), _floor_div(F.col("_last") - F.col("_first") - window, step))
-    ks = F.when(F.col("_short"), F.array(F.lit(0).cast("long"))).otherwise(
-        F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
-    return rows.withColumn("k", F.explode(ks))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    rows = rows.alias("x").join(span.alias("g"), same).select("x.*", "_first")
+    pane = math.gcd(spec.step_ns, spec.window_ns)
+    every, reach = spec.step_ns // pane, spec.window_ns // pane
+    panes = panes_ahead(rows, keys, _floor_div(F.col("timestamp_ns") - F.col("_first"), pane), reach,
+                        [F.col("timestamp_ns").alias("at"), *[v.alias(n) for n, v in values.items()]])
+    panes = panes.alias("x").join(span.alias("g"), same).select("x.*", "_first", "_last").withColumn("_short", F.col("_last") - F.col("_first") <= spec.window_ns)
+    # Windows of this bucket that begin after the pane before and reach this one.
+    low = _ceil_div(F.greatest(F.coalesce(F.col("before") + 1, F.col("first_slot")), F.col("slot") - reach, F.col("first_slot"), F.lit(0)), every)
+    high = F.least(_floor_div(F.least("slot", "last_slot"), every),
+                   F.when(F.col("_short"), F.lit(0)).otherwise(_floor_div(F.col("_last") - F.col("_first") - spec.window_ns, spec.step_ns)))
+    panes = panes.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    end = F.col("_first") + F.col("k") * spec.step_ns + spec.window_ns
+    windows = panes.withColumn("end", end).withColumn("near", F.filter("near", lambda s: s["at"] <= F.col("end"))).where(F.size("near") > 0)
+    times = F.col("near.at")
+    return windows.select(*keys, "k", F.size("near").cast("long").alias("n"), F.array_min(times).alias("start_ns"), F.array_max(times).alias("end_ns"), "_short", "_first", "_last",
+                          *[F.col(f"near.{n}") for n in values])
 
 
 def _floor_div(value: Column, by: int) -> Column:
@@ -100,24 +136,22 @@ def kept_windows(grouped: DataFrame, keys: Sequence[str], spec: Sliding) -> Data
     return kept.drop("_short", "_first", "_last")
 
 
-def sliding_windows(samples: DataFrame, keys: Sequence[str], spec: Sliding, aggs: Sequence[Column] = ()) -> DataFrame:
-    """Kept windows with index, bounds, sample count and ``aggs``."""
-    grouped = sliding_members(samples, keys, spec).groupBy(*keys, "k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("start_ns"), F.max("timestamp_ns").alias("end_ns"),
-        F.first("_short").alias("_short"), F.first("_first").alias("_first"), F.first("_last").alias("_last"), *aggs)
-    return kept_windows(grouped, keys, spec)
+def sliding_windows(samples: DataFrame, keys: Sequence[str], spec: Sliding, values: dict[str, Column] | None = None) -> DataFrame:
+    """Kept windows with index, bounds, sample count and the arrays of ``values``."""
+    return kept_windows(sliding_arrays(samples, keys, spec, values or {}), keys, spec)
 
 
 def device_windows(samples: DataFrame, spec: Sliding = Sliding(), keys: Sequence[str] = ("run_id", "gpu_uuid")) -> DataFrame:
-    aggs = [a for m in DEVICE_METRICS for a in stats6(m, m)]
-    return sliding_windows(samples, keys, spec, aggs)
+    rows = sliding_windows(samples, keys, spec, {m: F.col(m).cast("double") for m in DEVICE_METRICS})
+    return rows.select(*[c for c in rows.columns if c not in DEVICE_METRICS], *[a for m in DEVICE_METRICS for a in array_stats6(F.col(m), m)])
 
 
 def process_windows(samples: DataFrame, spec: Sliding = Sliding(), keys: Sequence[str] = ("run_id", "gpu_uuid", "pid")) -> DataFrame:
-    util = F.col("process_gpu_utilization_pct").cast("double")
-    rows = sliding_windows(samples.where(F.col("pid").isNotNull()), keys, spec, [
-        F.avg(util).alias("avg_process_gpu_utilization_pct"), F.stddev_pop(util).alias("std_process_gpu_utilization_pct"),
-        F.avg("process_gpu_memory_pct").alias("avg_process_gpu_memory_pct"), F.avg("host_ram_gb").alias("avg_host_ram_gb")])
+    rows = sliding_windows(samples.where(F.col("pid").isNotNull()), keys, spec, {m: F.col(m).cast("double") for m in PROCESS_METRICS})
+    util, memory, ram = (array_stats6(F.col(m), m) for m in PROCESS_METRICS)
+    rows = rows.select(*[c for c in rows.columns if c not in PROCESS_METRICS],
+                       util[0].alias("avg_process_gpu_utilization_pct"), util[1].alias("std_process_gpu_utilization_pct"),
+                       memory[0].alias("avg_process_gpu_memory_pct"), ram[0].alias("avg_host_ram_gb"))
     status = F.when(F.col("avg_process_gpu_utilization_pct").isNull(), "insufficient_process_util").otherwise("exact")
     return rows.withColumn("status", status).withColumnRenamed("n", "sample_count")
 
@@ -125,25 +159,24 @@ def process_windows(samples: DataFrame, spec: Sliding = Sliding(), keys: Sequenc
 def hybrid_windows(processes: DataFrame, devices: DataFrame, spec: Sliding = Sliding()) -> DataFrame:
     """Process windows with statistics of the device samples inside them.
 
-    The interval join is an equi-join on (run, device, time slice of one
-    step): windows repeat once per slice they touch, samples are never
-    repeated. Each side is then aggregated per window.
+    Windows ask in the pane of the step they start in, beside the device samples, and read the panes ahead; so the
+    interval join needs no pairs of windows and samples, and a sample is shuffled once.
     """
     keys = ["run_id", "gpu_uuid", "pid"]
-    own = [a for m in PROCESS_METRICS for a in stats6(m, m if m.startswith("process_") else f"process_{m}")]
-    windows = sliding_windows(processes.where(F.col("pid").isNotNull()), keys, spec, own)
-    step = spec.step_ns
-    slices = windows.select(*keys, "window_index", "start_ns", "end_ns", F.explode(
-        F.sequence(_floor_div(F.col("start_ns"), step), _floor_div(F.col("end_ns"), step))).alias("slice"))
-    samples = devices.withColumn("slice", _floor_div(F.col("timestamp_ns"), step)).select(
-        "run_id", "gpu_uuid", "slice", "timestamp_ns", *DEVICE_METRICS)
-    inside = slices.join(samples, ["run_id", "gpu_uuid", "slice"]).where(
-        F.col("timestamp_ns").between(F.col("start_ns"), F.col("end_ns")))
-    stats = inside.groupBy(*keys, "window_index").agg(
-        F.count(F.lit(1)).alias("sample_count_device"), *[a for m in DEVICE_METRICS for a in stats6(m, f"device_{m}")])
-    out = windows.join(stats, [*keys, "window_index"], "left")
-    return out.withColumn("sample_count_device", F.coalesce("sample_count_device", F.lit(0))).withColumnRenamed(
-        "n", "sample_count_process").withColumnsRenamed({"start_ns": "window_start_ns", "end_ns": "window_end_ns"}).drop("k")
+    windows = sliding_windows(processes.where(F.col("pid").isNotNull()), keys, spec, {m: F.col(m).cast("double") for m in PROCESS_METRICS})
+    own = [a for m in PROCESS_METRICS for a in array_stats6(F.col(m), m if m.startswith("process_") else f"process_{m}")]
+    windows = windows.select(*keys, "window_index", "start_ns", "end_ns", "n", *own)
+    asks = windows.select("run_id", "gpu_uuid", F.col("start_ns").alias("timestamp_ns"), F.struct(*[c for c in windows.columns if c not in ("run_id", "gpu_uuid")]).alias("_window"))
+    samples = devices.where(F.col("timestamp_ns").isNotNull()).select("run_id", "gpu_uuid", "timestamp_ns", *[F.col(m).cast("double").alias(m) for m in DEVICE_METRICS])
+    rows = samples.unionByName(asks, allowMissingColumns=True)
+    panes = panes_ahead(rows, ["run_id", "gpu_uuid"], _floor_div(F.col("timestamp_ns"), spec.step_ns), -(-spec.window_ns // spec.step_ns) + 1,
+                        [F.col("timestamp_ns").alias("at"), *[F.col(m) for m in DEVICE_METRICS]], F.col("_window"))
+    out = panes.where("own").select("run_id", "gpu_uuid", "near", F.explode("asked").alias("w")).select("run_id", "gpu_uuid", "w.*", "near")
+    out = out.withColumn("near", F.filter("near", lambda s: s["at"].between(F.col("start_ns"), F.col("end_ns"))))
+    out = out.withColumns({m: F.col(f"near.{m}") for m in DEVICE_METRICS})
+    return out.select(*keys, "window_index", F.col("start_ns").alias("window_start_ns"), F.col("end_ns").alias("window_end_ns"), F.col("n").alias("sample_count_process"),
+                      *[c for c in windows.columns if c not in (*keys, "window_index", "start_ns", "end_ns", "n")],
+                      F.size("near").cast("long").alias("sample_count_device"), *[a for m in DEVICE_METRICS for a in array_stats6(F.col(m), f"device_{m}")])
 
 
 def enrich_with_metadata(features: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:

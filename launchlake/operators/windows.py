@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from launchlake.functions import scalars
 from launchlake.operators import launches as L
-from launchlake.operators import ordered
+from launchlake.operators import ordered, sweep
 from launchlake.session import materialize
 
 STREAM = ("pid", "device_pci_bus_id", "stream")
@@ -75,10 +75,8 @@ def candidate_windows(
     """Every gate-passing candidate with its composition, before de-duplication."""
     keys = config.keys(scope)
     scanned = stream_scan(launches, config, scope)
-    rows = scanned.select(
-        *keys, "idx", "cost_before", "token_cost", "unready_upto", F.struct(*L.ORDER).alias("place"),
-        F.struct(F.col("kernel_id").alias("kernel"), "ratio").alias("member"), F.lit(False).alias("is_flush"),
-    )
+    place = F.struct(*L.ORDER).alias("place")
+    rows = scanned.select(*keys, "idx", "cost_before", "token_cost", "unready_upto", place, F.col("kernel_id").alias("kernel"), "ratio", F.lit(False).alias("is_flush"))
     if config.flush:
         ends = _queue_ends(launches, config, scope)
         rows = rows.unionByName(ends.withColumn("is_flush", F.lit(True)), allowMissingColumns=True)
@@ -88,52 +86,28 @@ def candidate_windows(
     rows = rows.withColumn("own", own).withColumn(
         "bucket", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own)))
     )
-    queue = Window.partitionBy(*keys, "bucket").orderBy("cost_before").rangeBetween(-budget, 0)
-    rows = rows.select(
-        "*",
-        F.collect_list("member").over(queue).alias("members"),
-        F.min(F.when(~F.col("is_flush"), F.col("idx"))).over(queue).alias("start_idx"),
-        F.min(F.when(~F.col("is_flush"), F.col("cost_before"))).over(queue).alias("start_cost"),
-        F.max("member.ratio").over(queue).alias("peak"),
-    ).where(F.col("own") == F.col("bucket"))
-    cost = F.col("cost_before") + F.coalesce(F.col("token_cost"), F.lit(0)) - F.col("start_cost")
-    rows = rows.where(F.col("start_idx").isNotNull() & (F.col("is_flush") | (cost > budget)))
-    if config.use_gate:
-        # no kernel's latest ratio can exceed the frame maximum: a cheap first cut
-        rows = rows.where(F.col("peak") >= config.threshold)
-    rows = rows.select(
-        *keys, "idx", "is_flush", "place", "start_idx", "start_cost", "unready_upto",
-        cost.alias("window_cost"), F.size("members").cast("long").alias("launch_count"), *_composition(F.col("members")),
-    )
-    if config.use_gate:
-        rows = rows.where(F.col("max_ratio") >= config.threshold)
-    return rows
-
-
-def _composition(members: Column) -> list[Column]:
-    """Sorted kernel set, three most frequent kernels, best latest ratio."""
-    kernels = F.array_sort(F.array_distinct(F.transform(members, lambda m: m["kernel"])))
-    per_kernel = F.transform(
-        kernels,
-        lambda k: F.struct(
-            (-F.size(F.filter(members, lambda m: m["kernel"] == k))).alias("minus_n"),
-            k.alias("kernel"),
-            F.element_at(F.filter(members, lambda m: m["kernel"] == k), -1)["ratio"].alias("ratio"),
-        ),
-    )
-    top3 = F.transform(F.slice(F.array_sort(per_kernel), 1, 3), lambda c: c["kernel"])
-    best = F.array_max(F.transform(per_kernel, lambda c: c["ratio"]))
-    return [kernels.alias("kernel_set"), top3.alias("top3"), best.alias("max_ratio")]
+    rows = rows.withColumn("warm", F.col("own") != F.col("bucket"))
+    return sweep.candidates(rows, keys, ["idx", "is_flush", "place", "unready_upto"], budget, config.threshold if config.use_gate else None)
+
+
+def with_kernel_sets(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``candidates`` with the kernels of every window, not only of the first of a bucket."""
+    names = [*keys, "set_id"]
+    sets = candidates.where(F.col("kernel_set").isNotNull()).groupBy(*names).agg(F.any_value("kernel_set").alias("kernel_set"))
+    rows = candidates.drop("kernel_set").alias("c").join(sets.alias("s"), [F.col(f"c.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names])
+    return rows.select("c.*", "s.kernel_set")
 
 
-def first_signature_only(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def first_signature_only(candidates: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
     """Keep the first candidate of each composition on its stream.
 
-    A plain minimum over structs, so repeats are dropped before the shuffle.
+    A plain minimum over structs, so repeats are dropped before the shuffle. The first
+    of a stream is the first of its bucket, so it carries its kernels. ``more`` are aggregates
+    over all candidates of the composition.
     """
-    signature = [*keys, "kernel_set", "top3"]
+    signature = [*keys, "set_id", "top3"]
     rest = ["is_flush", "idx", *[c for c in candidates.columns if c not in (*signature, "is_flush", "idx")]]
-    return candidates.groupBy(*signature).agg(F.min(F.struct(*rest)).alias("_w")).select(*signature, "_w.*")
+    return candidates.groupBy(*signature).agg(F.min(F.struct(*rest)).alias("_w"), *more).drop("set_id").select("*", "_w.*").drop("_w")
 
 
 def token_budget_windows(

@@ -257,17 +257,15 @@ SELECT capture_id, pid, device AS device_pci_bus_id, stream, kernel_set, top3, c
   arg_min(start_idx, end_idx + is_flush) AS first_start FROM passing GROUP BY ALL""", "v1", "launch_rows", "scan", "windows"))
 def _(spark, d):
     found = W.candidate_windows(launch_rows(spark, d), CONFIG)
-    repeats = found.groupBy(*KEYS, "kernel_set", "top3").agg(F.count(F.lit(1)).alias("candidates"))
-    first = W.first_signature_only(found, KEYS).select(*KEYS, "kernel_set", "top3", F.col("start_idx").alias("first_start"))
-    return first.join(repeats, [*KEYS, "kernel_set", "top3"]).withColumns(
-        {c: F.array_join(c, ",") for c in ("kernel_set", "top3")})
+    first = W.first_signature_only(found, KEYS, F.count(F.lit(1)).alias("candidates"))
+    return first.select(*KEYS, F.array_join("kernel_set", ",").alias("kernel_set"), F.array_join("top3", ",").alias("top3"), "candidates", F.col("start_idx").alias("first_start"))
 
 
 @query("composition_signature", sql("""
 SELECT capture_id, pid, device AS device_pci_bus_id, stream, end_idx, is_flush = 1 AS is_flush, kernel_set, top3
 FROM signed WHERE (is_flush = 1 OR token_cost > 60) AND max_ratio >= 0.65""", "v1", "launch_rows", "scan", "windows"))
 def _(spark, d):
-    found = W.candidate_windows(launch_rows(spark, d), CONFIG)
+    found = W.with_kernel_sets(W.candidate_windows(launch_rows(spark, d), CONFIG), KEYS)
     return found.select(*KEYS, F.col("idx").alias("end_idx"), "is_flush", F.array_join("kernel_set", ",").alias("kernel_set"),
                         F.array_join("top3", ",").alias("top3"))
 
