@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchlake.functions import text as T
+from launchlake.session import materialize
 
 
 def _kernel():
@@ -47,6 +48,7 @@ def instructions_from_lines(kernels: DataFrame, lines: str = "lines") -> DataFra
     return grouped.where(F.col("text").isNotNull()).select("kernel_id", F.col("idx").cast("int").alias("idx"), "text", labels.alias("labels"))
 
 
+# Fixed value: the branch operand of a listing.
 BRANCH_ADDRESS = r"\b(?:BRA|JMP|JMX|BRX)\b[^;]*\b(0x[0-9a-fA-F]+)\b"
 
 
@@ -60,9 +62,13 @@ def rewrite_branches(raw: DataFrame) -> DataFrame:
 
     Enough where nobody asks which instructions carry the labels.
     """
-    hit = F.regexp_extract("text", BRANCH_ADDRESS, 1)
+    return raw.select("kernel_id", "idx", _branch_named(F.col("text")).alias("text"))
+
+
+def _branch_named(text: Column) -> Column:
+    hit = F.regexp_extract(text, BRANCH_ADDRESS, 1)
     name = _label(F.regexp_replace(hit, "^0x", ""))
-    return raw.select("kernel_id", "idx", F.when(hit != "", F.replace("text", hit, name)).otherwise(F.col("text")).alias("text"))
+    return F.when(hit != "", F.replace(text, hit, name)).otherwise(text)
 
 
 def label_branch_targets(raw: DataFrame) -> DataFrame:
@@ -175,13 +181,24 @@ def natural_loops(control: DataFrame) -> DataFrame:
 def loop_nesting(loops: DataFrame) -> DataFrame:
     """Add ``depth``: other loops that contain a loop (ends included).
 
-    The loops of one kernel are gathered in one array bounded by its branches;
-    no pair of loops is ever a row.
+    Dominance counting: with loops ranked by start, and the longer first among equal starts, a loop is contained by
+    exactly those before it that end no earlier. Every two ranks part at one power of two, into the left and the right half
+    of a block; there a running count of the left half's loops, from the last end down, answers for the right half. A loop
+    so takes part once per power of two, and no pair of loops is ever a row or in one array.
     """
-    per = loops.groupBy("kernel_id").agg(F.collect_list(F.struct(*[c for c in loops.columns if c != "kernel_id"])).alias("ls"))
-    nested = F.transform("ls", lambda a: F.struct(
-        a.alias("l"), (F.size(F.filter("ls", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]))) - 1).cast("long").alias("depth")))
-    return per.select("kernel_id", F.explode(nested).alias("x")).select("kernel_id", "x.l.*", "x.depth")
+    kernel = Window.partitionBy("kernel_id")
+    ranked = kernel.orderBy("start", F.desc("end"))
+    rows = loops.withColumns({"_nth": F.row_number().over(ranked), "_rank": F.dense_rank().over(ranked) - 1,
+                              "_same": F.count(F.lit(1)).over(Window.partitionBy("kernel_id", "start", "end")) - 1, "_n": F.count(F.lit(1)).over(kernel)})
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_n") + 1)).cast("int"))
+    rows = rows.withColumn("_level", F.explode(levels))
+    block = F.expr("shiftright(_rank, _level + 1)")
+    left = F.expr("shiftright(_rank, _level) % 2 = 0")
+    rows = rows.withColumns({"_block": block, "_left": left})
+    down = Window.partitionBy("kernel_id", "_level", "_block").orderBy(F.desc("end"), F.desc("_left")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_before", F.when(~F.col("_left"), F.sum(F.col("_left").cast("int")).over(down)).otherwise(0))
+    own = [c for c in loops.columns if c != "kernel_id"]
+    return counted.groupBy("kernel_id", *own, "_nth").agg((F.sum("_before") + F.max("_same")).alias("depth")).select("kernel_id", *own, "depth")
 
 
 def loop_score(nested: DataFrame) -> DataFrame:
@@ -275,12 +292,33 @@ def opcode_mix(ins: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def normalized_lines(ins: DataFrame) -> DataFrame:
-    """Instructions that survive normalization, with text and token cost."""
+# A dictionary is sent to every task only up to so many texts, counted after it is written.
+SENT_TEXTS = 200_000
+
+
+def instruction_dictionary(ins: DataFrame, rewrite: bool = False) -> DataFrame:
+    """(text, line, cost, op) of every distinct text that survives normalization, written once.
+
+    Listings repeat the same texts massively, so the rules run once per text and not once per instruction.
+    With ``rewrite``, branch addresses are first replaced by label names.
+    """
+    texts = ins.select("text").distinct()
+    source = _branch_named(F.col("text")) if rewrite else F.col("text")
     # exploding the compacted one-element array drops nulls without evaluating the rules twice
-    line = F.explode(F.array_compact(F.array(T.normalize_instruction("text"))))
-    rows = ins.select("kernel_id", "idx", line.alias("line"))
-    return rows.withColumn("cost", T.token_count("line"))
+    line = F.explode(F.array_compact(F.array(T.normalize_instruction(source))))
+    rows = texts.repartition("text").select("text", line.alias("line"))
+    return materialize(rows.select("*", T.token_count("line").alias("cost"), T.opcode_normalized("line").alias("op")), "instruction-dictionary")
+
+
+def normalized_lines(ins: DataFrame, rewrite: bool = False) -> DataFrame:
+    """Instructions that survive normalization, with text, token cost and mnemonic, looked up in their dictionary."""
+    words = instruction_dictionary(ins, rewrite)
+    few = words.limit(SENT_TEXTS + 1).count() <= SENT_TEXTS
+    return ins.select("kernel_id", "idx", "text").join(F.broadcast(words) if few else words, "text").select("kernel_id", "idx", "line", "cost", "op")
+
+
+def _mnemonic(lines: DataFrame, compat: bool = True) -> Column:
+    return F.col("op") if compat and "op" in lines.columns else T.opcode_normalized("line", compat)
 
 
 def truncate_prefix(lines: DataFrame, budget: int, key: str = "kernel_id", order: str = "idx") -> DataFrame:
@@ -302,7 +340,7 @@ def main_loop_lines(lines: DataFrame, ranges: DataFrame, budget: int = T.BODY_BU
 
 def static_features(lines: DataFrame, ranges: DataFrame, budget: int = T.BODY_BUDGET) -> DataFrame:
     """Ten instruction features per kernel, whole kernel against main loop."""
-    op = T.opcode_normalized("line")
+    op = _mnemonic(lines)
     upto = Window.partitionBy("kernel_id", "inside").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.join(ranges.select("kernel_id", "start", "end"), "kernel_id", "left").select(
         "kernel_id", "idx", "cost", op.alias("op"),
@@ -344,7 +382,7 @@ def static_signal(features: DataFrame, need: int = 4) -> DataFrame:
 
 
 def bitwise_integer_ratio(lines: DataFrame, key: str = "kernel_id", compat: bool = True) -> DataFrame:
-    op = T.opcode_normalized("line", compat)
+    op = _mnemonic(lines, compat)
     rows = lines.select(key, op.alias("op")).where(F.col("op") != "")
     return rows.groupBy(key).agg(F.avg(T.is_bitwise_integer(F.col("op")).cast("int")).alias("ratio"))
 

@@ -37,12 +37,12 @@ def shared_control(spark, d) -> DataFrame:
 
 
 def lines(spark, d) -> DataFrame:
-    return K.normalized_lines(K.rewrite_branches(views.raw_instructions(spark, d)))
+    return K.normalized_lines(views.raw_instructions(spark, d), rewrite=True)
 
 
 def loose_lines(spark, d) -> DataFrame:
     """Normalized lines for reports that need no order within a kernel: no shuffle of the texts."""
-    return K.normalized_lines(K.rewrite_branches(views.raw_instructions(spark, d, spread=False)))
+    return K.normalized_lines(views.raw_instructions(spark, d, spread=False), rewrite=True)
 
 
 # Pieces of SQL shared by the checks below.
@@ -173,7 +173,7 @@ def _(spark, d):
 @query("opcode_normalized", sql("SELECT norm_op AS opcode, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM norm WHERE body IS NOT NULL GROUP BY ALL",
                                 "ins0", "ins", "norm"))
 def _(spark, d):
-    return loose_lines(spark, d).groupBy(T.opcode_normalized("line").alias("opcode")).agg(
+    return loose_lines(spark, d).groupBy(F.col("op").alias("opcode")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"))
 
 

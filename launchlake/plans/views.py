@@ -162,7 +162,9 @@ def raw_instructions(spark: SparkSession, sf_dir: str, spread: bool = True) -> D
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kernel_id"), "text")
     # a fixed count: adaptive coalescing would judge by the compact text, not by what it turns into
-    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kernel_id") if spread else docs
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # without order within kernels the compact text is dealt in turn, so few or uneven splits make no large task
+    docs = docs.repartition(parts, "kernel_id") if spread else docs.repartition(parts)
     # the count is taken below the generator, which then carries no array along
     docs = docs.select("kernel_id", _words("text").alias("words")).withColumn("n", F.size("words"))
     rows = docs.select("kernel_id", "n", F.posexplode("words").alias("idx", "word"))

@@ -1,5 +1,8 @@
 """Golden vectors for text rules, control flow, regions and name matching."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from launchlake.functions import scalars as S
@@ -140,3 +143,30 @@ def test_mangled_names_of_one_library_are_not_all_paired(spark):
     longer = met.where("length(needle) > 1")
     assert longer.where("contains(text, needle)").count() == 2000
     assert longer.count() <= 10 * 2000
+
+
+def test_loop_depth_is_the_number_of_containing_loops(spark):
+    rnd = random.Random(4)
+    loops = sorted({(rnd.choice("ab"), *sorted(rnd.sample(range(40), 2))) for _ in range(300)})
+    loops += [("c", 1, 9), ("c", 1, 9), ("d", 0, 0)]  # equal loops contain each other
+    got = K.loop_nesting(spark.createDataFrame(loops, "kernel_id string, start int, end int")).collect()
+    want = [(k, a, b, sum(k == l and c <= a and b <= d for l, c, d in loops) - 1) for k, a, b in loops]
+    assert sorted((r.kernel_id, r.start, r.end, r.depth) for r in got) == sorted(want)
+
+
+def test_hundred_thousand_loops_in_one_kernel(spark):
+    """Nested like brackets: loop i runs from i to 300000 - i, so i others contain it; time stays near linear."""
+    n = 100_000
+    loops = spark.range(n).select(F.lit("k").alias("kernel_id"), F.col("id").cast("int").alias("start"), (300_000 - F.col("id")).cast("int").alias("end"))
+    began = time.time()
+    off = K.loop_nesting(loops).where("depth <> start").count()
+    assert off == 0 and time.time() - began < 60
+
+
+def test_dictionary_gives_the_same_lines_as_the_rules(spark):
+    texts = ["IADD3 R1, R2, 0x10, RZ;", "@!P1 LDG.E R4, [R2+0x10];", "NOP", "BRA 0x1a0", "", "L_10:", None, "IADD3 R1, R2, 0x10, RZ;"]
+    ins = spark.createDataFrame([(k, i, t) for k in "ab" for i, t in enumerate(texts)], "kernel_id string, idx int, text string")
+    direct = K.rewrite_branches(ins).select("kernel_id", "idx", T.normalize_instruction("text").alias("line")).where("line is not null")
+    direct = direct.select("*", T.token_count("line").alias("cost"), T.opcode_normalized("line").alias("op"))
+    got = K.normalized_lines(ins, rewrite=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, direct.collect()))
