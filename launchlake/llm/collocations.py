@@ -8,7 +8,7 @@ phrase to lie whole in the chunk in which it starts, and it is counted there and
 The distinct chunks of a language and the number of times each was parsed are the dictionary.
 All phrases are counted inside distinct chunks, weighted by that number.
 
-Words and pairs are counted first. A longer phrase can only be frequent if the two phrases one word shorter
+Words are counted first. A longer phrase can only be frequent if the two phrases one word shorter
 in it are, so phrases of ``k`` words are counted where both of theirs fall on set bits of a table of
 ``BITS`` bits, filled from all frequent phrases of ``k - 1`` words. The table has a fixed size; two phrases on one
 bit only cost extra counting. All counts are exact.
@@ -25,120 +25,162 @@ Texts of any length are parsed piece by piece; an empty table gives an empty tab
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from launchlake.llm.common import LOWER, bounded, settle
+from launchlake.llm.common import bounded, settle
 
 UNDETERMINED = "und"
 TRIGGER = 12
 BITS = 1 << 26
-# Entries a task counts before it hands them on to be combined.
-HELD = 150_000
+# Words of chunks counted together in a task, and rows it hands on at once.
+HELD = 1_000_000
+ROWS = 100_000
 SALTS = 64
 SCALE = 1_000_000
-_pieces = re.compile(rb"[.,;:!?\x0a-\x0d]+").split
-_words = re.compile(rb"[^\x20\x09]+").findall
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(words: list[bytes], trigger: int, context: int) -> Iterator[tuple[int, bytes]]:
-    """(own words, the chunk's words joined by one space) of a piece."""
-    start = 0
-    for at in range(1, len(words)):
-        if crc32(words[at]) % trigger == 0:
-            yield at - start, b" ".join(words[start:at + context])
-            start = at
-    yield len(words) - start, b" ".join(words[start:])
+def _checksums(words: pa.Array) -> np.ndarray:
+    return np.fromiter((crc32(w.encode()) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", trigger: int = TRIGGER, longest: int = 3) -> DataFrame:
-    """lang, own, chunk and times: every distinct chunk with the number of times it was parsed."""
+def _encoded(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of every token, and the distinct tokens."""
+    encoded = pc.dictionary_encode(tokens)
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, int, bytes]] = Counter()
-        for batch in batches:
-            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for piece in _pieces(value.encode().translate(LOWER)):
-                    if words := _words(piece):
-                        for own, chunk in chunks(words, trigger, longest - 1):
-                            held[name, own, chunk] += 1
-                        if len(held) >= HELD:
-                            yield _parsed(held)
-                            held.clear()
-        yield _parsed(held)
 
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(lang, F.lit(UNDETERMINED)).alias("lang")).filter("text is not null")
-    parsed = rows.mapInArrow(parse, "lang string, own int, chunk string, times long")
-    return settle(parsed.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times")), "chunk-dictionary")
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The length of every list, and all values."""
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
 
 
-def _parsed(held: Counter) -> pa.RecordBatch:
-    names, owns, texts = zip(*held) if held else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(owns, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()),
-                                       pa.array(held.values(), pa.int64())], names=["lang", "own", "chunk", "times"])
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """The place of every value in its list."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    names, sizes, texts = zip(*held) if held else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string()), pa.array(held.values(), pa.int64())],
-                                      names=["lang", "size", "phrase", "f"])
+def parse(texts: pa.Array, langs: pa.Array, trigger: int, context: int) -> pa.Table:
+    """lang, own, chunk and times of the chunks of some texts."""
+    pieces_of, pieces = _lists(pc.split_pattern_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]+"))
+    words_of, words = _lists(pc.split_pattern_regex(pieces, r"[\x20\x09]+"))
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    piece = np.repeat(np.arange(len(words_of)), words_of)[full]
+    words = words.filter(pa.array(full))
+    if not len(words):
+        return pa.table({"lang": pa.array([], pa.string()), "own": pa.array([], pa.int32()), "chunk": pa.array([], pa.string()), "times": pa.array([], pa.int64())})
+    ids, distinct = _encoded(words)
+    opens = np.concatenate(([True], piece[1:] != piece[:-1])) | (_checksums(distinct) % np.uint64(trigger) == 0)[ids]
+    starts = np.flatnonzero(opens)
+    own = np.diff(np.append(starts, len(words)))
+    # The end of a chunk: some words on, but within its piece.
+    piece_end = np.searchsorted(piece, piece[starts], side="right")
+    lengths = np.minimum(own + context, piece_end - starts)
+    at = np.repeat(starts, lengths) + _within(lengths)
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    chunk = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(at))), " ")
+    text = np.repeat(np.arange(len(pieces_of)), pieces_of)[piece[starts]]
+    table = pa.table({"lang": langs.take(pa.array(text)), "own": pa.array(own.astype(np.int32)), "chunk": chunk})
+    counted = table.group_by(["lang", "own", "chunk"]).aggregate([([], "count_all")])
+    return counted.rename_columns(["lang", "own", "chunk", "times"]).cast(pa.schema([("lang", pa.string()), ("own", pa.int32()), ("chunk", pa.string()), ("times", pa.int64())]))
 
 
-def _bit(lang: str, phrase: str, bits: int) -> int:
-    return crc32(f"{lang} {phrase}".encode()) % bits
+def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", trigger: int = TRIGGER, longest: int = 3) -> DataFrame:
+    """lang, own, chunk and times: every distinct chunk with the number of times it was parsed."""
 
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from parse(batch.column(0), batch.column(1), trigger, longest - 1).to_batches(ROWS)
 
-def count_phrases(chunked: DataFrame, sizes: range, least: int, table: bytes | None = None) -> DataFrame:
-    """lang, size, phrase and f of the phrases of ``sizes`` words that occur ``least`` times or more.
+    rows = docs.select(F.col(text).alias("text"), F.coalesce(lang, F.lit(UNDETERMINED)).alias("lang")).filter("text is not null")
+    chunked = rows.mapInArrow(parsed, "lang string, own int, chunk string, times long")
+    return settle(chunked.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times")), "chunk-dictionary")
+
+
+def _bits(name: str, parts: list[np.ndarray], bits: int) -> np.ndarray:
+    """The bit of every phrase; ``parts`` are the checksums of its words."""
+    h = np.full(len(parts[0]), crc32(name.encode()), np.uint64)
+    for part in parts:
+        h = (h ^ part) * _PRIME
+        h ^= h >> np.uint64(29)
+    return h % np.uint64(bits)
+
+
+def count(name: str, table: pa.Table, size: int, bits: np.ndarray | None) -> pa.Table:
+    """phrase and f: the phrases of ``size`` words in some chunks of one language, weighted, each where it starts."""
+    lengths, tokens = _lists(pc.split_pattern(table["chunk"].combine_chunks(), " "))
+    ids, distinct = _encoded(tokens)
+    at = _within(lengths)
+    starts = np.flatnonzero((at < np.repeat(table["own"].to_numpy(), lengths)) & (at + size <= np.repeat(lengths, lengths)))
+    if bits is not None:
+        sums = _checksums(distinct)[ids]
+        parts = [sums[starts + k] for k in range(size)]
+        held = [_bits(name, part, len(bits) * 8) for part in (parts[:-1], parts[1:])]
+        starts = starts[np.logical_and(*[bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1 for b in held])]
+    times = np.repeat(table["times"].to_numpy(), lengths)[starts]
+    # Phrases are numbered word by word, so that numbers stay small.
+    code = ids[starts]
+    for k in range(1, size):
+        code = np.unique(code, return_inverse=True)[1] * len(distinct) + ids[starts + k]
+    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    f = np.zeros(len(first), np.int64)
+    np.add.at(f, inverse, times)
+    words = [distinct.take(pa.array(ids[starts[first] + k])) for k in range(size)]
+    return pa.table({"phrase": pc.binary_join_element_wise(*words, " ") if size > 1 else words[0], "f": pa.array(f)})
+
+
+def count_phrases(chunked: DataFrame, size: int, least: int, table: bytes | None = None) -> DataFrame:
+    """lang, size, phrase and f of the phrases of ``size`` words that occur ``least`` times or more.
 
     With a ``table`` of bits, only places are counted where both phrases of one word less are on set bits.
     """
     shared = chunked.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, int, str]] = Counter()
         bits = np.frombuffer(shared.value, np.uint8) if shared else None
-        known: dict[tuple[str, str], bool] = {}
 
-        def frequent(name: str, phrase: str) -> bool:
-            if (found := known.get((name, phrase))) is None:
-                if len(known) >= HELD:
-                    known.clear()
-                bit = _bit(name, phrase, len(bits) * 8)
-                found = known[name, phrase] = bool(bits[bit >> 3] >> (bit & 7) & 1)
-            return found
+        def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            for name in pc.unique(rows["lang"]).to_pylist():
+                found = count(name, rows.filter(pc.equal(rows["lang"], name)), size, bits)
+                for part in found.combine_chunks().to_batches(ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(np.full(len(part), size, np.int32)), *part.columns], names=["lang", "size", "phrase", "f"])
 
+        held, words = [], 0
         for batch in batches:
-            for name, own, chunk, times in zip(*(c.to_pylist() for c in batch.columns)):
-                words = chunk.split(" ")
-                for size in sizes:
-                    shorter = [" ".join(words[at:at + size - 1]) for at in range(len(words) - size + 2)] if shared else None
-                    for at in range(min(own, len(words) - size + 1)):
-                        if shorter is None or frequent(name, shorter[at]) and frequent(name, shorter[at + 1]):
-                            held[name, size, " ".join(words[at:at + size])] += times
-                if len(held) >= HELD:
-                    yield _counted(held)
-                    held.clear()
-        yield _counted(held)
-
-    counted = chunked.select("lang", "own", "chunk", "times").mapInArrow(walk, "lang string, size int, phrase string, f long")
-    return settle(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "frequent-phrases")
+            held.append(batch)
+            words += pc.sum(batch.column("own")).as_py() or 0
+            if words >= HELD:
+                yield from counted(held)
+                held, words = [], 0
+        if words:
+            yield from counted(held)
+
+    counts = chunked.select("lang", "own", "chunk", "times").mapInArrow(walk, "lang string, size int, phrase string, f long")
+    return settle(counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "frequent-phrases")
 
 
 def _table(phrases: DataFrame, size: int, bits: int) -> bytes:
     """The bits of all ``phrases`` of ``size`` words: at most ``bits // 64`` longs come to the driver."""
-    bit = F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary")) % bits
-    filled = phrases.filter(F.col("size") == size).select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
-    longs = np.zeros(bits // 64, np.int64)
-    for row in filled.groupBy("at").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        longs[row["at"]] = row["b"]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in pc.unique(batch.column(0)).to_pylist():
+                ids, distinct = _encoded(pc.split_pattern(batch.column(1).filter(pc.equal(batch.column(0), name)), " ").flatten())
+                sums = _checksums(distinct)[ids].reshape(-1, size)
+                at = _bits(name, [sums[:, k] for k in range(size)], bits)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "b"])
+
+    filled = phrases.filter(F.col("size") == size).select("lang", "phrase").mapInArrow(fill, "at long, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+    longs = np.zeros(-(-bits // 64), np.int64)
+    longs[filled["at"].to_numpy()] = filled["b"].to_numpy()
     return longs.astype("<i8").tobytes()
 
 
@@ -146,9 +188,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     """Phrases of up to ``longest`` words with their counts, and lang and n, the number of words of every language."""
     chunked = dictionary(docs, text, lang, trigger, longest)
     totals = chunked.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
-    found = count_phrases(chunked, range(1, min(longest, 2) + 1), least)
-    for size in range(3, longest + 1):
-        found = found.unionByName(count_phrases(chunked, range(size, size + 1), least, _table(found, size - 1, bits)))
+    found = count_phrases(chunked, 1, least)
+    for size in range(2, longest + 1):
+        found = found.unionByName(count_phrases(chunked, size, least, _table(found, size - 1, bits)))
     return found, totals
 
 
