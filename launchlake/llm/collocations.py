@@ -1,7 +1,7 @@
 """Collocations by prefix-free parsing.
 
 Texts are lower-cased (A-Z) and cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words at blanks and
-tabs. A piece is parsed into chunks: a new chunk starts at every trigger, a word whose checksum is
+tabs. A piece is parsed into chunks: a new chunk starts at every trigger, a word whose hash is
 divisible by ``trigger``, so equal passages are cut at the same places wherever they stand. A chunk
 carries, after its own words, the next ``longest - 1`` words of its piece; chunks so overlap enough for every
 phrase to lie whole in the chunk in which it starts, and it is counted there and nowhere else.
@@ -47,12 +47,21 @@ SCALE = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _checksums(words: pa.Array) -> np.ndarray:
-    return np.fromiter((crc32(w.encode()) for w in words.to_pylist()), np.uint64, len(words))
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every word (none is empty): its bytes times powers of a prime, summed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    letters = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
+    lengths = np.diff(ends)
+    powers = np.cumprod(np.full(lengths.max(), _PRIME))
+    h = np.add.reduceat(letters * powers[_within(lengths)], ends[:-1] - ends[0])
+    return h ^ (h >> np.uint64(31))
 
 
 def _encoded(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The number of every token, and the distinct tokens."""
+    """The number of every token, and the distinct tokens in order of appearance."""
     encoded = pc.dictionary_encode(tokens)
     return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
@@ -70,14 +79,13 @@ def _within(lengths: np.ndarray) -> np.ndarray:
 def parse(texts: pa.Array, langs: pa.Array, trigger: int, context: int) -> pa.Table:
     """lang, own, chunk and times of the chunks of some texts."""
     pieces_of, pieces = _lists(pc.split_pattern_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]+"))
-    words_of, words = _lists(pc.split_pattern_regex(pieces, r"[\x20\x09]+"))
+    words_of, words = _lists(pc.split_pattern(pc.replace_substring(pieces, "\t", " "), " "))
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     piece = np.repeat(np.arange(len(words_of)), words_of)[full]
     words = words.filter(pa.array(full))
     if not len(words):
         return pa.table({"lang": pa.array([], pa.string()), "own": pa.array([], pa.int32()), "chunk": pa.array([], pa.string()), "times": pa.array([], pa.int64())})
-    ids, distinct = _encoded(words)
-    opens = np.concatenate(([True], piece[1:] != piece[:-1])) | (_checksums(distinct) % np.uint64(trigger) == 0)[ids]
+    opens = np.concatenate(([True], piece[1:] != piece[:-1])) | (_hashes(words) % np.uint64(trigger) == 0)
     starts = np.flatnonzero(opens)
     own = np.diff(np.append(starts, len(words)))
     # The end of a chunk: some words on, but within its piece.
@@ -105,7 +113,7 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", trigger:
 
 
 def _bits(name: str, parts: list[np.ndarray], bits: int) -> np.ndarray:
-    """The bit of every phrase; ``parts`` are the checksums of its words."""
+    """The bit of every phrase; ``parts`` are the hashes of its words."""
     h = np.full(len(parts[0]), crc32(name.encode()), np.uint64)
     for part in parts:
         h = (h ^ part) * _PRIME
@@ -120,7 +128,7 @@ def count(name: str, table: pa.Table, size: int, bits: np.ndarray | None) -> pa.
     at = _within(lengths)
     starts = np.flatnonzero((at < np.repeat(table["own"].to_numpy(), lengths)) & (at + size <= np.repeat(lengths, lengths)))
     if bits is not None:
-        sums = _checksums(distinct)[ids]
+        sums = _hashes(distinct)[ids]
         parts = [sums[starts + k] for k in range(size)]
         held = [_bits(name, part, len(bits) * 8) for part in (parts[:-1], parts[1:])]
         starts = starts[np.logical_and(*[bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1 for b in held])]
@@ -128,10 +136,11 @@ def count(name: str, table: pa.Table, size: int, bits: np.ndarray | None) -> pa.
     # Phrases are numbered word by word, so that numbers stay small.
     code = ids[starts]
     for k in range(1, size):
-        code = np.unique(code, return_inverse=True)[1] * len(distinct) + ids[starts + k]
-    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-    f = np.zeros(len(first), np.int64)
-    np.add.at(f, inverse, times)
+        code = _encoded(pa.array(code))[0] * len(distinct) + ids[starts + k]
+    number, phrases = _encoded(pa.array(code))
+    f, first = np.zeros(len(phrases), np.int64), np.zeros(len(phrases), np.int64)
+    np.add.at(f, number, times)
+    first[number[::-1]] = np.arange(len(number))[::-1]
     words = [distinct.take(pa.array(ids[starts[first] + k])) for k in range(size)]
     return pa.table({"phrase": pc.binary_join_element_wise(*words, " ") if size > 1 else words[0], "f": pa.array(f)})
 
@@ -174,7 +183,7 @@ def _table(phrases: DataFrame, size: int, bits: int) -> bytes:
         for batch in batches:
             for name in pc.unique(batch.column(0)).to_pylist():
                 ids, distinct = _encoded(pc.split_pattern(batch.column(1).filter(pc.equal(batch.column(0), name)), " ").flatten())
-                sums = _checksums(distinct)[ids].reshape(-1, size)
+                sums = _hashes(distinct)[ids].reshape(-1, size)
                 at = _bits(name, [sums[:, k] for k in range(size)], bits)
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "b"])
 
