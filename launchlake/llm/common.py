@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from launchlake.session import prepare, scratch_dir
@@ -42,6 +42,20 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``rows`` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits that tell rows apart by id and text; null and empty differ."""
+    part = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
+    return F.unhex(F.md5(F.concat(part(doc_id), F.lit(" "), part(text)).cast("binary")))
+
+
 def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b); component is the smallest node reachable.
 

@@ -468,9 +468,9 @@ def test_copies_and_changed_parameters_are_found(spark, nothing):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(tuple, decontaminate.decisions(frame, bench).select("doc_id", "contaminated", "n_items", "exact").collect()), key=str)
     assert got == sorted([(1, True, 1, True), (2, True, 1, False), (3, False, 0, None), (4, True, 1, True), (5, False, 0, None), (6, False, 0, None), (7, False, 0, None),
-                          (8, False, 0, None), (9, False, 0, None), (10, True, 2, True), (10, False, 0, None), (None, True, 1, True)], key=str)
+                          (8, True, 1, True), (9, True, 1, True), (10, True, 2, True), (10, False, 0, None), (None, True, 1, True)], key=str)
     left = decontaminate.clean(frame, bench)
-    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [3, 5, 6, 7, 8, 9, 10]
+    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [3, 5, 6, 7, 10]
     assert decontaminate.decisions(nothing, bench).count() == 0
     assert decontaminate.clean(frame, bench.limit(0)).count() == len(docs)
 
@@ -486,6 +486,30 @@ def test_a_slot_conflict_costs_only_its_windows(spark):
     assert got == {1: (True, False, (n - 5) / n), 2: (True, False, 1.0), 3: (False, None, None), 4: (True, False, 1.0), 5: (False, None, None)}
 
 
+def test_slots_and_order_hold_over_all_pieces_of_a_copy(spark):
+    """Two words put between the halves change nothing; other values and swapped halves are seen across them."""
+    first = "a shop keeps 12 crates of ripe apples near the door and sells some of them every morning before school"
+    second = "later another cart brings exactly 12 crates more so how many crates of ripe fruit are there when evening comes"
+    texts = {1: f"{first} {second}", 2: f"{first} filler words {second}", 3: f"{first.replace('12', '14')} {second.replace('12', '13')}",
+             4: f"{first.replace('12', '14')} filler words {second.replace('12', '13')}", 5: f"{second} {first}", 6: f"{first.replace('12', '9')} filler words {second.replace('12', '9')}",
+             7: first, 8: "many words before " * 3000 + f"{first} filler words {second}" + " and many behind" * 3000, 9: f"{first} {second} {first} {second}"}
+    docs = spark.createDataFrame([(i, f"before it {t} after it", "x", "y") for i, t in texts.items()], "doc_id long, text string, found string, key string")
+    bench = spark.createDataFrame([(1, f"{first} {second}"), (1, f"{first} {second}")], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.exact, r.n_items) for r in decontaminate.decisions(docs, bench).collect()}
+    assert got == {1: (True, True, 1), 2: (True, False, 1), 3: (False, None, 0), 4: (False, None, 0), 5: (False, None, 0), 6: (True, False, 1), 7: (False, None, 0), 8: (True, False, 1), 9: (True, True, 1)}
+    left = decontaminate.clean(docs, bench).collect()
+    assert {(r.doc_id, r.found, r.key) for r in left} == {(i, "x", "y") for i in (3, 4, 5, 7)}
+
+
+def test_items_without_id_or_without_windows(spark):
+    items = [(None, "this item has no id but words enough to be found"), (2, "Only four small words"), (3, "two words"), (4, "12 13 14 15 16 17 18"), (5, ""), (6, "!!"), (7, None)]
+    docs = [(1, "Now this item has no id but words enough to be found."), (2, "these are only FOUR small words here"), (3, "two words"), (4, "two words more"), (5, "7 12 13 14 15 16 17 18 9"),
+            (6, "12 13 14 15 16 17 19"), (7, ""), (8, "!!"), (9, "only four small things")]
+    got = {r.doc_id: (r.contaminated, r.item_id, r.exact) for r in decontaminate.decisions(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    clean = (False, None, None)
+    assert got == {1: (True, None, True), 2: (True, 2, True), 3: (True, 3, True), 4: clean, 5: (True, 4, True), 6: clean, 7: clean, 8: clean, 9: clean}
+
+
 def test_spelled_numbers_and_all_names_are_slots(spark):
     item = ("At noon McDonald buys seven ripe apples from a farm near the old harbour. Anna then takes three of these apples home and gives the rest "
             "to NASA before school begins. McDonald keeps one basket, so how many are left?")
@@ -509,6 +533,7 @@ def test_coverage_matches_brute_force(spark):
         docs.append((i, " ".join([*rng.choices(words, k=5), *item, *rng.choices(words, k=5)])))
     shingles = lambda t: {tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)}
     want = {(d, i) for d, t in docs for i, u in items if shingles(u) and len(shingles(t) & shingles(u)) >= 0.8 * len(shingles(u)) - 1e-9}
+    want |= {(d, i) for d, t in docs for i, u in items if not shingles(u) and f" {u} " in f" {t} "}  # four words
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     found = decontaminate.found_items(frame, spark.createDataFrame(items, "item_id long, text string"))
     keys = frame.select("doc_id", decontaminate.row_key("doc_id", "text").alias("key"))
