@@ -9,6 +9,8 @@ from launchlake.operators import metrics as M
 from launchlake.plans import views
 from launchlake.plans.registry import query
 from launchlake.plans.views import SQL, sql
+from launchlake.session import scratch_dir
+from launchlake.streaming import runner
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -236,4 +238,9 @@ def terminal(spark, d):
 
 @query("verdict_sink", sql(TERMINAL.format(", CASE WHEN suspicious THEN 'terminate' ELSE 'logged' END AS delivery"), "v6", "roll"))
 def _(spark, d):
-    return M.verdict_sink_rows(terminal(spark, d))
+    rows = terminal(spark, d)
+    path = runner.stage(rows, "verdict-feed", files=3)
+    out = scratch_dir(spark, "verdict-sink")
+    verdicts = M.verdict_sink_rows(runner.stream_table(spark, path, rows.schema, files_per_trigger=1))
+    runner.write_batches(verdicts, out).awaitTermination()
+    return runner.read_batches(spark, out, verdicts.schema).drop("batch")

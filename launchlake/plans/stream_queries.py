@@ -89,7 +89,7 @@ SELECT session_id, arg_max(k, sequence) FILTER (type = 'stats') AS dropped_event
   count(*) FILTER (type = 'kernel_launch' AND l0_kernel_id IS NULL) AS unready_launches FROM v1 GROUP BY ALL""", "v1"))
 def _(spark, d):
     rows = event_stream(spark, d).withColumns({"dropped_events": F.col("k"), "queued_events": F.col("k") % 7})
-    return runner.run_complete(stateless.stream_drop_stats(rows), "drop-stats")
+    return runner.run_update(stateless.stream_drop_stats(rows), "drop-stats", ["session_id"])
 
 
 @query("stream_counter_windows", sql("""
@@ -100,8 +100,9 @@ FROM s GROUP BY run_id, gpu_uuid, start_ns""", "v4"))
 def _(spark, d):
     samples = views.device_samples(spark, d).select("run_id", "gpu_uuid", "timestamp_ns", "power_usage_watts")
     path = runner.stage_in_order(samples, "timestamp_ns", [F.col("run_id")], "counter-input")
+    runner.close_feed(path, samples, "timestamp_ns", 600_000_000_000)
     stream = runner.stream_table(spark, path, samples.schema, files_per_trigger=1)
-    return rounded(runner.run_complete(stateless.stream_counter_windows(stream, "power_usage_watts"), "counter-windows"))
+    return rounded(runner.run_append(stateless.stream_counter_windows(stream, "power_usage_watts"), "counter-windows"))
 
 
 @query("stream_events_source", sql("SELECT session_id, sequence, timestamp_ns, kernel_name, code_id, grid_key AS grid_dim FROM launch_rows", "v1", "launch_rows"))

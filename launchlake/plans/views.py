@@ -167,7 +167,8 @@ def raw_instructions(spark: SparkSession, sf_dir: str, spread: bool = True) -> D
     docs = docs.repartition(parts, "kernel_id") if spread else docs.repartition(parts)
     # the count is taken below the generator, which then carries no array along
     docs = docs.select("kernel_id", _words("text").alias("words")).withColumn("n", F.size("words"))
-    rows = docs.select("kernel_id", "n", F.posexplode("words").alias("idx", "word"))
+    # outer: for an inner one the optimizer would filter by the size of the array, and cut every text three times
+    rows = docs.select("kernel_id", "n", F.posexplode_outer("words").alias("idx", "word")).where("idx is not null")
     size, idx = F.length("word"), F.col("idx")
     number = (size * 3 + F.ascii("word") + idx) % OP_COUNT
     names = F.array(*[F.lit(o) for o, _ in VIEW_OPS])

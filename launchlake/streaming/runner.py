@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Sequence
+from threading import Condition
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 from launchlake.session import scratch_dir
 
@@ -30,18 +34,62 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Like ``run_append`` for aggregates: each batch replaces the table."""
+def write_batches(stream: DataFrame, out: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
+    """Start a stream whose every micro-batch is one folder named by its number.
+
+    A batch that was cut short is written again under the same number after a restart from the same
+    checkpoint and replaces what is there, so every row is delivered once.
+    """
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # a stream without rows is an empty table
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or out + "-checkpoint").trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """The rows of all batches, with the number of their batch."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+
+
+def run_update(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Aggregates in update mode: a batch writes the keys it changed, and the last version of a key counts."""
+    out = scratch_dir(stream.sparkSession, name)
+    write_batches(stream, out, "update").awaitTermination()
+    rows = read_batches(stream.sparkSession, out, stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
 
-    started = stream.writeStream.foreachBatch(replace).outputMode("complete").option(
-        "checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+
+class ObservedTotals(StreamingQueryListener):
+    """Adds up the metrics that streams of a session observe (``DataFrame.observe``) batch by batch."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, Counter] = defaultdict(Counter)
+        self.ended: set[str] = set()
+        self._changed = Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.totals[name].update({k: v for k, v in row.asDict().items() if v is not None})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._changed:
+            self.ended.add(str(event.runId))
+            self._changed.notify_all()
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Events arrive behind the stream; wait until its last has."""
+        with self._changed:
+            self._changed.wait_for(lambda: str(query.runId) in self.ended, seconds)
 
 
 def stage_in_order(rows: DataFrame, order: str, keys: Sequence[Column], name: str, steps: int = 4, rows_per_file: int = 500_000) -> str:
@@ -59,6 +107,14 @@ def stage_in_order(rows: DataFrame, order: str, keys: Sequence[Column], name: st
     return out
 
 
+def close_feed(path: str, rows: DataFrame, order: str, beyond: int) -> None:
+    """Append an end mark to a staged feed: rows of nobody, ``beyond`` after the last, that push the watermark over every window."""
+    last = rows.agg((F.max(order) + beyond).alias(order))
+    mark = last.select(*[(F.col(order) if f.name == order else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    for _ in range(2):  # the second batch sees the watermark that the first one set
+        mark.coalesce(1).write.mode("append").parquet(path)
+
+
 def stage(rows: DataFrame, name: str, files: int | None = None) -> str:
     """Write a table other jobs or streams read from the shared folder."""
     out = scratch_dir(rows.sparkSession, name)

@@ -46,9 +46,14 @@ def _one(model: Scorer, row: pd.DataFrame) -> tuple[float | None, str | None]:
         return None, f"{type(failure).__name__}: {failure}"
 
 
-def stream_drop_stats(events: DataFrame) -> DataFrame:
-    """Running drop counters and unready launches per session."""
+def stream_drop_stats(events: DataFrame, observed: str = "drops") -> DataFrame:
+    """Running drop counters and unready launches per session.
+
+    Totals of every batch (launches, unready launches, statistics messages) are observed under the name ``observed``.
+    """
     stats, launch = F.col("type") == "stats", F.col("type") == "kernel_launch"
+    events = events.observe(observed, F.count_if(launch).alias("launches"), F.count_if(launch & F.col("l0_kernel_id").isNull()).alias("unready_launches"),
+                            F.count_if(stats).alias("stats"))
     return events.groupBy("session_id").agg(
         F.max_by(F.when(stats, F.col("dropped_events")), F.when(stats, F.col("sequence"))).alias("dropped_events"),
         F.max_by(F.when(stats, F.col("queued_events")), F.when(stats, F.col("sequence"))).alias("queued_events"),
@@ -56,7 +61,8 @@ def stream_drop_stats(events: DataFrame) -> DataFrame:
 
 
 def stream_counter_windows(samples: DataFrame, metric: str, window: str = "60 seconds", step: str = "5 seconds", delay: str = "30 seconds") -> DataFrame:
-    """Event-time windows with a lateness bound.
+    """Event-time windows with a lateness bound, for append mode: a window leaves the state when the watermark passes
+    its end, and a row that comes more than ``delay`` after the newest one is dropped from windows that have left.
 
     These start on the epoch grid and exclude their end, so they differ from
     the adaptive windows of the batch operator, which start at a run's first
