@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from launchlake.llm import decontaminate, language_id, packing, pii, simhash
-from launchlake.llm.common import prepared, read_table, settle
+from launchlake.llm.common import free_name, prepared, read_table, row_key, settle
 
 # A cosine below this with every language is no language at all.
 LEAST_COSINE = 0.05
@@ -22,21 +22,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts and texts without a letter are in no language and go.
     """
     prepared(spark)
-    judged = language_id.predict(docs, language_id.learn(docs), pred="_language", score="_cosine")
-    return judged.filter((F.col("_language") != language_id.UNDETERMINED) & (F.col("_cosine") >= LEAST_COSINE)).drop("_language", "_cosine")
+    language, cosine = free_name(docs, "language_found"), free_name(docs, "cosine_found")
+    judged = language_id.predict(docs, language_id.learn(docs), pred=language, score=cosine)
+    return judged.filter((F.col(language) != language_id.UNDETERMINED) & (F.col(cosine) >= LEAST_COSINE)).drop(language, cosine)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of close fingerprints: the one with the smallest id, then the smallest hash.
+    """Keep one document of each component of close fingerprints: the one with the smallest id, then the smallest 128-bit key.
 
     Rows are told apart by id and text: equal rows are one document, rows that share an id but not the text are
     judged by themselves, and a missing id comes before all others.
     """
     prepared(spark)
-    keyed = docs.withColumn("_key", decontaminate.row_key("doc_id", "text"))
-    grouped = simhash.near_duplicates(keyed.withColumn("_id", F.struct("doc_id", "_key")), doc_id="_id")
-    kept = settle(grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id._key").alias("_key")).distinct(), "kept-rows")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    grouped = simhash.near_duplicates(keyed.select(F.struct("doc_id", F.col(key).alias("key")).alias("id"), "text"), doc_id="id")
+    kept = settle(grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.key").alias(key)).distinct(), "kept-rows")
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 A tree cuts the space by hyperplanes: each points from one of two randomly drawn vectors
 to the other and lies at the median of the sample's projections. The planes come from a
 sample of at most ``sample`` vectors (those with the smallest id hashes); every vector of the
-table is then filed in its leaf of every tree. A query descends all trees; the branches it
+table is then filed in its leaf of every tree. Trees are as deep as the counted table asks for, so that a leaf
+holds about ``LEAF`` rows, as far as the sample can tell leaves apart. A query descends all trees; the branches it
 leaves aside wait in one priority queue for all trees, ordered by the largest distance to a plane
-crossed on the way, and the ``share`` of all leaves that comes first is searched. Candidates
-are ranked by their exact distance to the query.
+crossed on the way, and a number of leaves that come first is searched: as many as queries drawn from the
+sample need to find ``recall`` of their true neighbours in the sample. So vectors in clusters are searched in few leaves,
+and only vectors without structure in many. Candidates are ranked by their exact distance to the query.
 
 Leaves are searched in blocks of at most ``block`` vectors and queries, so a leaf may hold
 any share of the table. Vectors that are null, zero, hold a null or non-finite component, have
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 from launchlake.llm.common import settle
 
 TREES = 4
-DEPTH = 6
+LEAF = 256  # rows a leaf should hold
 LEAST_LEAF = 16  # sample vectors below which a node is not cut again
 SAMPLE = 16_384
-SHARE = 0.25  # of all leaves; 0.94 of the true neighbours on vectors without structure
+RECALL = 0.95  # of the neighbours in the sample
+TRIED = 96  # sample vectors that tell how many leaves that takes
 BLOCK = 8192
 SEED = 7
 
@@ -58,7 +61,12 @@ class Tree:
         return at
 
 
-def grow(sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Tree]:
+def deep(rows: int, leaf: int = LEAF) -> int:
+    """The depth at which leaves hold about ``leaf`` rows."""
+    return max(1, math.ceil(math.log2(max(1, rows / leaf))))
+
+
+def grow(sample: np.ndarray, trees: int = TREES, depth: int = 6, seed: int = SEED) -> list[Tree]:
     rng, forest = np.random.default_rng(seed), []
     distinct = np.unique(sample, axis=0)
     for _ in range(trees):
@@ -99,11 +107,30 @@ def visits(forest: list[Tree], query: np.ndarray, count: int) -> list[tuple[int,
     return found
 
 
+def effort(forest: list[Tree], sample: np.ndarray, k: int, recall: float = RECALL, tried: int = TRIED) -> int:
+    """How many leaves a query must search to find ``recall`` of its k neighbours, by vectors of the sample."""
+    total = sum(int(t.leaf.sum()) for t in forest)
+    leaves = np.stack([tree.file(sample) for tree in forest])
+    needed: list[int] = []
+    for at in range(0, len(sample), max(1, len(sample) // tried)):
+        distance = ((sample - sample[at]) ** 2).sum(axis=1)
+        distance[at] = np.inf
+        true = np.argsort(distance, kind="stable")[:min(k, len(sample) - 1)]
+        turn = np.full((len(forest), max(len(t.leaf) for t in forest)), total)
+        for i, (t, leaf) in enumerate(visits(forest, sample[at], total)):
+            turn[t, leaf] = i
+        needed += turn[np.arange(len(forest))[:, None], leaves[:, true]].min(axis=0).tolist()
+    return min(total, int(np.quantile(needed, recall, method="higher")) + 1) if needed else total
+
+
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int, rough: np.ndarray) -> list[tuple[int, float]]:
     """The k nearest by exact distance; ``rough`` squared distances only tell which rows cannot be among them."""
     kept = np.flatnonzero(ids != query_id)
     if len(kept) > k:
-        limit = np.partition(rough[kept], k - 1)[k - 1]
+        # The k-th nearest id, not row: rows with one id count once.
+        order = kept[np.argsort(rough[kept], kind="stable")]
+        first = np.sort(np.unique(ids[order], return_index=True)[1])
+        limit = rough[order[first[min(k, len(first)) - 1]]]
         kept = kept[rough[kept] <= limit + 1e-9 * (1 + abs(limit)) + 1e-9 * float(query @ query)]
     exact = np.sqrt(((vectors[kept] - query) ** 2).sum(axis=1))
     order = np.lexsort((ids[kept], exact))
@@ -115,24 +142,25 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarr
     return list(out.items())
 
 
-def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
+def usable(table: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
+    """vec_id and vector (doubles) of the rows that take part, and their number."""
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).filter(
         F.col("vec_id").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.filter(F.size("vector") == (common[0].d if common else 0))
+    return rows.filter(F.size("vector") == (common[0].d if common else 0)), common[0]["count"] if common else 0
 
 
-def search(table: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, depth: int = DEPTH,
-           sample: int = SAMPLE, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def search(table: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF,
+           sample: int = SAMPLE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest rows of every query row."""
-    rows = usable(table, vec_id, vector)
+    rows, total = usable(table, vec_id, vector)
     spark = table.sparkSession
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()
     if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = grow(np.array([r.vector for r in drawn]), trees, depth)
-    count = math.ceil(share * sum(int(t.leaf.sum()) for t in forest))
+    vectors = np.array([r.vector for r in drawn])
+    forest = grow(vectors, trees, deep(total, leaf))
+    count = effort(forest, vectors, k, recall)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -451,6 +451,46 @@ def test_neighbours_are_exact_and_mostly_found(spark):
     assert neighbours.search(frame.filter("vec_id > 2999"), lambda i: i % 100 == 0).count() == 0
 
 
+def test_repeated_rows_do_not_push_neighbours_out(spark):
+    """Every row three times gives what every row once gives, also where blocks are small."""
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(table)]
+    frame = spark.createDataFrame(rows * 3 + rows[7:8] * 50, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(neighbours.search(frame, lambda i: i % 100 == 0, block=64, recall=1.0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 400, 100):
+        d = ((table - table[q]) ** 2).sum(axis=1)
+        assert len(got[q]) == 10 and len(set(got[q]) & {int(i) for i in np.argsort(d)[1:11]}) >= 9
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_beyond_the_sample_and_the_share_searched(clustered):
+    """Four times the sample: recall holds; the share of rows compared falls with the table where vectors have structure."""
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (4096, 16384):
+        centres = rng.standard_normal((64, 24)) * 6
+        table = rng.standard_normal((n, 24)) + (centres[rng.integers(0, 64, n)] if clustered else 0)
+        sample = table[:4096]
+        forest = neighbours.grow(sample, depth=neighbours.deep(n))
+        count = neighbours.effort(forest, sample, 10)
+        leaves = np.stack([t.file(table) for t in forest])
+        hit, seen = 0, 0
+        for q in range(0, n, n // 50):
+            found = np.zeros(n, bool)
+            for t, leaf in neighbours.visits(forest, table[q], count):
+                found |= leaves[t] == leaf
+            true = np.argsort(((table - table[q]) ** 2).sum(axis=1))[1:11]
+            hit += found[true].sum()
+            seen += found.sum()
+        tried = len(range(0, n, n // 50))
+        assert hit >= 0.9 * 10 * tried
+        shares.append(seen / n / tried)
+    assert shares[1] < (0.25 if clustered else 1) and (not clustered or shares[1] < shares[0])
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ import corpus_pipeline
 from launchlake.llm import packing
 from launchlake.session import scratch_dir
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _key string, row_key string, found string, language_found string, fp string, id string"
+CLASHES = ("k", "f", "l", "p", "i")
 
 
 def documents():
@@ -23,8 +24,8 @@ def documents():
     texts[62] = prose(rng, "de", 30) + " " + item + " " + prose(rng, "de", 10)
     texts[63] = prose(rng, "en", 40) + " mail ann@example.com or +1 555 234 5678 now"
     texts[64], texts[65], texts[66], texts[67] = None, "", "123 !!!", prose(rng, "en", 4000)
-    rows = [(i, t, "en" if i % 3 else None, None if i % 7 == 0 else "s", len(t or ""), "x", "y") for i, t in texts.items()]
-    rows += [rows[5], (6, prose(rng, "es", 40), "es", "s", 9, None, None), (None, prose(rng, "en", 35), "en", None, None, None, None)]
+    rows = [(i, t, "en" if i % 3 else None, None if i % 7 == 0 else "s", len(t or ""), "x", f"y{i}", *CLASHES) for i, t in texts.items()]
+    rows += [rows[5], (6, prose(rng, "es", 40), "es", "s", 9, None, "y6", *CLASHES), (None, prose(rng, "en", 35), "en", None, None, None, None, *CLASHES)]
     return rows, [(0, item), (1, None), (2, "short one")]
 
 
@@ -48,6 +49,7 @@ def test_every_stage_does_its_part(spark, folder):
         seen[name] = docs.collect()
         if name != "packing":
             assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+            assert all(tuple(r)[7:] == CLASHES and (r.doc_id is None or r._key == f"y{r.doc_id}") for r in seen[name])
     key = lambda r: (r[0], r[1])
     ordered = lambda pairs: sorted(pairs, key=str)
     lettered = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
