@@ -98,6 +98,28 @@ def test_alarm_falls_back_to_the_fewest_false_alarms(spark):
     assert (good.threshold, good.balanced_accuracy) == (0.9, 1.0)
 
 
+def test_a_bad_line_is_named_by_its_number_in_a_split_file(spark, tmp_path):
+    """Two files cut into many ranges, blank lines among them; the bad line stands in a later range of the second."""
+    lines = ['{"type":"code","sequence":%d}' % i if i % 7 else "" for i in range(1, 400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    lines[300] = "{bad"
+    (tmp_path / "b.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+    try:
+        rows = files.read_events(spark, str(tmp_path), strict=False)
+        assert rows.rdd.getNumPartitions() > 4
+        got = {(r._file[-7:], r._line): (r.sequence, r._bad) for r in rows.collect()}
+        assert got.pop(("b.jsonl", 301)) == (None, "{bad")
+        assert got == {(f, i): (i, None) for f in ("a.jsonl", "b.jsonl") for i in range(1, 400) if i % 7 and (f, i) != ("b.jsonl", 301)}
+        with pytest.raises(Exception, match=r"b\.jsonl:301: invalid JSON: \{bad"):
+            files.read_events(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_strict_and_lenient_event_reads(spark, tmp_path):
     (tmp_path / "events.jsonl").write_text('{"type":"code","sequence":1}\n\n{bad\n')
     rows = files.read_events(spark, str(tmp_path), strict=False).select("sequence", "_bad").collect()
