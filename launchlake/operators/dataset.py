@@ -117,15 +117,29 @@ def build_report(results: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def window_manifest(windows: DataFrame, captures: DataFrame) -> DataFrame:
-    """Flat example row per window with the metadata of its capture."""
+# Why a window was emitted; the gate, the signature, and what closed the queue.
+GATE_ON, GATE_OFF, NEW_SIGNATURE = "int_bitwise_gate", "int_bitwise_gate_disabled", "composition_signature_new"
+OVERFLOW, FLUSH = "token_budget_overflow", "offline_final_flush"
+
+
+def window_manifest(windows: DataFrame, captures: DataFrame, rendered: DataFrame | None = None, use_gate: bool = True) -> DataFrame:
+    """Flat example row per window with the metadata of its capture and, if given, its rendered text and costs.
+
+    ``rendered`` has one row per (capture_id, window_id): ``pre_clip_token_cost``, ``token_cost``, ``front_clipped`` and ``text``.
+    A window without a rendered row keeps nulls there.
+    """
     binary = F.coalesce(F.col("binary_label"), scalars.binary_label("label"))
     rows = windows.join(captures, "capture_id")
-    return rows.select(
+    reason = F.array(F.lit(GATE_ON if use_gate else GATE_OFF), F.lit(NEW_SIGNATURE), F.when(F.col("is_flush"), FLUSH).otherwise(OVERFLOW))
+    rows = rows.select(
         F.concat_ws("__", "parent_workload", "window_id").alias("workload"), F.concat(F.lit("windows/"), "window_id", F.lit(".listing")).alias("path"),
         "label", binary.alias("binary_label"), "family", "opt_level", "program", "variant", "capture_id", "parent_workload", "window_id",
         F.lit("dynamic").alias("window_type"), F.lit("stream").alias("l0_group_kind"), F.to_json(F.struct("pid", "device_pci_bus_id", "stream")).alias("l0_group_key"),
-        F.col("parent_workload").alias("group_id"), "max_ratio", "window_token_cost", F.lit("rolling_token_window").alias("packing_mode"))
+        F.col("parent_workload").alias("group_id"), F.col("capture_path").alias("source_capture_path"), reason.alias("trigger_reason"),
+        "max_ratio", "window_token_cost", F.lit("rolling_token_window").alias("packing_mode"))
+    if rendered is None:
+        return rows
+    return rows.join(rendered.select("capture_id", "window_id", "pre_clip_token_cost", F.col("token_cost").alias("rendered_token_cost"), "front_clipped", "text"), ["capture_id", "window_id"], "left")
 
 
 def no_window_rows(captures: DataFrame, windows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from launchlake.functions import scalars
 from launchlake.operators import dataset as D
 from launchlake.operators import text_data as X
+from launchlake.plans import kernel_queries as KQ
 from launchlake.plans import launch_queries as LQ
 from launchlake.plans import views
 from launchlake.plans.registry import query
@@ -148,14 +149,14 @@ def _(spark, d):
 
 SQL["man"] = """
 man AS (SELECT 'c' || m AS capture_id, arg_max(program, o) AS program, arg_max(target_percent, o) AS target_percent, arg_max(label, o) AS label, arg_max(family, o) AS family,
-  arg_max(variant, o) AS variant, arg_max(workload, o) AS workload FROM (SELECT *, capture_id AS o, capture_id % 8 AS m FROM v7 WHERE capture_id % 8 <> 3) GROUP BY m)"""
+  arg_max(variant, o) AS variant, arg_max(workload, o) AS workload, arg_max(capture_path, o) AS capture_path FROM (SELECT *, capture_id AS o, capture_id % 8 AS m FROM v7 WHERE capture_id % 8 <> 3) GROUP BY m)"""
 
 
 def manifest(spark, d) -> DataFrame:
     """The last manifest row of each capture of the launch view; one is missing."""
     rows = views.captures(spark, d).where(F.col("capture_id") % 8 != 3).withColumn("ord", F.col("capture_id"))
     rows = rows.withColumn("capture_id", F.concat(F.lit("c"), F.col("ord") % 8)).select(
-        "capture_id", "program", "target_percent", "label", "family", "variant", "workload", "ord")
+        "capture_id", "program", "target_percent", "label", "family", "variant", "workload", "capture_path", "ord")
     return D.last_per_key(rows, "capture_id", "ord")
 
 
@@ -175,12 +176,16 @@ PARENT = "lower(trim(regexp_replace(workload, '[^A-Za-z0-9_]+', '_', 'g'), '_'))
 
 
 @query("window_manifest", sql(f"""
-SELECT {PARENT} || '__' || window_id AS workload, capture_id, window_id, label, CASE WHEN label = 'mining_like' THEN 'mining' ELSE 'benign' END AS binary_label, family, program, variant,
-  {PARENT} AS group_id, max_ratio, token_cost AS window_token_cost FROM window_named JOIN man USING (capture_id)""", "v1", "launch_rows", "scan", "windows", "v7", "man"))
+SELECT {PARENT} || '__' || w.window_id AS workload, w.capture_id, w.window_id, label, CASE WHEN label = 'mining_like' THEN 'mining' ELSE 'benign' END AS binary_label, family, program, variant,
+  {PARENT} AS group_id, max_ratio, w.token_cost AS window_token_cost, capture_path AS source_capture_path,
+  'int_bitwise_gate,composition_signature_new,' || CASE WHEN is_flush = 1 THEN '{D.FLUSH}' ELSE '{D.OVERFLOW}' END AS trigger_reason,
+  pre_clip_token_cost, r.token_cost AS rendered_token_cost, front_clipped, text_md5
+FROM window_named w JOIN man USING (capture_id) LEFT JOIN rendered r ON r.capture_id = w.capture_id AND r.window_id = w.window_id""", "v1", "launch_rows", "scan", "windows", "v7", "man", *KQ.RENDERED))
 def _(spark, d):
     w = LQ.numbered_windows(spark, d).withColumn("window_token_cost", F.col("window_cost"))
-    return D.window_manifest(w, entries(spark, d)).select(
-        "workload", "capture_id", "window_id", "label", "binary_label", "family", "program", "variant", "group_id", "max_ratio", "window_token_cost")
+    return D.window_manifest(w, entries(spark, d), KQ.rendered_windows(spark, d)).select(
+        "workload", "capture_id", "window_id", "label", "binary_label", "family", "program", "variant", "group_id", "max_ratio", "window_token_cost", "source_capture_path",
+        F.array_join("trigger_reason", ",").alias("trigger_reason"), "pre_clip_token_cost", "rendered_token_cost", "front_clipped", F.md5("text").alias("text_md5"))
 
 
 @query("no_window_rows", sql(f"""

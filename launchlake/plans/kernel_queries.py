@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from launchlake.functions import scalars
 from launchlake.functions import text as T
 from launchlake.operators import listings as K
+from launchlake.operators import render
 from launchlake.operators import resolve as R
 from launchlake.operators import text_data as X
 from launchlake.operators import windows as W
@@ -577,23 +578,27 @@ def rendered_kernels(spark, d) -> DataFrame:
     return kinds.join(longest, "source").select("kernel", "kernel_id")
 
 
-@query("render_windows", sql("""
-, r AS (SELECT m.capture_id, m.window_id, m.pos, f.idx, f.norm_text AS line, f.cost FROM members m JOIN rk ON rk.kid = m.kid JOIN frag f USING (kernel_id)
+SQL["rendered"] = """
+rw AS (SELECT m.capture_id, m.window_id, m.pos, f.idx, f.norm_text AS line, f.cost FROM members m JOIN rk ON rk.kid = m.kid JOIN frag f USING (kernel_id)
   UNION ALL SELECT m.capture_id, m.window_id, m.pos, 1000000000, 'KERNEL_BOUNDARY', 1 FROM members m JOIN rk ON rk.kid = m.kid),
-c AS (SELECT *, sum(cost) OVER (PARTITION BY capture_id, window_id ORDER BY pos DESC, idx DESC) AS c, sum(cost) OVER (PARTITION BY capture_id, window_id) AS pre FROM r),
-inc AS (SELECT capture_id, window_id, count(*) AS members, count(rk.kid) AS included, coalesce(string_agg(DISTINCT m.kid, ',' ORDER BY m.kid) FILTER (rk.kid IS NULL), '') AS missing_kernels
+rwc AS (SELECT *, sum(cost) OVER (PARTITION BY capture_id, window_id ORDER BY pos DESC, idx DESC) AS c, sum(cost) OVER (PARTITION BY capture_id, window_id) AS pre FROM rw),
+rwi AS (SELECT capture_id, window_id, count(*) AS members, count(rk.kid) AS included, coalesce(string_agg(DISTINCT m.kid, ',' ORDER BY m.kid) FILTER (rk.kid IS NULL), '') AS missing_kernels
   FROM members m LEFT JOIN rk ON rk.kid = m.kid GROUP BY ALL),
-t AS (SELECT capture_id, window_id, any_value(pre) AS pre, sum(cost) FILTER (c <= 60) AS kept, md5(string_agg(line, chr(10) ORDER BY pos, idx) FILTER (c <= 60)) AS text_md5 FROM c GROUP BY capture_id, window_id)
-SELECT capture_id, window_id, included AS included_launches, members - included AS missing_launches, missing_kernels, CAST(coalesce(pre, 0) AS BIGINT) AS pre_clip_token_cost,
+rwt AS (SELECT capture_id, window_id, any_value(pre) AS pre, sum(cost) FILTER (c <= 60) AS kept, md5(string_agg(line, chr(10) ORDER BY pos, idx) FILTER (c <= 60)) AS text_md5 FROM rwc GROUP BY capture_id, window_id),
+rendered AS (SELECT capture_id, window_id, included AS included_launches, members - included AS missing_launches, missing_kernels, CAST(coalesce(pre, 0) AS BIGINT) AS pre_clip_token_cost,
   CAST(coalesce(kept, 0) AS BIGINT) AS token_cost, coalesce(pre, 0) > 60 AS front_clipped, CAST(coalesce(pre, 0) - coalesce(kept, 0) AS BIGINT) AS clipped_token_count, included = 0 AS failed, text_md5
-FROM inc LEFT JOIN t USING (capture_id, window_id)""",
-    "v1", "launch_rows", "scan", "windows", "members", *CFG, "frag60", "rk"))
-def _(spark, d):
-    from launchlake.operators import render
+  FROM rwi LEFT JOIN rwt USING (capture_id, window_id))"""
+RENDERED = ("members", *CFG, "frag60", "rk", "rendered")
+
+
+def rendered_windows(spark, d) -> DataFrame:
     kernels = materialize(rendered_kernels(spark, d), "rendered-kernels")
-    return render.render_windows(LQ.window_members(spark, d), kernels, fragments(spark, d, VIEW_BUDGET, kernels),
-                                 ["capture_id", "window_id"], VIEW_BUDGET).withColumns(
-                                     {"text_md5": F.md5("text"), "missing_kernels": F.array_join("missing_kernels", ",")}).drop("text")
+    return render.render_windows(LQ.window_members(spark, d), kernels, fragments(spark, d, VIEW_BUDGET, kernels), ["capture_id", "window_id"], VIEW_BUDGET)
+
+
+@query("render_windows", sql("SELECT * FROM rendered", "v1", "launch_rows", "scan", "windows", *RENDERED))
+def _(spark, d):
+    return rendered_windows(spark, d).withColumns({"text_md5": F.md5("text"), "missing_kernels": F.array_join("missing_kernels", ",")}).drop("text")
 
 
 @query("capped_workload_render", sql("""
@@ -603,7 +608,6 @@ r AS (SELECT capture_id, nth, idx, norm_text AS line, cost FROM m JOIN frag USIN
 SELECT capture_id, count(DISTINCT nth) AS included_launches, CAST(sum(cost) AS BIGINT) AS token_cost, md5(string_agg(line, chr(10) ORDER BY nth, idx)) AS text_md5
 FROM r GROUP BY ALL""", "v1", "launch_rows", *CFG, "frag60", "rk"))
 def _(spark, d):
-    from launchlake.operators import render
     from launchlake.operators.launches import limit_launches
     first = limit_launches(LQ.launch_rows(spark, d), ["capture_id"], 16).withColumn("kernel_id", F.col("l0_kernel_id")).withColumn("pos", F.col("rank"))
     kernels = materialize(rendered_kernels(spark, d), "rendered-kernels")
