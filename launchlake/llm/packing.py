@@ -134,7 +134,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEMS_
         bins = settle(_round(items, number, parts, capacity, full), f"bins-{number}")
         items = bins.filter("not done")
         left = items.count()
-        last = parts == 1 or (number > 1 and left > 0.9 * count)
+        # A rest that fits one task always comes together in one; a larger one as long as rounds still empty bins.
+        last = parts == 1 or (number > 1 and left > max(0.9 * count, items_per_task))
         placed = (bins if last else bins.filter("done")).select("bin", F.explode("members").alias("m"))
         packed = packed.union(placed.select(*[F.col(f"m.{c}") for c in columns], F.col("bin").alias("sequence_id"), F.col("m.at").alias("offset")))
         if last:
