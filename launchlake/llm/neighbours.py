@@ -10,7 +10,8 @@ crossed on the way, and a number of leaves that come first is searched: as many
 sample need to find ``recall`` of their true neighbours in the sample. So vectors in clusters are searched in few leaves,
 and only vectors without structure in many. Candidates are ranked by their exact distance to the query.
 
-Leaves are searched in blocks of at most ``block`` vectors and queries, so a leaf may hold
+Leaves are searched branch by branch, a branch being the leaves below one node ``BRANCH`` steps down, so a query brings
+back its k nearest of a branch and not of every leaf. Branches are cut into blocks of at most ``block`` vectors and queries, so a leaf may hold
 any share of the table. Vectors that are null, zero, hold a null or non-finite component, have
 no id, or not the commonest number of components take no part. Rows with the same id count
 once, at their nearest; a query's own id is never its neighbour. Ties go to the smaller id.
@@ -33,6 +34,7 @@ from launchlake.llm.common import settle
 
 TREES = 4
 LEAF = 256  # rows a leaf should hold
+BRANCH = 6
 LEAST_LEAF = 16  # sample vectors below which a node is not cut again
 SAMPLE = 16_384
 RECALL = 0.95  # of the neighbours in the sample
@@ -123,9 +125,9 @@ def effort(forest: list[Tree], sample: np.ndarray, k: int, recall: float = RECAL
     return min(total, int(np.quantile(needed, recall, method="higher")) + 1) if needed else total
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int, rough: np.ndarray) -> list[tuple[int, float]]:
-    """The k nearest by exact distance; ``rough`` squared distances only tell which rows cannot be among them."""
-    kept = np.flatnonzero(ids != query_id)
+def nearest(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int, rough: np.ndarray, rows: np.ndarray) -> list[tuple[int, float]]:
+    """The k nearest of ``rows`` by exact distance; ``rough`` squared distances only tell which rows cannot be among them."""
+    kept = rows[ids[rows] != query_id]
     if len(kept) > k:
         # The k-th nearest id, not row: rows with one id count once.
         order = kept[np.argsort(rough[kept], kind="stable")]
@@ -181,26 +183,36 @@ def search(table: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vect
     placed = "vec_id long, vector array<double>, tree int, leaf int"
     index = settle(rows.mapInPandas(file, placed), "forest-index")
     asked = settle(rows.filter(is_query(F.col("vec_id"))).mapInPandas(visit, placed).withColumnRenamed("vec_id", "query_id"), "forest-visits")
-    # Large leaves are cut into blocks on both sides; there are few leaves, whatever the table holds.
-    sizes = index.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    crowds = asked.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("crowds"))
-    cuts = F.broadcast(settle(sizes.join(crowds, ["tree", "leaf"]), "leaf-blocks"))
-    at = ["tree", "leaf", "b", "c"]
-    left = index.join(cuts, ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select(
-        "tree", "leaf", "b", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("c"), "vec_id", "vector")
-    right = asked.join(cuts, ["tree", "leaf"]).withColumn("c", F.pmod(F.xxhash64("query_id", "vector"), F.col("crowds")).cast("int")).select(
-        "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "c", "query_id", "vector")
+    # The number of a node in heap order has as many bits as its depth, and the first of them are its branch.
+    steps = F.floor(F.log2("leaf")).cast("int")
+    branch = F.when(steps > BRANCH, F.expr(f"shiftright(leaf, cast(floor(log2(leaf)) as int) - {BRANCH})")).otherwise(F.col("leaf"))
+    index, asked = index.withColumn("branch", branch), asked.withColumn("branch", branch)
+    # Large branches are cut into blocks on both sides; there are few branches, whatever the table holds.
+    sizes = index.groupBy("tree", "branch").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    crowds = asked.groupBy("tree", "branch").agg(F.ceil(F.count("*") / block).cast("int").alias("crowds"))
+    cuts = F.broadcast(settle(sizes.join(crowds, ["tree", "branch"]), "branch-blocks"))
+    at = ["tree", "branch", "b", "c"]
+    left = index.join(cuts, ["tree", "branch"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select(
+        "tree", "branch", "b", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("c"), "leaf", "vec_id", "vector")
+    right = asked.join(cuts, ["tree", "branch"]).withColumn("c", F.pmod(F.xxhash64("query_id", "vector"), F.col("crowds")).cast("int")).select(
+        "tree", "branch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "c", "leaf", "query_id", "vector")
 
     def compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
         if len(vectors) and len(queries):
             ids, m = vectors.vec_id.to_numpy(), np.stack(vectors.vector.to_numpy())
+            stands = vectors.groupby("leaf").indices
             norms = np.einsum("ij,ij->i", m, m)
-            q = np.stack(queries.vector.to_numpy())
-            for start in range(0, len(q), 256):
-                rough = norms - 2 * (q[start:start + 256] @ m.T) + np.einsum("ij,ij->i", q[start:start + 256], q[start:start + 256])[:, None]
-                for j, query_id in enumerate(queries.query_id.to_numpy()[start:start + 256]):
-                    out += [(query_id, i, d) for i, d in nearest(ids, m, query_id, q[start + j], k, rough[j])]
+            # Rows of one query and one vector are the leaves that it visits.
+            asks = queries.assign(key=[v.tobytes() for v in queries.vector]).groupby(["query_id", "key"], sort=False)
+            asks = [(part.query_id.iloc[0], part.vector.iloc[0], set(part.leaf)) for _, part in asks]
+            for start in range(0, len(asks), 256):
+                q = np.stack([v for _, v, _ in asks[start:start + 256]])
+                rough = norms - 2 * (q @ m.T) + np.einsum("ij,ij->i", q, q)[:, None]
+                for j, (query_id, v, leaves) in enumerate(asks[start:start + 256]):
+                    rows = [stands[leaf] for leaf in leaves if leaf in stands]
+                    if rows:
+                        out += [(query_id, i, d) for i, d in nearest(ids, m, query_id, v, k, rough[j], np.sort(np.concatenate(rows)))]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, "query_id long, vec_id long, score double")
