@@ -42,4 +42,26 @@ def _six(v: Column) -> Column:
         at(F.floor((n * 95 + 99) / 100) - 1).alias("p95"))
 
 
+def gathered(value: Column, order: Column) -> Column:
+    """Aggregate: the non-null values of a small group as an array in the given order, whatever the order of arrival."""
+    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.cast("double").alias("v")))))
+    return F.transform(pairs, lambda p: p["v"])
+
+
+def mean_in_order(values: Column) -> Column:
+    """Mean of an array summed from left to right, so that equal inputs give equal last digits; null if empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def deviation_in_order(values: Column) -> Column:
+    """Population deviation of an array in one pass from left to right; null if empty."""
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["square"] + (x - mean) * (x - a["mean"])).alias("square"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+    return F.when(F.size(values) > 0, F.sqrt(F.aggregate(values, start, step)["square"] / F.size(values)))
+
+
 STATS = ("mean", "std", "min", "max", "median", "p95")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from launchlake.functions import scalars
-from launchlake.functions.stats import stats6
+from launchlake.functions.stats import deviation_in_order, gathered, mean_in_order, stats6
 from launchlake.operators import counters as N
 from launchlake.operators import ordered
 from launchlake.plans import views
@@ -223,10 +223,13 @@ ps AS (SELECT run_id, pid, timestamp_ns // 3000000000 AS span, avg(process_gpu_u
 
 
 def process_spans(spark, d) -> DataFrame:
-    util = F.col("process_gpu_utilization_pct")
+    # verdicts cut at values that means meet exactly, so a span of three samples is summed in time order
+    at, util, memory, ram = F.col("timestamp_ns"), *(F.col(m) for m in N.PROCESS_METRICS)
     rows = views.process_samples(spark, d).groupBy("run_id", "pid", F.expr("timestamp_ns div 3000000000").alias("span")).agg(
-        F.avg(util).alias("avg_process_gpu_utilization_pct"), F.stddev_pop(util).alias("std_process_gpu_utilization_pct"),
-        F.avg("process_gpu_memory_pct").alias("avg_process_gpu_memory_pct"), F.avg("host_ram_gb").alias("avg_host_ram_gb"))
+        gathered(util, at).alias("util"), gathered(memory, at).alias("memory"), gathered(ram, at).alias("ram"))
+    rows = rows.select("run_id", "pid", "span", mean_in_order(F.col("util")).alias("avg_process_gpu_utilization_pct"),
+                       deviation_in_order(F.col("util")).alias("std_process_gpu_utilization_pct"),
+                       mean_in_order(F.col("memory")).alias("avg_process_gpu_memory_pct"), mean_in_order(F.col("ram")).alias("avg_host_ram_gb"))
     status = F.when(F.col("avg_process_gpu_utilization_pct").isNull(), "insufficient_process_util").otherwise("exact")
     return rows.withColumns({"status": status, "binary_label": F.when(F.col("run_id") % 2 == 0, "mining").otherwise("benign")})
 
