@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from launchlake.functions.stats import gathered, mean_in_order
 from launchlake.operators import metrics as M
 from launchlake.plans import views
 from launchlake.plans.registry import query
@@ -175,7 +176,9 @@ def _(spark, d):
 
 def runs(spark, d) -> DataFrame:
     rows = views.examples(spark, d)
-    return rows.groupBy("group_id", "binary_label").agg(F.avg("score").alias("mean_mining_probability"))
+    # thresholds are compared with these means exactly, so the examples of a group are summed in their order
+    scores = rows.groupBy("group_id", "binary_label").agg(gathered(F.col("score"), F.col("workload")).alias("scores"))
+    return scores.select("group_id", "binary_label", mean_in_order(F.col("scores")).alias("mean_mining_probability"))
 
 
 SQL["runs5"] = "runs5 AS (SELECT group_id, binary_label, avg(score) AS p FROM v5 GROUP BY ALL)"

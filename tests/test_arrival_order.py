@@ -1,6 +1,6 @@
 """Results that must not depend on the order or the files in which rows arrive."""
 
-from launchlake.plans import counter_queries, views
+from launchlake.plans import counter_queries, metric_queries, views
 
 
 def test_spans_are_summed_in_time_order(spark, monkeypatch):
@@ -10,3 +10,9 @@ def test_spans_are_summed_in_time_order(spark, monkeypatch):
     got = counter_queries.process_spans(spark, "").first()
     assert got.avg_process_gpu_utilization_pct == got.avg_process_gpu_memory_pct == got.avg_host_ram_gb == (0.1 + 0.2 + 0.3) / 3 != (0.3 + 0.2 + 0.1) / 3
     assert abs(got.std_process_gpu_utilization_pct - 0.0816496580927726) < 1e-15
+
+
+def test_group_scores_are_summed_in_order_of_examples(spark, monkeypatch):
+    frame = spark.createDataFrame([(2, 0, "mining", 0.3), (1, 0, "mining", 0.2), (3, 0, "mining", None), (0, 0, "mining", 0.1)], "workload long, group_id long, binary_label string, score double").coalesce(1)
+    monkeypatch.setattr(views, "examples", lambda *_: frame)
+    assert metric_queries.runs(spark, "").first().mean_mining_probability == (0.1 + 0.2 + 0.3) / 3
