@@ -1,6 +1,11 @@
 """Results that must not depend on the order or the files in which rows arrive."""
 
-from launchlake.plans import counter_queries, metric_queries, views
+from pyspark.sql import functions as F
+
+from launchlake.plans import counter_queries, metric_queries, stream_queries, views
+from launchlake.streaming import runner
+
+stage = runner.stage_in_order
 
 
 def test_spans_are_summed_in_time_order(spark, monkeypatch):
@@ -16,3 +21,13 @@ def test_group_scores_are_summed_in_order_of_examples(spark, monkeypatch):
     frame = spark.createDataFrame([(2, 0, "mining", 0.3), (1, 0, "mining", 0.2), (3, 0, "mining", None), (0, 0, "mining", 0.1)], "workload long, group_id long, binary_label string, score double").coalesce(1)
     monkeypatch.setattr(views, "examples", lambda *_: frame)
     assert metric_queries.runs(spark, "").first().mean_mining_probability == (0.1 + 0.2 + 0.3) / 3
+
+
+def test_every_micro_batch_has_whole_sessions(spark, monkeypatch):
+    staged, steps = [], 4
+    monkeypatch.setattr(runner, "stage_in_order", lambda *a: staged.append(stage(*a, steps=steps, rows_per_file=25)) or staged[0])
+    stream_queries.event_stream(spark, "/root/testdata/sf0.001")
+    rows = views.launch_columns(spark.read.parquet(staged[0]).withColumn("_file", F.input_file_name())).select("session_id", "sequence")
+    files = spark.read.parquet(staged[0]).select((F.col("user_id") % 30 % 10).alias("session"), F.input_file_name().alias("file")).distinct().groupBy("session").count().collect()
+    assert rows.select("session_id").distinct().count() == len(files) == 10
+    assert all(r["count"] <= steps for r in files)
