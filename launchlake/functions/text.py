@@ -105,7 +105,8 @@ def branch_target(text: Column | str) -> Column:
     """Last ``L_...`` operand, null when there is none."""
     parts = F.split(F.replace(_col(text), F.lit(","), F.lit(" ")), r"\s+")
     bare = F.transform(parts, lambda t: F.regexp_replace(t, "^;+|;+$", ""))
-    return F.try_element_at(F.filter(bare, lambda t: t.rlike("^L_[A-Za-z0-9_]+$")), F.lit(-1))
+    last = F.try_element_at(F.filter(bare, lambda t: t.rlike("^L_[A-Za-z0-9_]+$")), F.lit(-1))
+    return F.when(F.contains(_col(text), F.lit("L_")), last)  # most lines have none and are not cut at all
 
 
 def is_predicated(text: Column | str) -> Column:

@@ -66,9 +66,20 @@ def rewrite_branches(raw: DataFrame) -> DataFrame:
 
 
 def _branch_named(text: Column) -> Column:
-    hit = F.regexp_extract(text, BRANCH_ADDRESS, 1)
-    name = _label(F.regexp_replace(hit, "^0x", ""))
-    return F.when(hit != "", F.replace(text, hit, name)).otherwise(text)
+    return F.when(_may_branch(text), T.let(_branch_address(text), lambda hit: F.when(hit != "", F.replace(text, hit, _address_name(hit))).otherwise(text))).otherwise(text)
+
+
+def _may_branch(text: Column) -> Column:
+    """A cheap test that every text with a branch address passes."""
+    return F.contains(text, F.lit("BR")) | F.contains(text, F.lit("JM"))
+
+
+def _branch_address(text: Column) -> Column:
+    return F.regexp_extract(text, BRANCH_ADDRESS, 1)
+
+
+def _address_name(hit: Column) -> Column:
+    return _label(F.regexp_replace(hit, "^0x", ""))
 
 
 def label_branch_targets(raw: DataFrame) -> DataFrame:
@@ -77,87 +88,93 @@ def label_branch_targets(raw: DataFrame) -> DataFrame:
     Takes (kernel_id, idx, addr, text). Instructions and branch references
     share one window per address, so there is no self-join.
     """
-    hit = F.regexp_extract("text", BRANCH_ADDRESS, 1)
-    rows = raw.withColumn("target", F.when(hit != "", F.lower(F.substring(hit, 3, 1 << 30))))
-    marks = F.when(F.col("target").isNull(), F.array(F.struct(F.col("addr").alias("a"), F.lit(False).alias("ref")))).otherwise(
-        F.array(F.struct(F.col("addr").alias("a"), F.lit(False).alias("ref")),
-                F.struct(F.col("target").alias("a"), F.lit(True).alias("ref"))))
-    rows = rows.withColumn("mark", F.explode(marks)).withColumns({"at": F.col("mark.a"), "ref": F.col("mark.ref")})
+    text = F.col("text")
+    rows = raw.withColumn("hit", F.when(_may_branch(text), F.nullif(_branch_address(text), F.lit(""))))
+    own = F.struct(F.col("addr").alias("a"), F.lit(False).alias("ref"))
+    refer = F.struct(F.lower(F.substring("hit", 3, 1 << 30)).alias("a"), F.lit(True).alias("ref"))
+    rows = rows.withColumn("mark", F.explode(F.when(F.col("hit").isNull(), F.array(own)).otherwise(F.array(own, refer))))
+    rows = rows.select("kernel_id", "idx", "addr", "text", "hit", F.col("mark.a").alias("at"), F.col("mark.ref").alias("ref"))
     rows = rows.withColumn("named", F.max("ref").over(Window.partitionBy("kernel_id", "at"))).where(~F.col("ref"))
-    name = _label(F.regexp_replace(hit, "^0x", ""))
-    text = F.when(F.col("target").isNotNull(), F.replace("text", hit, name)).otherwise(F.col("text"))
     labels = F.when(F.col("named"), F.array(_label(F.col("addr")))).otherwise(F.array().cast("array<string>"))
+    text = F.when(F.col("hit").isNotNull(), F.replace(text, F.col("hit"), _address_name(F.col("hit")))).otherwise(text)
     return rows.select("kernel_id", "idx", text.alias("text"), labels.alias("labels"))
 
 
 def with_control(ins: DataFrame) -> DataFrame:
     """Add opcode, guard flag, kernel size and, per branch, the target index.
 
-    A label reference finds its definition in a window per (kernel, label); of
-    several definitions the last one counts. Also carries the block and prefix
-    counts of the target, so loops need no join either.
+    A label reference finds its definition in one order of labels per kernel; of
+    several definitions the last one counts. Running counts are taken in a second
+    order, by index, and left out by the optimizer where nobody reads them.
     """
-    op = T.opcode("text")
     rows = ins.select(
-        "kernel_id", "idx", "text", "labels", op.alias("op"), T.is_predicated("text").alias("predicated"),
+        "kernel_id", "idx", "text", "labels", T.opcode("text").alias("op"), T.is_predicated("text").alias("predicated"),
         T.branch_target("text").alias("target"))
+    # one row per definition and reference, and one for an instruction without any
+    define = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(True).alias("def")))
+    refer = F.struct(F.col("target").alias("label"), F.lit(False).alias("def"))
+    roles = F.when(F.col("target").isNotNull(), F.concat(define, F.array(refer))).when(F.size("labels") > 0, define).otherwise(
+        F.array(F.lit(None).cast("struct<label:string,def:boolean>")))
+    rows = rows.select("kernel_id", "idx", "text", "labels", "op", "predicated", F.posexplode(roles).alias("role_no", "role"))
+    rows = rows.select("kernel_id", "idx", "text", "labels", "op", "predicated", "role_no", F.col("role.label").alias("label"), F.col("role.def").alias("def"))
+    # the last definition of a label comes first, then the others, then its references
+    by_label = _kernel().orderBy("label", F.desc("def"), F.desc("idx"))
+    opens = F.col("def") & ~F.lag("label").over(by_label).eqNullSafe(F.col("label"))
+    rows = rows.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    place = F.last(F.when(F.col("opens"), F.struct("label", "idx")), ignorenulls=True).over(by_label.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("place", place)
+    aim = F.when(~F.col("def") & (F.col("place.label") == F.col("label")), F.struct(F.col("idx").alias("at"), F.col("place.idx").alias("goal")))
+    rows = rows.select("kernel_id", "idx", "text", "labels", "op", "predicated", "role_no", "opens", aim.alias("aim"))
+    # back to one row per instruction: its first role comes last and sees what the others found
+    back = _kernel().orderBy("idx", F.desc("role_no")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"live": F.last(F.when(F.col("opens"), F.col("idx")), ignorenulls=True).over(back), "aim": F.last("aim", ignorenulls=True).over(back)})
+    rows = rows.where(F.col("role_no") == 0)
+    rows = rows.select("kernel_id", "idx", "text", "labels", "op", "predicated", F.coalesce(F.col("live") == F.col("idx"), F.lit(False)).alias("labelled"),
+                       F.when(F.col("aim.at") == F.col("idx"), F.col("aim.goal")).alias("target_idx"))
     flags = {
         **{f"c_{k}": T.has_prefix(F.col("op"), p).cast("int") for k, p in T.LOOP_PREFIXES.items()},
         "c_trivial": F.col("op").isin(T.TRIVIAL_CONTROL_OPS).cast("int"),
         "c_useful": T.is_useful(F.col("op")).cast("int"),
     }
     rows = rows.withColumns(flags)
-    # explode every definition and the reference of each row by label
-    define = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(True).alias("def")))
-    refer = F.when(F.col("target").isNull(), F.array()).otherwise(
-        F.array(F.struct(F.col("target").alias("label"), F.lit(False).alias("def"))))
-    ends = _kernel().orderBy("idx")
     control = F.col("op").isin(T.BRANCH_OPS + T.TERMINAL_OPS + T.CALL_OPS)
     sums = [F.sum(c).over(_upto()).alias(c.replace("c_", "s_")) for c in flags]
-    rows = rows.select(
-        "*", *sums, F.lag(control, 1, False).over(ends).alias("after_control"), F.count(F.lit(1)).over(_kernel()).alias("n"),
+    return rows.select(
+        "*", *sums, F.lag(control, 1, False).over(_kernel().orderBy("idx")).alias("after_control"), F.count(F.lit(1)).over(_kernel()).alias("n"),
         F.max(F.when(F.col("c_noise") == 0, F.col("idx"))).over(_upto()).alias("last_good"))
-    roles = F.concat(define.cast("array<struct<label:string,def:boolean>>"), refer.cast("array<struct<label:string,def:boolean>>"))
-    roles = F.when(F.size(roles) == 0, F.array(F.lit(None).cast("struct<label:string,def:boolean>"))).otherwise(roles)
-    rows = rows.select("*", F.posexplode(roles).alias("role_no", "role")).withColumn("label", F.col("role.label"))
-    by_label = Window.partitionBy("kernel_id", "label")
-    target = F.max(F.when(F.col("role.def"), F.struct(
-        F.col("idx"), *[(F.col(c.replace("c_", "s_")) - F.col(c)).alias(c.replace("c_", "s_")) for c in flags])))
-    rows = rows.withColumn("_t", F.when(F.col("label").isNotNull(), target.over(by_label)))
-    live = F.coalesce(F.col("role.def") & (F.col("_t.idx") == F.col("idx")), F.lit(False))
-    # back to one row per instruction
-    same = Window.partitionBy("kernel_id", "idx")
-    rows = rows.withColumns({
-        "labelled": F.max(live).over(same), "goal": F.max(F.when(~F.col("role.def"), F.col("_t"))).over(same)})
-    rows = rows.where(F.col("role_no") == 0).drop("role_no", "role", "label", "_t")
-    return rows.withColumn("target_idx", F.col("goal.idx"))
+
+
+def _leader() -> Column:
+    """Leaders of blocks are entry, live labels, and what follows control flow."""
+    return (F.col("idx") == 0) | F.col("labelled") | F.col("after_control")
 
 
 def with_blocks(control: DataFrame) -> DataFrame:
-    """Add ``block_id``: leaders are entry, live labels, and what follows control flow."""
-    leader = (F.col("idx") == 0) | F.col("labelled") | F.col("after_control")
-    return control.withColumn("block_id", (F.sum(leader.cast("int")).over(_upto()) - 1).cast("int"))
+    """Add ``block_id``, counted by leaders."""
+    return control.withColumn("block_id", (F.sum(_leader().cast("int")).over(_upto()) - 1).cast("int"))
 
 
 def basic_blocks(control: DataFrame) -> DataFrame:
     rows = with_blocks(control)
     return rows.groupBy("kernel_id", "block_id").agg(
         F.min("idx").alias("start_line"), F.max("idx").alias("end_line"), F.count(F.lit(1)).alias("instructions"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "labels"))), lambda x: x["labels"])).alias("labels"))
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("labels") > 0, F.struct("idx", "labels")))), lambda x: x["labels"])).alias("labels"))
 
 
 def control_flow_edges(control: DataFrame) -> DataFrame:
     """Typed edges (src, dst, type) between blocks, each once."""
-    rows = with_blocks(control)
-    # block of each branch target: blocks are numbered by leader, so look it up by index
-    spots = F.when(F.col("target_idx").isNull(), F.array(F.struct(F.col("idx").alias("i"), F.lit(False).alias("ref")))).otherwise(
-        F.array(F.struct(F.col("idx").alias("i"), F.lit(False).alias("ref")),
-                F.struct(F.col("target_idx").alias("i"), F.lit(True).alias("ref"))))
-    rows = rows.withColumn("spot", F.explode(spots)).withColumns({"at": F.col("spot.i"), "ref": F.col("spot.ref")})
-    rows = rows.withColumn("at_block", F.max(F.when(~F.col("ref"), F.col("block_id"))).over(Window.partitionBy("kernel_id", "at")))
-    last = rows.groupBy("kernel_id", "block_id").agg(
-        F.max(F.struct("idx", F.col("ref"), "op", "predicated", "n", F.when(F.col("ref"), F.col("at_block")).alias("dst"))).alias("e"))
-    op, dst, src = F.col("e.op"), F.col("e.dst"), F.col("block_id")
+    rows = with_blocks(control).withColumn("leads", _leader())
+    # a branch goes to a leader, so only the first and the last instruction of a block are looked at
+    rows = rows.withColumn("closes", F.lead("leads", 1, True).over(_kernel().orderBy("idx"))).where("leads or closes")
+    spots = F.array_compact(F.array(
+        F.when(F.col("leads"), F.struct(F.col("idx").alias("i"), F.lit(0).alias("role"))),
+        F.when(F.col("closes"), F.struct(F.coalesce("target_idx", "idx").alias("i"), F.lit(1).alias("role")))))
+    rows = rows.select("kernel_id", "idx", "target_idx", "block_id", "op", "predicated", "n", F.explode(spots).alias("spot"))
+    rows = rows.select("*", F.col("spot.i").alias("at"), F.col("spot.role").alias("role"))
+    upto = _kernel().orderBy("at", "role").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("at_block", F.last(F.when(F.col("role") == 0, F.col("block_id")), ignorenulls=True).over(upto)).where(F.col("role") == 1)
+    last = rows.select("kernel_id", "block_id", F.struct("idx", "op", "predicated", "n").alias("e"), F.when(F.col("target_idx").isNotNull(), F.col("at_block")).alias("dst"))
+    op, dst, src = F.col("e.op"), F.col("dst"), F.col("block_id")
     has_next = F.col("e.idx") < F.col("e.n") - 1
     branch, call, end = op.isin(T.BRANCH_OPS), op.isin(T.CALL_OPS), op.isin(T.TERMINAL_OPS)
     falls = has_next & ~end & (~branch | F.col("e.predicated"))
@@ -168,14 +185,26 @@ def control_flow_edges(control: DataFrame) -> DataFrame:
         "kernel_id", "src", F.col("x.dst").alias("dst"), F.col("x.type").alias("type"))
 
 
+LOOP_COUNTS = ("integer", "bitwise", "shift", "predicate", "memory")
+
+
 def natural_loops(control: DataFrame) -> DataFrame:
     """Back edges as loops with body counts taken from prefix sums."""
-    back = control.where(F.col("target_idx") < F.col("idx"))
-    inside = {k: F.col(f"s_{k}") - F.col(f"goal.s_{k}") for k in T.LOOP_PREFIXES}
+    counts = F.struct(*[F.col(f"s_{k}").alias(k) for k in LOOP_COUNTS])
+    before = F.struct(*[(F.col(f"s_{k}") - F.col(f"c_{k}")).alias(k) for k in LOOP_COUNTS])
+    rows = control.where(F.col("labelled") | (F.col("target_idx") < F.col("idx"))).select("kernel_id", "idx", "target_idx", "labelled", counts.alias("end"), before.alias("begin"))
+    # every branch is read again at the label it goes back to
+    spots = F.array_compact(F.array(
+        F.when(F.col("labelled"), F.struct(F.col("idx").alias("i"), F.lit(0).alias("role"))),
+        F.when(F.col("target_idx") < F.col("idx"), F.struct(F.col("target_idx").alias("i"), F.lit(1).alias("role")))))
+    rows = rows.withColumn("spot", F.explode(spots)).withColumns({"at": F.col("spot.i"), "role": F.col("spot.role")})
+    upto = _kernel().orderBy("at", "role").rowsBetween(Window.unboundedPreceding, 0)
+    back = rows.withColumn("goal", F.last(F.when(F.col("role") == 0, F.col("begin")), ignorenulls=True).over(upto)).where(F.col("role") == 1)
+    inside = {k: F.col(f"end.{k}") - F.col(f"goal.{k}") for k in LOOP_COUNTS}
     return back.select(
         "kernel_id", F.col("target_idx").alias("start"), F.col("idx").alias("end"),
         (F.col("idx") - F.col("target_idx") + 1).cast("long").alias("instruction_count"),
-        *[inside[k].cast("long").alias(k) for k in ("integer", "bitwise", "shift", "predicate", "memory")])
+        *[inside[k].cast("long").alias(k) for k in LOOP_COUNTS])
 
 
 def loop_nesting(loops: DataFrame) -> DataFrame:
