@@ -23,25 +23,6 @@ def stats6(name: str, prefix: str) -> list[Column]:
     ]
 
 
-def array_stats6(values: Column, prefix: str) -> list[Column]:
-    """The same six of an array column that may hold nulls, which are ignored."""
-    ordered = F.sort_array(F.filter(values, lambda v: v.isNotNull()))
-    return [F.transform(F.array(ordered), _six)[0][name].alias(f"{prefix}_{name}") for name in STATS]
-
-
-def _six(v: Column) -> Column:
-    n = F.size(v)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(n > 0, total / n)
-    spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - total / n) * (x - total / n))
-    at = lambda i: F.get(v, i.cast("int"))
-    return F.struct(
-        mean.alias("mean"), F.when(n > 0, F.sqrt(spread / n)).alias("std"), F.get(v, F.lit(0)).alias("min"), at(n - 1).alias("max"),
-        F.when(n % 2 == 1, at((n - 1) / 2)).otherwise((at(n / 2 - 1) + at(n / 2)) / 2).alias("median"),
-        # nearest rank in whole numbers: ceil(0.95 n) - 1
-        at(F.floor((n * 95 + 99) / 100) - 1).alias("p95"))
-
-
 def gathered(value: Column, order: Column) -> Column:
     """Aggregate: the non-null values of a small group as an array in the given order, whatever the order of arrival."""
     pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.cast("double").alias("v")))))

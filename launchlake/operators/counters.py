@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchlake.functions import scalars
-from launchlake.functions.stats import array_stats6
+from launchlake.functions.stats import STATS
+from launchlake.operators import counter_sweep as sweep
 from launchlake.operators import ordered
+from launchlake.session import materialize
 
 # Metric columns of the two sample tables.
 DEVICE_METRICS = ["gpu_utilization_pct", "memory_utilization_pct", "power_usage_watts", "temperature_celsius", "fan_speed_pct"]
@@ -38,6 +40,10 @@ class Sliding:
     def step_ns(self) -> int:
         return int(round(self.step_s * SECOND))
 
+    @property
+    def interval_ns(self) -> int:
+        return int(self.interval_s * SECOND)
+
     @property
     def needed(self) -> int:
         expected = max(1, math.floor(self.window_s / self.interval_s))
@@ -55,62 +61,37 @@ def device_points(samples: DataFrame, keys: Sequence[str] = ("run_id", "gpu_uuid
     return rows.select(*keys, "sample_index", "timestamp_ns", *[scalars.number(m).alias(m) for m in DEVICE_METRICS])
 
 
-# Panes of one bucket; a bucket also holds copies of the panes its last windows reach into.
-PANES = 512
+# Windows of one bucket; the samples that its last windows share with the next bucket travel twice.
+BUCKET_WINDOWS = 512
 
 
-def panes_ahead(rows: DataFrame, keys: Sequence[str], slot: Column, reach: int, items: Sequence[Column], asks: Column | None = None) -> DataFrame:
-    """One row per (keys, slot) with rows in it: ``slot``, ``before`` (the slot before it in its bucket) and ``near``.
-
-    A pane is the rows of one slot, gathered once; ``near`` holds the arrays of ``items`` of the panes from ``slot`` to
-    ``slot + reach``. Where ``asks`` is not null, a row is no sample but a question and is gathered in ``asked`` of its slot.
-    Groups are cut into buckets of slots, and only the first panes of a bucket travel twice.
-    """
-    width = max(PANES, 4 * (reach + 1))
-    ask = asks if asks is not None else F.lit(None).cast("struct<x:int>")
-    rows = rows.select(*keys, slot.alias("slot"), ask.alias("_ask"), *items)
-    names = [c for c in rows.columns if c not in (*keys, "slot", "_ask")]
-    own = F.floor(F.col("slot") / width).cast("long")
-    ahead = F.col("_ask").isNull() & (F.pmod("slot", F.lit(width)) <= reach)
-    rows = rows.withColumn("_own", own).withColumn("_bucket", F.explode(F.when(ahead, F.array(own, own - 1)).otherwise(F.array(own))))
-    group = [*keys, "_bucket"]
-    sample = F.when(F.col("_ask").isNull(), F.struct(*names))
-    panes = rows.repartition(*group).groupBy(*group, "slot").agg(
-        F.first(F.col("_own") == F.col("_bucket")).alias("own"), F.collect_list(sample).alias("_items"), F.collect_list("_ask").alias("asked"))
-    place = Window.partitionBy(*group).orderBy("slot")
-    near = F.flatten(F.collect_list("_items").over(place.rangeBetween(0, reach)))
-    first = F.col("_bucket") * width
-    out = panes.select(*keys, "slot", "own", "asked", near.alias("near"), F.lag("slot").over(place).alias("before"), first.alias("first_slot"), (first + width - 1).alias("last_slot"))
-    return out if asks is not None else out.drop("asked")
-
-
-def sliding_arrays(samples: DataFrame, keys: Sequence[str], spec: Sliding, values: dict[str, Column]) -> DataFrame:
-    """Candidate windows ``k`` that hold samples, with ``n``, bounds and one array per entry of ``values``.
+def sliding_windows(samples: DataFrame, keys: Sequence[str], spec: Sliding, values: dict[str, Column] | None = None) -> DataFrame:
+    """Windows with enough samples, numbered from 0 per group, with ``k``, ``n``, bounds and six statistics per entry of ``values``.
 
     A group no longer than one window has the single candidate 0; otherwise
     window ``k`` covers ``[first + k*step, first + k*step + window]``, both ends inclusive, and the
-    last one must end by the last sample. All in integer nanoseconds. Samples are gathered in panes as wide
-    as step and window allow, and every pane answers for the windows that begin after the pane before it.
+    last one must end by the last sample. All in integer nanoseconds. A group is cut into buckets of windows; each is
+    swept once over its samples in time order, so no window is ever gathered as an array.
     """
-    rows = samples.where(F.col("timestamp_ns").isNotNull())
-    span = rows.groupBy(*keys).agg(F.min("timestamp_ns").alias("_first"), F.max("timestamp_ns").alias("_last"))
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
-    rows = rows.alias("x").join(span.alias("g"), same).select("x.*", "_first")
-    pane = math.gcd(spec.step_ns, spec.window_ns)
-    every, reach = spec.step_ns // pane, spec.window_ns // pane
-    panes = panes_ahead(rows, keys, _floor_div(F.col("timestamp_ns") - F.col("_first"), pane), reach,
-                        [F.col("timestamp_ns").alias("at"), *[v.alias(n) for n, v in values.items()]])
-    panes = panes.alias("x").join(span.alias("g"), same).select("x.*", "_first", "_last").withColumn("_short", F.col("_last") - F.col("_first") <= spec.window_ns)
-    # Windows of this bucket that begin after the pane before and reach this one.
-    low = _ceil_div(F.greatest(F.coalesce(F.col("before") + 1, F.col("first_slot")), F.col("slot") - reach, F.col("first_slot"), F.lit(0)), every)
-    high = F.least(_floor_div(F.least("slot", "last_slot"), every),
-                   F.when(F.col("_short"), F.lit(0)).otherwise(_floor_div(F.col("_last") - F.col("_first") - spec.window_ns, spec.step_ns)))
-    panes = panes.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
-    end = F.col("_first") + F.col("k") * spec.step_ns + spec.window_ns
-    windows = panes.withColumn("end", end).withColumn("near", F.filter("near", lambda s: s["at"] <= F.col("end"))).where(F.size("near") > 0)
-    times = F.col("near.at")
-    return windows.select(*keys, "k", F.size("near").cast("long").alias("n"), F.array_min(times).alias("start_ns"), F.array_max(times).alias("end_ns"), "_short", "_first", "_last",
-                          *[F.col(f"near.{n}") for n in values])
+    values = values or {}
+    rows = samples.where(F.col("timestamp_ns").isNotNull()).select(*keys, F.col("timestamp_ns").alias("at"), *[v.cast("double").alias(n) for n, v in values.items()])
+    span = rows.groupBy(*keys).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    rows = rows.alias("x").join(span.alias("g"), [F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]).select("x.*", "_first", "_last")
+    width = max(BUCKET_WINDOWS, 4 * (-(-spec.window_ns // spec.step_ns) + 1))
+    short = F.col("_last") - F.col("_first") <= spec.window_ns
+    last_k = F.when(short, F.lit(0)).otherwise(_floor_div(F.col("_last") - F.col("_first") - spec.window_ns, spec.step_ns))
+    offset = F.col("at") - F.col("_first")
+    rows = rows.withColumn("last_k", last_k)
+    rows = rows.withColumns({"low_k": F.greatest(_ceil_div(offset - spec.window_ns, spec.step_ns), F.lit(0)), "high_k": F.least(_floor_div(offset, spec.step_ns), "last_k")})
+    rows = rows.where("low_k <= high_k").withColumn("bucket", F.explode(F.sequence(_floor_div(F.col("low_k"), width), _floor_div(F.col("high_k"), width))))
+    windows = materialize(sweep.sliding(rows.drop("low_k", "high_k"), keys, list(values), spec, width), "windows")
+    counts = windows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").where("bucket > 0")
+    # windows of a first bucket, which are nearly all where groups are short, are numbered already
+    later = windows.where("bucket > 0").alias("x").join(carried.alias("g"), [F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*keys, "bucket"]])
+    later = later.select("x.*", "_before").withColumn("window_index", F.col("window_index") + F.col("_before")).drop("_before")
+    return windows.where("bucket = 0").unionByName(later).drop("bucket")
 
 
 def _floor_div(value: Column, by: int) -> Column:
@@ -123,35 +104,16 @@ def _ceil_div(value: Column, by: int) -> Column:
     return -_floor_div(-value, by)
 
 
-def kept_windows(grouped: DataFrame, keys: Sequence[str], spec: Sliding) -> DataFrame:
-    """Drop windows with too few samples and number the rest from 0 per group.
-
-    ``grouped`` holds one row per (keys, k) with ``n``, ``_short``, ``_first``
-    and ``_last``.
-    """
-    duration = F.col("_last") - F.col("_first")
-    short_ok = (F.col("n") >= 2) | ((duration < int(spec.interval_s * SECOND)) & (F.col("n") >= 1))
-    kept = grouped.where(F.when(F.col("_short"), short_ok).otherwise(F.col("n") >= spec.needed))
-    kept = ordered.ordinal(kept, keys, ["k"], [ordered.bucket_of("k", 4096)], "window_index")
-    return kept.drop("_short", "_first", "_last")
-
-
-def sliding_windows(samples: DataFrame, keys: Sequence[str], spec: Sliding, values: dict[str, Column] | None = None) -> DataFrame:
-    """Kept windows with index, bounds, sample count and the arrays of ``values``."""
-    return kept_windows(sliding_arrays(samples, keys, spec, values or {}), keys, spec)
-
-
 def device_windows(samples: DataFrame, spec: Sliding = Sliding(), keys: Sequence[str] = ("run_id", "gpu_uuid")) -> DataFrame:
-    rows = sliding_windows(samples, keys, spec, {m: F.col(m).cast("double") for m in DEVICE_METRICS})
-    return rows.select(*[c for c in rows.columns if c not in DEVICE_METRICS], *[a for m in DEVICE_METRICS for a in array_stats6(F.col(m), m)])
+    return sliding_windows(samples, keys, spec, {m: F.col(m) for m in DEVICE_METRICS})
 
 
 def process_windows(samples: DataFrame, spec: Sliding = Sliding(), keys: Sequence[str] = ("run_id", "gpu_uuid", "pid")) -> DataFrame:
-    rows = sliding_windows(samples.where(F.col("pid").isNotNull()), keys, spec, {m: F.col(m).cast("double") for m in PROCESS_METRICS})
-    util, memory, ram = (array_stats6(F.col(m), m) for m in PROCESS_METRICS)
-    rows = rows.select(*[c for c in rows.columns if c not in PROCESS_METRICS],
-                       util[0].alias("avg_process_gpu_utilization_pct"), util[1].alias("std_process_gpu_utilization_pct"),
-                       memory[0].alias("avg_process_gpu_memory_pct"), ram[0].alias("avg_host_ram_gb"))
+    rows = sliding_windows(samples.where(F.col("pid").isNotNull()), keys, spec, {m: F.col(m) for m in PROCESS_METRICS})
+    util, memory, ram = PROCESS_METRICS
+    rows = rows.select(*[c for c in rows.columns if not c.startswith(tuple(f"{m}_" for m in PROCESS_METRICS))],
+                       F.col(f"{util}_mean").alias("avg_process_gpu_utilization_pct"), F.col(f"{util}_std").alias("std_process_gpu_utilization_pct"),
+                       F.col(f"{memory}_mean").alias("avg_process_gpu_memory_pct"), F.col(f"{ram}_mean").alias("avg_host_ram_gb"))
     status = F.when(F.col("avg_process_gpu_utilization_pct").isNull(), "insufficient_process_util").otherwise("exact")
     return rows.withColumn("status", status).withColumnRenamed("n", "sample_count")
 
@@ -159,24 +121,20 @@ def process_windows(samples: DataFrame, spec: Sliding = Sliding(), keys: Sequenc
 def hybrid_windows(processes: DataFrame, devices: DataFrame, spec: Sliding = Sliding()) -> DataFrame:
     """Process windows with statistics of the device samples inside them.
 
-    Windows ask in the pane of the step they start in, beside the device samples, and read the panes ahead; so the
-    interval join needs no pairs of windows and samples, and a sample is shuffled once.
+    Windows ask in the stretch of time they start in, beside the device samples of it and of one window more; so the
+    interval join needs no pairs of windows and samples.
     """
-    keys = ["run_id", "gpu_uuid", "pid"]
-    windows = sliding_windows(processes.where(F.col("pid").isNotNull()), keys, spec, {m: F.col(m).cast("double") for m in PROCESS_METRICS})
-    own = [a for m in PROCESS_METRICS for a in array_stats6(F.col(m), m if m.startswith("process_") else f"process_{m}")]
-    windows = windows.select(*keys, "window_index", "start_ns", "end_ns", "n", *own)
-    asks = windows.select("run_id", "gpu_uuid", F.col("start_ns").alias("timestamp_ns"), F.struct(*[c for c in windows.columns if c not in ("run_id", "gpu_uuid")]).alias("_window"))
-    samples = devices.where(F.col("timestamp_ns").isNotNull()).select("run_id", "gpu_uuid", "timestamp_ns", *[F.col(m).cast("double").alias(m) for m in DEVICE_METRICS])
-    rows = samples.unionByName(asks, allowMissingColumns=True)
-    panes = panes_ahead(rows, ["run_id", "gpu_uuid"], _floor_div(F.col("timestamp_ns"), spec.step_ns), -(-spec.window_ns // spec.step_ns) + 1,
-                        [F.col("timestamp_ns").alias("at"), *[F.col(m) for m in DEVICE_METRICS]], F.col("_window"))
-    out = panes.where("own").select("run_id", "gpu_uuid", "near", F.explode("asked").alias("w")).select("run_id", "gpu_uuid", "w.*", "near")
-    out = out.withColumn("near", F.filter("near", lambda s: s["at"].between(F.col("start_ns"), F.col("end_ns"))))
-    out = out.withColumns({m: F.col(f"near.{m}") for m in DEVICE_METRICS})
-    return out.select(*keys, "window_index", F.col("start_ns").alias("window_start_ns"), F.col("end_ns").alias("window_end_ns"), F.col("n").alias("sample_count_process"),
-                      *[c for c in windows.columns if c not in (*keys, "window_index", "start_ns", "end_ns", "n")],
-                      F.size("near").cast("long").alias("sample_count_device"), *[a for m in DEVICE_METRICS for a in array_stats6(F.col(m), f"device_{m}")])
+    keys, device = ["run_id", "gpu_uuid", "pid"], ["run_id", "gpu_uuid"]
+    prefixed = {m if m.startswith("process_") else f"process_{m}": F.col(m) for m in PROCESS_METRICS}
+    windows = sliding_windows(processes.where(F.col("pid").isNotNull()), keys, spec, prefixed)
+    own = [f"{p}_{s}" for p in prefixed for s in STATS]
+    windows = windows.select(*keys, "window_index", F.col("start_ns").alias("window_start_ns"), F.col("end_ns").alias("window_end_ns"), F.col("n").alias("sample_count_process"), *own)
+    width = max(BUCKET_WINDOWS * spec.step_ns, 4 * spec.window_ns)
+    asks = windows.withColumn("bucket", _floor_div(F.col("window_start_ns"), width))
+    samples = devices.where(F.col("timestamp_ns").isNotNull()).select(
+        *device, F.col("timestamp_ns").alias("at"), *[F.col(m).cast("double").alias(f"device_{m}") for m in DEVICE_METRICS],
+        F.explode(F.sequence(_floor_div(F.col("timestamp_ns") - spec.window_ns, width), _floor_div(F.col("timestamp_ns"), width))).alias("bucket"))
+    return sweep.inside(asks, samples, device, [f"device_{m}" for m in DEVICE_METRICS], "sample_count_device")
 
 
 def enrich_with_metadata(features: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:

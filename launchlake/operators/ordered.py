@@ -52,19 +52,14 @@ def running_totals(
     rows, buckets = _with_buckets(df, bucket)
     names = [*keys, *buckets]
     rows = rows.withColumns({f"_part_{n}": c.cast("long") for n, c in totals.items()})
-    local = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*names).agg(*[F.sum(f"_part_{n}").alias(f"_sum_{n}") for n in totals])
-    carried = carried.select(
-        *names, *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in totals]
-    )
-    scanned = rows.withColumns({f"_local_{n}": F.sum(f"_part_{n}").over(local) for n in totals})
-    out = _attach(scanned, carried, names)
-    out = out.withColumns(
-        {n: F.coalesce(F.col(f"_before_{n}"), F.lit(0)) + F.coalesce(F.col(f"_local_{n}"), F.lit(0)) for n in totals}
-    )
-    helpers = [f"_{kind}_{n}" for n in totals for kind in ("part", "local", "before")]
-    return out.drop(*helpers, *buckets)
+    carried = carried.select(*names, *[F.sum(f"_sum_{n}").over(before).alias(f"_part_{n}") for n in totals], F.lit(False).alias("_is_row"))
+    # the sum carried into a bucket stands in it as a row before all others, so the rows are shuffled once and meet no join
+    both = rows.withColumn("_is_row", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    local = Window.partitionBy(*names).orderBy("_is_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({n: F.coalesce(F.sum(f"_part_{n}").over(local), F.lit(0).cast("long")) for n in totals}).where("_is_row")
+    return out.drop(*[f"_part_{n}" for n in totals], *buckets, "_is_row")
 
 
 def ordinal(
