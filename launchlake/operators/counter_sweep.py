@@ -79,6 +79,22 @@ def six(values: np.ndarray, has: np.ndarray, low: np.ndarray, high: np.ndarray)
     return [pa.array(row, pa.float64(), mask=sizes == 0) for row in found]
 
 
+def list_stats6(rows: DataFrame, values: str, prefix: str) -> DataFrame:
+    """``rows`` with the six statistics of a list of values in its place."""
+    kept, names = [c for c in rows.columns if c != values], [f"{prefix}_{s}" for s in STATS]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(values)
+            ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+            flat = lists.flatten()
+            stats = six(*numbers(pa.chunked_array([flat], flat.type)), ends[:-1], ends[1:])
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *stats], names=[*kept, *names])
+
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"`{c}` double" for c in names)]
+    return rows.mapInArrow(add, ", ".join(schema))
+
+
 def sliding(rows: DataFrame, keys: Sequence[str], values: Sequence[str], spec, width: int) -> DataFrame:
     """The windows of every bucket that hold enough samples; ``window_index`` counts them within their bucket.
 

@@ -100,10 +100,8 @@ SELECT run_id, gpu_uuid, start_ns, count(*) AS n, round(avg(v), 6) AS m_mean, ro
 FROM s GROUP BY run_id, gpu_uuid, start_ns""", "v4"))
 def _(spark, d):
     samples = views.device_samples(spark, d).select("run_id", "gpu_uuid", "timestamp_ns", "power_usage_watts")
-    path = runner.stage_in_order(samples, "timestamp_ns", [F.col("run_id")], "counter-input")
-    runner.close_feed(path, samples, "timestamp_ns", 600_000_000_000)
-    stream = runner.stream_table(spark, path, samples.schema, files_per_trigger=1)
-    return rounded(runner.run_append(stateless.stream_counter_windows(stream, "power_usage_watts"), "counter-windows"))
+    windows = lambda stream: stateless.stream_counter_windows(stream, "power_usage_watts")
+    return rounded(runner.run_by_steps(samples, "timestamp_ns", "counter-windows", windows, 600_000_000_000))
 
 
 @query("stream_events_source", sql("SELECT session_id, sequence, timestamp_ns, kernel_name, code_id, grid_key AS grid_dim FROM launch_rows", "v1", "launch_rows"))

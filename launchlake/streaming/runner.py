@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from threading import Condition
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
-from launchlake.session import scratch_dir
+from launchlake.session import materialize, scratch_dir
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
@@ -24,10 +24,10 @@ def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int
     return reader.parquet(path)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a parquet table and return it."""
+def run_append(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Process everything available into a parquet table and return it; with the ``out`` of a run before, go on where it ended."""
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
+    out = out or scratch_dir(spark, name)
     started = stream.writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start(out)
     started.awaitTermination()
@@ -107,6 +107,26 @@ def stage_in_order(rows: DataFrame, order: str, keys: Sequence[Column], name: st
     return out
 
 
+def run_by_steps(rows: DataFrame, order: str, name: str, build: Callable[[DataFrame], DataFrame], beyond: int, steps: int = 4) -> DataFrame:
+    """Run a stream over a table that is appended in ``steps`` of rising ``order``, and over an end mark ``beyond`` the last row.
+
+    The stream is started again after every append, from its checkpoint. So an append is one micro-batch however many
+    files it has, and no row comes behind a watermark that rows of its own append have set.
+    """
+    spark = rows.sparkSession
+    rows, feed, out = materialize(rows, f"{name}-rows"), scratch_dir(spark, f"{name}-feed"), scratch_dir(spark, name)
+    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    width = ((span.high or 0) - (span.low or 0)) // steps + 1
+    for step in range(steps + 1):
+        low = (span.low or 0) + step * width
+        if step < steps:
+            rows.where(F.col(order).between(low, low + width - 1)).write.mode("append").parquet(feed)
+        else:
+            close_feed(feed, rows, order, beyond)
+        found = run_append(build(stream_table(spark, feed, rows.schema)), name, out)
+    return found
+
+
 def close_feed(path: str, rows: DataFrame, order: str, beyond: int) -> None:
     """Append an end mark to a staged feed: rows of nobody, ``beyond`` after the last, that push the watermark over every window."""
     last = rows.agg((F.max(order) + beyond).alias(order))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from launchlake.functions.stats import stats6
+from launchlake.operators.counter_sweep import list_stats6
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
@@ -69,5 +69,6 @@ def stream_counter_windows(samples: DataFrame, metric: str, window: str = "60 se
     sample and include both ends.
     """
     rows = samples.withColumn("ts", F.timestamp_micros(F.expr("timestamp_ns div 1000"))).withWatermark("ts", delay)
-    out = rows.groupBy("run_id", "gpu_uuid", F.window("ts", window, step)).agg(F.count(F.lit(1)).alias("n"), *stats6(metric, "m"))
-    return out.select("run_id", "gpu_uuid", (F.unix_micros("window.start") * 1000).alias("start_ns"), "n", *[f"m_{s}" for s in ("mean", "std", "min", "max", "median", "p95")])
+    # the state of a window is its values: a tenth of what two percentiles keep, and statistics are taken once, when it leaves
+    out = rows.groupBy("run_id", "gpu_uuid", F.window("ts", window, step)).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.col(metric).cast("double")).alias("values"))
+    return list_stats6(out.select("run_id", "gpu_uuid", (F.unix_micros("window.start") * 1000).alias("start_ns"), "n", "values"), "values", "m")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from launchlake.plans import counter_queries, metric_queries, stream_queries, views
+from launchlake.plans.catalog import QUERIES
 from launchlake.streaming import runner
 
 stage = runner.stage_in_order
@@ -31,3 +32,13 @@ def test_every_micro_batch_has_whole_sessions(spark, monkeypatch):
     files = spark.read.parquet(staged[0]).select((F.col("user_id") % 30 % 10).alias("session"), F.input_file_name().alias("file")).distinct().groupBy("session").count().collect()
     assert rows.select("session_id").distinct().count() == len(files) == 10
     assert all(r["count"] <= steps for r in files)
+
+
+def test_an_append_of_many_files_is_one_micro_batch(spark, monkeypatch):
+    """Runs lie in files of their own, so the second file of an append is behind the watermark that the first would set."""
+    rows = spark.range(4000).select((F.col("id") % 4).alias("run_id"), F.lit("g").alias("gpu_uuid"), (F.col("id") * 1_000_000_000).alias("timestamp_ns"),
+                                    F.col("id").cast("double").alias("power_usage_watts"))
+    monkeypatch.setattr(views, "device_samples", lambda *_: rows.repartition(4, "run_id"))
+    monkeypatch.setattr(runner.stage_in_order, "__defaults__", (4, 250))  # rows of a file
+    got = QUERIES["stream_counter_windows"](spark, "").agg(F.sum("n").alias("n"), F.count_if(F.col("m_max") - F.col("m_min") > 60).alias("wide")).first()
+    assert (got.n, got.wide) == (4000 * 12, 0)
