@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 1024
-SLICE_CHARS = 2_000_000  # texts are worked on in slices of about so many characters
+SLICE_CHARS = 500_000  # texts are worked on in slices of about so many characters
 GRAMS_AT_ONCE = 8192
+BOUND_AT_ONCE = 1024  # trigrams bound at once; their letters' vectors stand beside the result
 UNDETERMINED = "und"
 
 
@@ -90,14 +91,18 @@ class Trigrams:
             self.codes = self.codes[:0]
         self.bounds = np.searchsorted(middle, np.concatenate(([0], ends)))
         self._rows = [np.roll(letter_vectors(self.alphabet, dimensions), turn, axis=1) for turn in (2, 1, 0)]
-        self._all = self._bind(np.arange(len(self.codes))) if len(self.codes) <= 2 * GRAMS_AT_ONCE else None
         self._dimensions = dimensions
+        self._all = self._bind(np.arange(len(self.codes))) if len(self.codes) <= 2 * GRAMS_AT_ONCE else None
 
     def _bind(self, numbers: np.ndarray) -> np.ndarray:
         size = len(self.alphabet)
         first, rest = np.divmod(self.codes[numbers], size * size)
         second, third = np.divmod(rest, size)
-        return (self._rows[0][first] * self._rows[1][second] * self._rows[2][third]).astype(np.float32)
+        bound = np.empty((len(numbers), self._dimensions), np.float32)
+        for at in range(0, len(numbers), BOUND_AT_ONCE):
+            part = slice(at, at + BOUND_AT_ONCE)
+            bound[part] = self._rows[0][first[part]] * self._rows[1][second[part]] * self._rows[2][third[part]]
+        return bound
 
     def bundle(self, numbers: np.ndarray) -> np.ndarray:
         """The sum of the vectors of these trigrams."""
