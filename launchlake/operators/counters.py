@@ -199,7 +199,9 @@ def parse_counter_csv(lines: DataFrame, fields: Sequence[str], text: str = "line
 def parse_process_monitor(lines: DataFrame, text: str = "line") -> DataFrame:
     """Whitespace process table; the rest of a line is the process name."""
     parts = F.split(F.trim(text), r"\s+")
-    rows = lines.where((F.trim(text) != "") & ~F.trim(text).startswith("#")).withColumn("_p", parts).where(F.size("_p") >= 10)
+    rows = lines.where((F.trim(text) != "") & ~F.trim(text).startswith("#"))
+    # a generator of one row: filters stay above it, so a line is split once and not for every filter and column again
+    rows = rows.withColumn("_p", F.explode_outer(F.array(parts))).where(F.size("_p") >= 10)
     # The numeric columns after index, pid and type.
     numeric = ["process_gpu_utilization_pct", "monitor_memory_utilization_pct", "encoder_utilization_pct",
                "decoder_utilization_pct", "jpg_utilization_pct", "ofa_utilization_pct"]

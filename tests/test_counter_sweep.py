@@ -57,3 +57,10 @@ def test_windows_are_not_gathered_and_totals_meet_no_join(spark):
     assert "collect_list" not in plan(N.device_windows(rows))
     numbered = ordered.ordinal(rows, ["run_id"], ["timestamp_ns"], [ordered.bucket_of("timestamp_ns", 7 * SECOND)], "at")
     assert "Join" not in plan(numbered) and [r["at"] for r in numbered.orderBy("timestamp_ns").collect()] == list(range(100))
+
+
+def test_a_line_of_the_process_monitor_is_split_once(spark):
+    lines = spark.range(3).select(F.concat(F.col("id").cast("string"), F.lit("  7 C 1 2 3 4 5 6 a  b")).alias("line"))
+    parsed = N.parse_process_monitor(lines)
+    assert plan(parsed).count("split(") == 1
+    assert [(r.gpu_index, r.pid, r.process_name) for r in parsed.orderBy("gpu_index").collect()] == [(i, 7, "a b") for i in range(3)]
