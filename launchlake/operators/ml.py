@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from launchlake.operators import counters as N
 from launchlake.operators import metrics as M
+from launchlake.session import materialize
 
 SEED = 1337
+# Training holds a count per row and tree; so many of them at once, the other trees follow in fits of their own.
+COUNTS_AT_ONCE = 500_000_000
+ROWS_PER_FILE = 250_000
 MAX_DEPTH = 30  # the deepest tree the engine can hold
 
 
@@ -27,13 +31,28 @@ def balanced_weights(rows: DataFrame, label: str = "label_id") -> DataFrame:
     return rows.withColumn("weight", pick)
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, depth: int = MAX_DEPTH, seed: int = SEED) -> PipelineModel:
-    """Class-balanced random forest over complete feature rows; trees grow until they are pure or as deep as the engine allows."""
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed,
-                               cacheNodeIds=True, maxMemoryInMB=1024)]
-    return Pipeline(stages=stages).fit(balanced_weights(train))
+def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, depth: int = MAX_DEPTH, seed: int = SEED,
+               counts_at_once: int = COUNTS_AT_ONCE) -> PipelineModel:
+    """Class-balanced random forest over complete feature rows; trees grow until they are pure or as deep as the engine allows.
+
+    Large tables grow their trees in several fits over all rows, one after the other, so what a fit keeps of a row stays small.
+    The trees of all fits are one forest: ``apply_model`` adds up their votes.
+    """
+    count = train.count()
+    # small files are read by few tasks: the rows are dealt out once, so that every core trains
+    parts = max(2 * train.sparkSession.sparkContext.defaultParallelism, count // ROWS_PER_FILE)
+    rows = materialize(balanced_weights(train).repartition(parts), "forest-rows")
+    each = min(trees, max(1, counts_at_once // max(1, count)))
+    sizes = [min(each, trees - at) for at in range(0, trees, each)]
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    forests = []
+    for i, size in enumerate(sizes):
+        end = f"_{i}" if len(sizes) > 1 else ""
+        # node ids are not cached: the engine would write one per row and tree again for every level of the trees
+        forests.append(RandomForestClassifier(
+            featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=size, maxDepth=depth, seed=seed + i, maxMemoryInMB=1024,
+            rawPredictionCol=f"rawPrediction{end}", probabilityCol=f"probability{end}", predictionCol=f"prediction{end}").fit(assembler.transform(rows)))
+    return PipelineModel(stages=[assembler, *forests])
 
 
 def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int = 1 << 20, rounds: int = 200, tolerance: float = 1e-6) -> PipelineModel:
@@ -48,8 +67,19 @@ def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int =
 
 def apply_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``probabilities``, ``prediction`` and ``mining_probability``."""
-    out = model.transform(rows).withColumn("probabilities", vector_to_array("probability"))
-    drop = [c for c in ("features", "rawPrediction", "probability", "tokens", "grams") if c in out.columns]
+    out = model.transform(rows)
+    parts = [s for s in model.stages if isinstance(s, RandomForestClassificationModel)]
+    if len(parts) > 1:
+        # a forest's votes are the sum over its trees
+        votes = F.array(*[vector_to_array(s.getRawPredictionCol()) for s in parts])
+        total = F.aggregate(F.slice(votes, 2, len(parts)), votes[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+        out = out.withColumn("votes", total).drop(*[c for s in parts for c in (s.getRawPredictionCol(), s.getProbabilityCol(), s.getPredictionCol())])
+        every = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)
+        out = out.withColumns({"probabilities": F.transform("votes", lambda v: v / every),
+                               "prediction": (F.array_position("votes", F.array_max("votes")) - 1).cast("double")})
+    else:
+        out = out.withColumn("probabilities", vector_to_array("probability"))
+    drop = [c for c in ("features", "rawPrediction", "probability", "tokens", "grams", "votes") if c in out.columns]
     return out.drop(*drop).withColumns({
         "mining_probability": F.col("probabilities")[1],
         "prediction": F.when(F.col("prediction") == 1, "mining").otherwise("benign")})
