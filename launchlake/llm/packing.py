@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, check))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.release()
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return ids.mapInArrow(scan, f"doc_id {dict(ids.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")

@@ -22,6 +22,7 @@ from launchlake.llm.common import LOWER
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 KNOWN_WORDS = 700_000  # words whose ids a worker holds in each of two generations
+KEPT_WORDS = 50_000  # larger tables are given back when a task ends: workers live on into steps that need the memory
 WORDS_TOGETHER = 50
 MARKS = b".,"
 HARMLESS = {"NFC", "NFKC", "Lowercase", "Replace", "Split", "ByteLevel"}
@@ -105,6 +106,11 @@ class Encoder:
                 found[i] = [learned[w] if ids is None else ids for w, ids in zip(words[i], found[i])]
         return [self._encode([texts[i]])[0] if i in special else b"".join(ids) for i, ids in enumerate(found)]
 
+    def release(self) -> None:
+        """Give back a large table of known words."""
+        if len(self._known) + len(self._older) > KEPT_WORDS:
+            self._known, self._older = {}, {}
+
 
 def encoder(path: str = DEFAULT_TOKENIZER) -> Encoder:
     """This worker's encoder of a tokenizer file."""
