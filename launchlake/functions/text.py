@@ -79,8 +79,14 @@ def token_count(text: Column | str) -> Column:
 
 def opcode(text: Column | str) -> Column:
     """Upper-case mnemonic of a raw instruction, guard and modifiers dropped."""
-    body = F.regexp_replace(strip(text), r"^@!?\w+\s+", "")
-    return F.upper(F.regexp_extract(body, r"^\s*([^\s.]*)", 1))
+    raw = _col(text)
+    # most lines have no guard and no white space but blanks, and are cut without a pattern
+    odd = raw.startswith("@") | raw.startswith(" ")
+    for white in "\t\n\x0b\f\r":
+        odd |= F.contains(raw, F.lit(white))
+    plain = F.substring_index(F.substring_index(raw, " ", 1), ".", 1)
+    # a guard is one only if something follows it
+    return F.upper(F.when(odd, F.regexp_extract(raw, r"^\s*(?:@!?\w+\s+(?=\S))?([^\s.]*)", 1)).otherwise(plain))
 
 
 def opcode_normalized(line: Column | str, compat: bool = True) -> Column:
@@ -103,10 +109,9 @@ def opcode_normalized(line: Column | str, compat: bool = True) -> Column:
 
 def branch_target(text: Column | str) -> Column:
     """Last ``L_...`` operand, null when there is none."""
-    parts = F.split(F.replace(_col(text), F.lit(","), F.lit(" ")), r"\s+")
-    bare = F.transform(parts, lambda t: F.regexp_replace(t, "^;+|;+$", ""))
-    last = F.try_element_at(F.filter(bare, lambda t: t.rlike("^L_[A-Za-z0-9_]+$")), F.lit(-1))
-    return F.when(F.contains(_col(text), F.lit("L_")), last)  # most lines have none and are not cut at all
+    # the greedy lead leaves the last operand; most lines have none and are not looked through at all
+    last = F.regexp_extract_all(_col(text), F.lit(r"(?s)^(?:.*[\s,])?;*(L_[A-Za-z0-9_]+);*(?:[\s,].*)?$"), F.lit(1))
+    return F.when(F.contains(_col(text), F.lit("L_")), F.try_element_at(last, F.lit(1)))
 
 
 def is_predicated(text: Column | str) -> Column:

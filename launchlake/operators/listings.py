@@ -8,10 +8,14 @@ happened while listings were still whole rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchlake.functions import text as T
+from launchlake.operators.control_scan import LOOP_COUNTS, REASONS, SMALL_KERNEL, Listings, containing, scan
 from launchlake.session import materialize
 
 
@@ -23,13 +27,6 @@ def _upto():
     return _kernel().orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
 
 
-# Sizes, in instructions, of the compute-region search.
-SMALL_KERNEL = 256
-MIN_REGION = 128
-TARGET_REGION = 512
-MAX_REGION = 768
-
-
 def instructions_from_lines(kernels: DataFrame, lines: str = "lines") -> DataFrame:
     """(kernel_id, idx, text, labels) from arrays of lines; ``name:`` is a label."""
     rows = kernels.select("kernel_id", F.posexplode(lines).alias("line_no", "line"))
@@ -62,7 +59,21 @@ def rewrite_branches(raw: DataFrame) -> DataFrame:
 
     Enough where nobody asks which instructions carry the labels.
     """
-    return raw.select("kernel_id", "idx", _branch_named(F.col("text")).alias("text"))
+    return _with_names(raw).select("kernel_id", "idx", F.col("named").alias("text"))
+
+
+def _with_names(raw: DataFrame) -> DataFrame:
+    """Add the branch address (``hit``, empty or null without one) and the text that names it, each worked out once."""
+    text, hit = F.col("text"), F.col("hit")
+    rows = raw.withColumn("hit", F.when(_may_branch(text), _branch_address(text)))
+    return rows.withColumn("named", F.when(hit != "", F.replace(text, hit, _address_name(hit))).otherwise(text))
+
+
+def branch_targets(raw: DataFrame) -> DataFrame:
+    """(kernel_id, idx, target) of the instructions that name a label once their address is rewritten."""
+    # a filter on an exploded value stays above it, so no text is made and searched again to be filtered
+    target = F.explode(F.array(T.branch_target("text"))).alias("target")
+    return rewrite_branches(raw).select("kernel_id", "idx", target).where(F.col("target").isNotNull())
 
 
 def _branch_named(text: Column) -> Column:
@@ -185,26 +196,55 @@ def control_flow_edges(control: DataFrame) -> DataFrame:
         "kernel_id", "src", F.col("x.dst").alias("dst"), F.col("x.type").alias("type"))
 
 
-LOOP_COUNTS = ("integer", "bitwise", "shift", "predicate", "memory")
+def listing_columns(raw: DataFrame, texts: bool = False) -> DataFrame:
+    """What the scan of listings reads of (kernel_id, idx, addr, text): mnemonic, address, branch address and branch label, row by row.
 
+    With ``texts``, branches with a label keep their rewritten text.
+    """
+    rows = _with_names(raw).withColumn("target", T.branch_target("named"))
+    kept = [F.when(F.col("target").isNotNull(), F.col("named")).alias("branch")] if texts else []
+    return rows.select("kernel_id", "idx", "addr", _reference(F.col("hit")).alias("ref"), T.opcode("named").alias("op"), "target", *kept)
+
+
+def _reference(hit: Column) -> Column:
+    return F.when(hit != "", F.lower(F.substring(hit, 3, 1 << 30)))
+
+
+def branch_report(listing: DataFrame, ordered: bool = False) -> DataFrame:
+    """Per kernel: labels after ``label_branch_targets``, the sum of their places, and the rewritten branches in order."""
+    return scan(listing, Listings.branches, "labels long, label_idx_sum long, branches array<string>", ordered)
+
+
+# A control table says where branches go; columns of a listing leave it to the scan.
+CONTROL_COLUMNS = ["kernel_id", "idx", "op", "labelled", "target_idx"]
+
+
+def _scanned(rows: DataFrame, found, schema: str, ordered: bool) -> DataFrame:
+    if "labelled" in rows.columns:
+        rows = rows.select(*CONTROL_COLUMNS)
+    return scan(rows, found, schema, ordered)
+
+
+LOOP_SCHEMA = "start int, end int, instruction_count long, " + ", ".join(f"{k} long" for k in LOOP_COUNTS)
 
-def natural_loops(control: DataFrame) -> DataFrame:
-    """Back edges as loops with body counts taken from prefix sums."""
-    counts = F.struct(*[F.col(f"s_{k}").alias(k) for k in LOOP_COUNTS])
-    before = F.struct(*[(F.col(f"s_{k}") - F.col(f"c_{k}")).alias(k) for k in LOOP_COUNTS])
-    rows = control.where(F.col("labelled") | (F.col("target_idx") < F.col("idx"))).select("kernel_id", "idx", "target_idx", "labelled", counts.alias("end"), before.alias("begin"))
-    # every branch is read again at the label it goes back to
-    spots = F.array_compact(F.array(
-        F.when(F.col("labelled"), F.struct(F.col("idx").alias("i"), F.lit(0).alias("role"))),
-        F.when(F.col("target_idx") < F.col("idx"), F.struct(F.col("target_idx").alias("i"), F.lit(1).alias("role")))))
-    rows = rows.withColumn("spot", F.explode(spots)).withColumns({"at": F.col("spot.i"), "role": F.col("spot.role")})
-    upto = _kernel().orderBy("at", "role").rowsBetween(Window.unboundedPreceding, 0)
-    back = rows.withColumn("goal", F.last(F.when(F.col("role") == 0, F.col("begin")), ignorenulls=True).over(upto)).where(F.col("role") == 1)
-    inside = {k: F.col(f"end.{k}") - F.col(f"goal.{k}") for k in LOOP_COUNTS}
-    return back.select(
-        "kernel_id", F.col("target_idx").alias("start"), F.col("idx").alias("end"),
-        (F.col("idx") - F.col("target_idx") + 1).cast("long").alias("instruction_count"),
-        *[inside[k].cast("long").alias(k) for k in LOOP_COUNTS])
+
+def natural_loops(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """Back edges as loops with body counts, of a control table or ``listing_columns`` (as all operators below)."""
+    return _scanned(control, Listings.loops, LOOP_SCHEMA, ordered)
+
+
+def nested_loops(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """``natural_loops`` with their ``depth``, in the same scan."""
+    def found(listings: Listings):
+        loops = listings.loops()
+        return loops | {"depth": containing(loops["of"], loops["start"], loops["end"])}
+
+    return _scanned(control, found, LOOP_SCHEMA + ", depth long", ordered)
+
+
+def main_loops(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """``select_main_loop`` of scored and nested loops, in one scan."""
+    return _scanned(control, Listings.main_loops, "num_loops long, start int, end int, instruction_count long, score double, depth long", ordered)
 
 
 def loop_nesting(loops: DataFrame) -> DataFrame:
@@ -244,75 +284,16 @@ def select_main_loop(scored: DataFrame) -> DataFrame:
         "kernel_id", "num_loops", "b.start", "b.end", "b.instruction_count", "b.score", "b.depth")
 
 
-def region_blocks(control: DataFrame) -> DataFrame:
-    """Blocks with prefix counts at their ends; blocks over 768 are cut in 512s."""
-    rows = with_blocks(control)
-    per_block = Window.partitionBy("kernel_id", "block_id")
-    rows = rows.withColumns({"first": F.min("idx").over(per_block), "size": F.count(F.lit(1)).over(per_block)})
-    part = F.when(F.col("size") > MAX_REGION, F.floor((F.col("idx") - F.col("first")) / TARGET_REGION)).otherwise(0)
-    sums = ["integer", "bitwise", "shift", "predicate", "memory", "control", "noise", "trivial", "useful"]
-    blocks = rows.groupBy("kernel_id", "block_id", part.alias("part")).agg(
-        F.min("idx").alias("start"), F.max("idx").alias("end"), F.max("n").alias("n"),
-        F.max("last_good").alias("last_good"),
-        F.sum("c_useful").alias("own_useful"), F.sum("c_noise").alias("own_noise"),
-        *[F.min(F.col(f"s_{k}") - F.col(f"c_{k}")).alias(f"b_{k}") for k in sums],
-        *[F.max(F.when(F.col("c_noise") == 0, F.col(f"s_{k}"))).alias(f"g_{k}") for k in sums])
-    trivial = (F.col("own_useful") == 0) & (F.col("own_noise") == F.col("end") - F.col("start") + 1)
-    # counts at the last non-noise instruction so far, carried over all-noise blocks
-    order = _kernel().orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    carried = {f"g_{k}": F.coalesce(F.max(f"g_{k}").over(order), F.lit(0)) for k in sums}
-    return blocks.withColumn("trivial", trivial).withColumns(carried).withColumn(
-        "run", F.sum(F.col("trivial").cast("int")).over(order))
-
-
-def compute_regions(control: DataFrame) -> DataFrame:
-    """Best run of blocks per kernel by weighted score, at most 768 instructions.
-
-    Each non-trivial block looks ahead through a RANGE frame of 768
-    instructions in its run, so no block pair becomes a row.
-    """
-    sums = ["integer", "bitwise", "shift", "predicate", "memory", "control", "noise", "trivial", "useful"]
-    rows = region_blocks(control).where(~F.col("trivial"))
-    ahead = Window.partitionBy("kernel_id", "run").orderBy("start").rangeBetween(0, MAX_REGION - 1)
-    stop = F.struct("start", "end", "last_good", *[f"g_{k}" for k in sums])
-    rows = rows.withColumn("ahead", F.collect_list(stop).over(ahead))
-
-    def judged(x: Column, i: Column) -> Column:
-        m = {k: x[f"g_{k}"] - F.col(f"b_{k}") for k in sums}
-        length = x["last_good"] - F.col("start") + 1
-        score = (length + 2.0 * m["integer"] + 2.0 * m["bitwise"] + 1.5 * m["shift"] + 1.5 * m["predicate"] + m["memory"]
-                 - 1.5 * m["noise"] - 2.0 * m["control"] - 4.0 * m["trivial"])
-        minimum, goal = F.least(F.lit(MIN_REGION), F.col("n")), F.least(F.lit(TARGET_REGION), F.col("n"))
-        ok = (length > 0) & (m["useful"] >= 2) & (m["useful"] / length >= 0.2)
-        ok &= (i == 0) | (x["end"] - F.col("start") + 1 <= F.least(F.lit(MAX_REGION), F.col("n")))
-        return F.when(ok, F.struct(
-            (length >= minimum).alias("meets_min"), score.cast("double").alias("score"),
-            (score / length).alias("density"), (-F.abs(length - goal)).alias("near"), length.alias("instruction_count"),
-            (-F.col("start")).alias("minus_start"), x["last_good"].alias("end"), (i + 1).alias("num_blocks")))
-
-    tried = F.filter(F.transform("ahead", judged), lambda x: x.isNotNull())
-    best = rows.select("kernel_id", "n", F.size(tried).alias("tried"), F.array_max(tried).alias("b"))
-    out = best.groupBy("kernel_id").agg(F.max("b").alias("b"), F.sum("tried").alias("candidates"), F.max("n").alias("n"))
-    return out.where(F.col("b").isNotNull()).select(
-        "kernel_id", "n", (-F.col("b.minus_start")).alias("start"), F.col("b.end").alias("end"), "b.score", "b.density",
-        "b.instruction_count", "b.num_blocks", "b.meets_min", "candidates")
-
-
-def main_ranges(control: DataFrame) -> DataFrame:
-    """(kernel_id, start, end, reason): main loop, small kernel, region, or all."""
-    sizes = control.groupBy("kernel_id").agg(F.count(F.lit(1)).alias("n"))
-    loops = select_main_loop(loop_score(loop_nesting(natural_loops(control))))
-    regions = compute_regions(control)
-    rows = sizes.join(loops.select("kernel_id", F.col("start").alias("ls"), F.col("end").alias("le")), "kernel_id", "left")
-    rows = rows.join(regions.select("kernel_id", F.col("start").alias("rs"), F.col("end").alias("re")), "kernel_id", "left")
-    small = F.col("n") <= SMALL_KERNEL
-    pick = lambda loop, region, whole: (
-        F.when(F.col("ls").isNotNull(), loop).when(small, whole).when(F.col("rs").isNotNull(), region).otherwise(whole))
-    return rows.select(
-        "kernel_id", "n", pick(F.col("ls"), F.col("rs"), F.lit(0)).cast("int").alias("start"),
-        pick(F.col("le"), F.col("re"), F.col("n") - 1).cast("int").alias("end"),
-        F.when(F.col("ls").isNotNull(), "loop").when(small, "full_kernel_small").when(
-            F.col("rs").isNotNull(), "compute_region").otherwise("full_kernel").alias("reason"))
+def compute_regions(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """Best run of blocks per kernel by weighted score, at most 768 instructions."""
+    return _scanned(control, Listings.regions, "n long, start int, end int, score double, density double, instruction_count int, num_blocks int, meets_min boolean, "
+                    "candidates long", ordered)
+
+
+def main_ranges(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """(kernel_id, n, start, end, reason): main loop, small kernel, region, or all."""
+    rows = _scanned(control, Listings.ranges, "n long, start int, end int, kind int", ordered)
+    return rows.select("kernel_id", "n", "start", "end", F.element_at(F.array(*map(F.lit, REASONS)), F.col("kind") + 1).alias("reason"))
 
 
 def opcode_mix(ins: DataFrame) -> DataFrame:
@@ -321,29 +302,55 @@ def opcode_mix(ins: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-# A dictionary is sent to every task only up to so many texts, counted after it is written.
-SENT_TEXTS = 200_000
+# A dictionary is sent to every task with so many texts at most, the most frequent ones.
+SENT_TEXTS = 1_000_000
 
 
-def instruction_dictionary(ins: DataFrame, rewrite: bool = False) -> DataFrame:
-    """(text, line, cost, op) of every distinct text that survives normalization, written once.
+def _line_rules(rewrite: bool) -> Callable[[Column], Column]:
+    def rules(text: Column) -> Column:
+        return T.let(T.normalize_instruction(_branch_named(text) if rewrite else text), lambda line: F.struct(
+            line.alias("line"), T.token_count(line).alias("cost"), T.opcode_normalized(line).alias("op")))
 
-    Listings repeat the same texts massively, so the rules run once per text and not once per instruction.
-    With ``rewrite``, branch addresses are first replaced by label names.
-    """
-    texts = ins.select("text").distinct()
-    source = _branch_named(F.col("text")) if rewrite else F.col("text")
-    # exploding the compacted one-element array drops nulls without evaluating the rules twice
-    line = F.explode(F.array_compact(F.array(T.normalize_instruction(source))))
-    rows = texts.repartition("text").select("text", line.alias("line"))
-    return materialize(rows.select("*", T.token_count("line").alias("cost"), T.opcode_normalized("line").alias("op")), "instruction-dictionary")
+    return rules
+
+
+def _scan_rules(text: Column) -> Column:
+    """All that scans read of a text: what ``listing_columns`` has, token cost (null where the line is dropped), class bits of the mnemonic."""
+    def bits(op: Column) -> Column:
+        tests = [op != "", T.is_bitwise_integer(op), T.is_memory(op), op.isin(T.FEATURE_BRANCH_OPS)]
+        return sum((F.coalesce(b, F.lit(False)).cast("int") * (1 << i) for i, b in enumerate(tests)), F.lit(0))
+
+    parts = F.struct(F.when(_may_branch(text), _branch_address(text)).alias("hit"), _branch_named(text).alias("named"), _line_rules(True)(text).alias("kept"))
+    return T.let(parts, lambda p: F.struct(
+        _reference(p["hit"]).alias("ref"), T.opcode(p["named"]).alias("op"), T.branch_target(p["named"]).alias("target"),
+        F.when(p["kept"]["line"].isNotNull(), p["kept"]["cost"]).alias("cost"), bits(p["kept"]["op"]).alias("bits")))
 
 
-def normalized_lines(ins: DataFrame, rewrite: bool = False) -> DataFrame:
-    """Instructions that survive normalization, with text, token cost and mnemonic, looked up in their dictionary."""
-    words = instruction_dictionary(ins, rewrite)
-    few = words.limit(SENT_TEXTS + 1).count() <= SENT_TEXTS
-    return ins.select("kernel_id", "idx", "text").join(F.broadcast(words) if few else words, "text").select("kernel_id", "idx", "line", "cost", "op")
+def looked_up(ins: DataFrame, rules: Callable[[Column], Column], most: int = SENT_TEXTS) -> DataFrame:
+    """Replace ``text`` by the fields of ``rules``; rows stay in their places and order.
+
+    Listings repeat the same texts massively, so the rules run once per text and not once per instruction. The ``most``
+    frequent texts are looked up in a dictionary that is written once and broadcast; at the others the rules run in place, so no
+    instruction is shuffled by its text, of which one may be a large part of all.
+    """
+    counted = materialize(ins.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "instruction-texts")
+    every = counted.count() <= most
+    texts = counted if every else counted.orderBy(F.desc("n"), "text").limit(most)
+    # exploding a one-element array keeps the rules from running twice
+    words = texts.repartition("text").select(F.col("text").alias("_text"), F.explode(F.array(rules(F.col("text")))).alias("_found"))
+    words = materialize(words, "instruction-dictionary")
+    rest = [c for c in ins.columns if c != "text"]
+    rows = ins.join(F.broadcast(words), F.col("text").eqNullSafe(F.col("_text")), "left")
+    found = F.col("_found") if every else F.when(F.col("_found").isNull(), rules(F.col("text"))).otherwise(F.col("_found"))
+    if not every:
+        return rows.select(*rest, F.explode(F.array(found)).alias("_found")).select(*rest, "_found.*")
+    return rows.select(*rest, "_found.*")
+
+
+def normalized_lines(ins: DataFrame, rewrite: bool = False, most: int = SENT_TEXTS) -> DataFrame:
+    """Instructions that survive normalization, with text, token cost and mnemonic."""
+    lines = looked_up(ins.select("kernel_id", "idx", "text"), _line_rules(rewrite), most)
+    return lines.where(F.col("line").isNotNull())
 
 
 def _mnemonic(lines: DataFrame, compat: bool = True) -> Column:
@@ -367,20 +374,15 @@ def main_loop_lines(lines: DataFrame, ranges: DataFrame, budget: int = T.BODY_BU
     return truncate_prefix(body.drop("start", "end"), budget)
 
 
-def static_features(lines: DataFrame, ranges: DataFrame, budget: int = T.BODY_BUDGET) -> DataFrame:
-    """Ten instruction features per kernel, whole kernel against main loop."""
-    op = _mnemonic(lines)
-    upto = Window.partitionBy("kernel_id", "inside").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.join(ranges.select("kernel_id", "start", "end"), "kernel_id", "left").select(
-        "kernel_id", "idx", "cost", op.alias("op"),
-        F.coalesce(F.col("idx").between(F.col("start"), F.col("end")), F.lit(False)).alias("inside"))
-    rows = rows.withColumn("loop", F.col("inside") & (F.sum("cost").over(upto) <= budget))
-    named = F.col("op") != ""
-    bit, mem, bra = T.is_bitwise_integer(F.col("op")), T.is_memory(F.col("op")), F.col("op").isin(T.FEATURE_BRANCH_OPS)
-    agg = rows.groupBy("kernel_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("loop").alias("ln"), F.count_if(named).alias("ops"),
-        F.count_if(bit).alias("bit"), F.count_if(mem).alias("mem"), F.count_if(bra).alias("bra"),
-        F.count_if(bit & F.col("loop")).alias("lbit"), F.count_if(mem & F.col("loop")).alias("lmem"))
+def scanned_lines(raw: DataFrame, most: int = SENT_TEXTS) -> DataFrame:
+    """``listing_columns`` with token cost and class bits of what normalization leaves of each rewritten line."""
+    return looked_up(raw, _scan_rules, most)
+
+
+def static_features(lines: DataFrame, budget: int = T.BODY_BUDGET, ordered: bool = False) -> DataFrame:
+    """Ten instruction features per kernel, whole kernel against main loop, of ``scanned_lines``."""
+    names = ["n", "ln", "ops", "bit", "mem", "bra", "lbit", "lmem"]
+    agg = scan(lines, partial(Listings.line_counts, budget=budget), ", ".join(f"{n} long" for n in names), ordered)
     c, empty = F.col, F.col("ln") == 0
     total = F.greatest(F.lit(1), c("ops"))
     lbit, lmem = F.when(empty, c("bit")).otherwise(c("lbit")), F.when(empty, c("mem")).otherwise(c("lmem"))
@@ -448,10 +450,10 @@ def render_fragments(lines: DataFrame, ranges: DataFrame, budget: int = T.CONTEN
     return rows.select("kernel_id", "idx", "line", "cost", "mode")
 
 
-def fragment_summary(fragments: DataFrame) -> DataFrame:
-    """Per kernel: mode, rendered lines, token cost with boundary, op ratio."""
-    op = T.opcode_normalized("line")
-    return fragments.withColumn("op", op).groupBy("kernel_id").agg(
-        F.max("mode").alias("render_mode"), F.count(F.lit(1)).alias("rendered_instruction_count"),
-        (F.sum("cost") + 1).alias("token_cost"),
-        F.coalesce(F.avg(F.when(F.col("op") != "", T.is_bitwise_integer(F.col("op")).cast("int"))), F.lit(0.0)).alias("ratio"))
+def fragment_summary(lines: DataFrame, budget: int = T.CONTENT_BUDGET, short: int = SMALL_KERNEL, ordered: bool = False) -> DataFrame:
+    """Per kernel: mode, rendered lines, token cost with boundary, op ratio of what ``render_fragments`` gives, from ``scanned_lines``."""
+    found = partial(Listings.fragments, body=budget - 1, limit=min(budget - 1, T.BODY_BUDGET), short=short)
+    rows = scan(lines, found, "whole boolean, lines long, cost long, ops long, bit long", ordered)
+    return rows.select(
+        "kernel_id", F.when(F.col("whole"), "full_kernel").otherwise("main_loop").alias("render_mode"), F.col("lines").alias("rendered_instruction_count"),
+        (F.col("cost") + 1).alias("token_cost"), F.when(F.col("ops") > 0, F.col("bit") / F.col("ops")).otherwise(0.0).alias("ratio"))
