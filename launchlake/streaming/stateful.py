@@ -103,30 +103,36 @@ class TokenWindows(Expiring):
         items, evicted, unready = (json.loads(held[0]), held[1], held[2]) if held else ([], 0, 0)
         queue = deque(tuple(x) for x in items)
         counts = Counter(k for k, _, _ in queue)
+        latest = {k: r for k, _, r in queue}
         cost = sum(c for _, c, _ in queue)
-        out = []
+        # the state is asked once per composition and batch, not at every launch
+        out, met = [], set()
         for seq, ready, kernel, token_cost, ratio in batch[["sequence", "ready", "kernel_id", "token_cost", "ratio"]].itertuples(index=False):
             if not ready:
                 unready += 1
                 continue
             queue.append((kernel, int(token_cost), float(ratio)))
             counts[kernel] += 1
+            latest[kernel] = float(ratio)
             cost += int(token_cost)
             if cost <= self.config.budget:
                 continue
-            latest = {k: r for k, _, r in queue}
             best = max(latest.values())
             if not self.config.use_gate or best >= self.config.threshold:
                 kernels = sorted(latest)
                 top = sorted(kernels, key=lambda k: (-counts[k], k))[:3]
-                signature = json.dumps([kernels, top])
-                if not self.seen.containsKey((signature,)):
+                composition = (*kernels, None, *top)
+                signature = None if composition in met else json.dumps([kernels, top])
+                met.add(composition)
+                if signature and not self.seen.containsKey((signature,)):
                     self.seen.updateValue((signature,), (1,))
                     out.append((*key, evicted, evicted + len(queue) - 1, int(seq), cost, len(queue), ",".join(kernels), ",".join(top), best, unready))
             while queue and cost > self.config.budget:
                 kernel, c, _ = queue.popleft()
                 cost -= c
                 counts[kernel] -= 1
+                if not counts[kernel]:
+                    del counts[kernel], latest[kernel]
                 evicted += 1
         self.queue.update((json.dumps(list(queue)), evicted, unready))
         self.touch(False, batch, timerValues)
