@@ -56,13 +56,16 @@ def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 200, dept
 
 
 def fit_ngrams(train: DataFrame, text: str = "text", n: int = 2, buckets: int = 1 << 20, rounds: int = 200, tolerance: float = 1e-6) -> PipelineModel:
-    """Class-weighted linear model on hashed token n-grams."""
+    """Class-weighted linear model on hashed token n-grams.
+
+    A round shuffles one sum of ``buckets`` numbers per partition, so there are no more partitions than cores, however large the table.
+    """
     stages = [
         SQLTransformer(statement=f"SELECT *, filter(split(replace({text}, ',', ' , '), '\\\\s+'), t -> t <> '') AS tokens FROM __THIS__"),
         NGram(n=n, inputCol="tokens", outputCol="grams"),
         HashingTF(inputCol="grams", outputCol="features", numFeatures=buckets),
         LogisticRegression(featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=rounds, tol=tolerance)]
-    return Pipeline(stages=stages).fit(balanced_weights(train))
+    return Pipeline(stages=stages).fit(balanced_weights(train).coalesce(train.sparkSession.sparkContext.defaultParallelism))
 
 
 def apply_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
