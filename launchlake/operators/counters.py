@@ -213,15 +213,24 @@ def parse_process_monitor(lines: DataFrame, text: str = "line") -> DataFrame:
     return rows.where(F.col("gpu_index").isNotNull() & F.col("pid").isNotNull()).drop("_p")
 
 
-def run_alarm_rows(points: DataFrame, key: str = "run_id") -> DataFrame:
-    """Per run: majority label, positive share, probabilities, first positive place."""
+def in_run_order(points: DataFrame, key: str = "run_id") -> DataFrame:
+    """Add ``_at``, the place of a point in its run."""
+    return ordered.ordinal(points, [key], ["timestamp_ns"], _time_bucket(), "_at")
+
+
+def run_alarms(placed: DataFrame, key: str = "run_id") -> DataFrame:
+    """``run_alarm_rows`` of points that have their place; they are read once."""
     positive = F.col("prediction") == "mining"
-    rows = ordered.ordinal(points, [key], ["timestamp_ns"], _time_bucket(), "_at")
-    per_label = rows.groupBy(key, "binary_label").agg(F.count(F.lit(1)).alias("c"), F.min("_at").alias("f"))
-    majority = per_label.groupBy(key).agg(F.max(F.struct("c", (-F.col("f")).alias("f"), "binary_label"))["binary_label"].alias("binary_label"))
     p = F.coalesce(F.col("mining_probability"), F.lit(0.0))
-    runs = rows.groupBy(key).agg(
-        F.count_if(positive).alias("positive_count"), F.count(F.lit(1)).alias("sample_count"),
-        F.avg(positive.cast("int")).alias("positive_ratio"), F.avg(p).alias("mean_mining_probability"),
-        F.max(p).alias("max_mining_probability"), F.min(F.when(positive, F.col("_at"))).alias("first_positive_index"))
-    return runs.join(majority, key)
+    per_label = placed.groupBy(key, "binary_label").agg(
+        F.count(F.lit(1)).alias("c"), F.min("_at").alias("f"), F.count_if(positive).alias("positive"), F.sum(p).alias("total"), F.max(p).alias("most"),
+        F.min(F.when(positive, F.col("_at"))).alias("first"), F.count(positive).alias("judged"))
+    return per_label.groupBy(key).agg(
+        F.sum("positive").alias("positive_count"), F.sum("c").alias("sample_count"), (F.sum("positive") / F.sum("judged")).alias("positive_ratio"),
+        (F.sum("total") / F.sum("c")).alias("mean_mining_probability"), F.max("most").alias("max_mining_probability"), F.min("first").alias("first_positive_index"),
+        F.max(F.struct("c", (-F.col("f")).alias("f"), "binary_label"))["binary_label"].alias("binary_label"))
+
+
+def run_alarm_rows(points: DataFrame, key: str = "run_id") -> DataFrame:
+    """Per run: majority label, positive share, probabilities, first positive place."""
+    return run_alarms(in_run_order(points, key), key)
