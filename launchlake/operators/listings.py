@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchlake.functions import text as T
-from launchlake.operators.control_scan import LOOP_COUNTS, REASONS, SMALL_KERNEL, Listings, containing, scan
+from launchlake.operators.control_scan import EDGES, LOOP_COUNTS, REASONS, SMALL_KERNEL, Listings, containing, scan
 from launchlake.session import materialize
 
 
@@ -155,54 +155,14 @@ def with_control(ins: DataFrame) -> DataFrame:
         F.max(F.when(F.col("c_noise") == 0, F.col("idx"))).over(_upto()).alias("last_good"))
 
 
-def _leader() -> Column:
-    """Leaders of blocks are entry, live labels, and what follows control flow."""
-    return (F.col("idx") == 0) | F.col("labelled") | F.col("after_control")
-
-
-def with_blocks(control: DataFrame) -> DataFrame:
-    """Add ``block_id``, counted by leaders."""
-    return control.withColumn("block_id", (F.sum(_leader().cast("int")).over(_upto()) - 1).cast("int"))
-
-
-def basic_blocks(control: DataFrame) -> DataFrame:
-    rows = with_blocks(control)
-    return rows.groupBy("kernel_id", "block_id").agg(
-        F.min("idx").alias("start_line"), F.max("idx").alias("end_line"), F.count(F.lit(1)).alias("instructions"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("labels") > 0, F.struct("idx", "labels")))), lambda x: x["labels"])).alias("labels"))
-
-
-def control_flow_edges(control: DataFrame) -> DataFrame:
-    """Typed edges (src, dst, type) between blocks, each once."""
-    rows = with_blocks(control).withColumn("leads", _leader())
-    # a branch goes to a leader, so only the first and the last instruction of a block are looked at
-    rows = rows.withColumn("closes", F.lead("leads", 1, True).over(_kernel().orderBy("idx"))).where("leads or closes")
-    spots = F.array_compact(F.array(
-        F.when(F.col("leads"), F.struct(F.col("idx").alias("i"), F.lit(0).alias("role"))),
-        F.when(F.col("closes"), F.struct(F.coalesce("target_idx", "idx").alias("i"), F.lit(1).alias("role")))))
-    rows = rows.select("kernel_id", "idx", "target_idx", "block_id", "op", "predicated", "n", F.explode(spots).alias("spot"))
-    rows = rows.select("*", F.col("spot.i").alias("at"), F.col("spot.role").alias("role"))
-    upto = _kernel().orderBy("at", "role").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("at_block", F.last(F.when(F.col("role") == 0, F.col("block_id")), ignorenulls=True).over(upto)).where(F.col("role") == 1)
-    last = rows.select("kernel_id", "block_id", F.struct("idx", "op", "predicated", "n").alias("e"), F.when(F.col("target_idx").isNotNull(), F.col("at_block")).alias("dst"))
-    op, dst, src = F.col("e.op"), F.col("dst"), F.col("block_id")
-    has_next = F.col("e.idx") < F.col("e.n") - 1
-    branch, call, end = op.isin(T.BRANCH_OPS), op.isin(T.CALL_OPS), op.isin(T.TERMINAL_OPS)
-    falls = has_next & ~end & (~branch | F.col("e.predicated"))
-    out = F.array_compact(F.array(
-        F.when((branch | call) & dst.isNotNull(), F.struct(dst.alias("dst"), F.when(branch, "branch").otherwise("call").alias("type"))),
-        F.when(falls, F.struct((src + 1).alias("dst"), F.lit("fallthrough").alias("type")))))
-    return last.select("kernel_id", src.alias("src"), F.explode(F.array_distinct(out)).alias("x")).select(
-        "kernel_id", "src", F.col("x.dst").alias("dst"), F.col("x.type").alias("type"))
-
-
-def listing_columns(raw: DataFrame, texts: bool = False) -> DataFrame:
+def listing_columns(raw: DataFrame, texts: bool = False, guards: bool = False) -> DataFrame:
     """What the scan of listings reads of (kernel_id, idx, addr, text): mnemonic, address, branch address and branch label, row by row.
 
-    With ``texts``, branches with a label keep their rewritten text.
+    With ``texts``, branches with a label keep their rewritten text; with ``guards``, which edges ask for, predicated instructions are marked.
     """
     rows = _with_names(raw).withColumn("target", T.branch_target("named"))
     kept = [F.when(F.col("target").isNotNull(), F.col("named")).alias("branch")] if texts else []
+    kept += [T.is_predicated("named").alias("predicated")] if guards else []
     return rows.select("kernel_id", "idx", "addr", _reference(F.col("hit")).alias("ref"), T.opcode("named").alias("op"), "target", *kept)
 
 
@@ -219,17 +179,43 @@ def branch_report(listing: DataFrame, ordered: bool = False) -> DataFrame:
 CONTROL_COLUMNS = ["kernel_id", "idx", "op", "labelled", "target_idx"]
 
 
-def _scanned(rows: DataFrame, found, schema: str, ordered: bool) -> DataFrame:
+def _scanned(rows: DataFrame, found, schema: str, ordered: bool, *more: str) -> DataFrame:
     if "labelled" in rows.columns:
-        rows = rows.select(*CONTROL_COLUMNS)
+        rows = rows.select(*CONTROL_COLUMNS, *more)
     return scan(rows, found, schema, ordered)
 
 
+def branch_goals(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """(kernel_id, idx, target_idx) of the branches whose label is defined, of a control table or ``listing_columns`` (as all operators below)."""
+    return _scanned(control, Listings.targets, "idx int, target_idx int", ordered)
+
+
+def basic_blocks(listing: DataFrame, ordered: bool = False) -> DataFrame:
+    """Blocks of ``listing_columns`` with bounds, size and labels."""
+    return scan(listing, Listings.blocks, "block_id int, start_line int, end_line int, instructions long, labels array<string>", ordered)
+
+
+def _edge_type(kind: str = "kind") -> Column:
+    return F.element_at(F.array(*map(F.lit, EDGES)), F.col(kind) + 1).alias("type")
+
+
+def control_flow_edges(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """Typed edges (src, dst, type) between blocks, each once; a listing has its ``guards``."""
+    rows = _scanned(control, Listings.edges, "src int, dst int, kind int", ordered, "predicated")
+    return rows.select("kernel_id", "src", "dst", _edge_type())
+
+
+def edge_report(control: DataFrame, ordered: bool = False) -> DataFrame:
+    """Per kernel and type: the number of ``control_flow_edges`` and of different blocks they lead to, counted where they are found."""
+    rows = _scanned(control, Listings.edge_counts, "kind int, edges long, targets long", ordered, "predicated")
+    return rows.select("kernel_id", _edge_type(), "edges", "targets")
+
+
 LOOP_SCHEMA = "start int, end int, instruction_count long, " + ", ".join(f"{k} long" for k in LOOP_COUNTS)
 
 
 def natural_loops(control: DataFrame, ordered: bool = False) -> DataFrame:
-    """Back edges as loops with body counts, of a control table or ``listing_columns`` (as all operators below)."""
+    """Back edges as loops with body counts."""
     return _scanned(control, Listings.loops, LOOP_SCHEMA, ordered)
 
 

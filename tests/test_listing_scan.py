@@ -139,3 +139,35 @@ def test_opcode_with_odd_blanks_and_guards(spark):
     from launchlake.functions import text as T
     got = spark.createDataFrame(cases, "text string, want string").select(T.opcode("text").alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_blocks_and_edges_are_found_in_the_scan(spark, tmp_path):
+    listings = sample()[:30] + [[(90, 0, "0000", "@P0 EXIT"), (90, 1, "0010", "CALL 0x0"), (90, 2, "0020", "@!P1 BRA 0x0000"), (90, 3, "0030", "NOP")]]
+    raw = spark.createDataFrame([r for x in listings for r in x], "kernel_id long, idx int, addr string, text string").coalesce(1)
+    table = K.listing_columns(raw, guards=True)
+    want_edges, want_blocks = set(), []
+    for x in listings:
+        n, ops = len(x), [t.split(" ")[1 if t[0] == "@" else 0] for *_, t in x]
+        goal = [int(t.split("0x")[1], 16) // 16 if o == "BRA" else None for o, (*_, t) in zip(ops, x)]
+        goal = [g if g is not None and g < n else None for g in goal]
+        leads = [i for i in range(n) if i == 0 or i in goal or ops[i - 1] in ("BRA", "EXIT", "CALL")]
+        block = [sum(a <= i for a in leads) - 1 for i in range(n)]
+        for b, (first, last) in enumerate(zip(leads, [*(a - 1 for a in leads[1:]), n - 1])):
+            want_blocks.append((x[0][0], b, first, last, last - first + 1, [f"L_{i * 16:x}" for i in range(first, last + 1) if i in goal]))
+            if goal[last] is not None:
+                want_edges.add((x[0][0], b, block[goal[last]], "branch"))
+            if last < n - 1 and ops[last] != "EXIT" and (ops[last] != "BRA" or x[last][3][0] == "@"):
+                want_edges.add((x[0][0], b, b + 1, "fallthrough"))
+    control = K.with_control(K.label_branch_targets(raw))
+    for rows, ordered in ((table, True), (table.repartition(5), False), (control, False)):
+        edges = [tuple(r) for r in K.control_flow_edges(rows, ordered).collect()]
+        assert len(edges) == len(want_edges) and set(edges) == want_edges
+        groups = {(k, t) for k, _, _, t in want_edges}
+        want = {(k, t, sum(e[0] == k and e[3] == t for e in want_edges), len({e[2] for e in want_edges if e[0] == k and e[3] == t})) for k, t in groups}
+        assert {tuple(r) for r in K.edge_report(rows, ordered).collect()} == want
+    assert sorted(map(tuple, K.basic_blocks(table, True).collect())) == sorted(want_blocks)
+    spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    from launchlake.plans.catalog import QUERIES
+    for name in ("control_flow_edges", "distinct_edges", "basic_blocks", "branch_target_join"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [" not in plan and "Window" not in plan and "Aggregate" not in plan, name
