@@ -283,9 +283,9 @@ def main_ranges(control: DataFrame, ordered: bool = False) -> DataFrame:
 
 
 def opcode_mix(ins: DataFrame) -> DataFrame:
-    op = T.opcode("text")
-    return ins.select("kernel_id", op.alias("op")).where(F.col("op") != "").groupBy("kernel_id", "op").agg(
-        F.count(F.lit(1)).alias("n"))
+    # counted, not filtered: a filter is pushed below the text and builds it anew for every use of it
+    rows = ins.select("kernel_id", T.opcode("text").alias("op"))
+    return rows.groupBy("kernel_id", "op").agg(F.count_if(F.col("op") != "").alias("n")).where("n > 0")
 
 
 # A dictionary is sent to every task with so many texts at most, the most frequent ones.

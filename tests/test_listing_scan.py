@@ -171,3 +171,13 @@ def test_blocks_and_edges_are_found_in_the_scan(spark, tmp_path):
     for name in ("control_flow_edges", "distinct_edges", "basic_blocks", "branch_target_join"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "Sort [" not in plan and "Window" not in plan and "Aggregate" not in plan, name
+
+
+def test_opcode_mix_reads_each_text_once(spark, tmp_path):
+    ins = spark.createDataFrame([(1, 0, "@P0 BRA 0x10"), (1, 1, "BRA 0x0"), (1, 2, ""), (1, 3, None), (2, 0, ".x")], "kernel_id long, idx int, text string")
+    assert [tuple(r) for r in K.opcode_mix(ins).collect()] == [(1, "BRA", 2)]
+    from launchlake.plans.catalog import QUERIES
+    spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["opcode_mix"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("upper" in line or "concat" in line for line in filters)
