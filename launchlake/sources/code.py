@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from launchlake.functions.text import let
+
 
 def read_code_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files of a code folder as (path, content) rows."""
@@ -65,41 +67,66 @@ def disassembly_report(objects: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _clean(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), "^ | $", "")
-
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
-def read_listings(files: DataFrame, key: str = "code_id") -> DataFrame:
-    """(key, function, ord, idx, addr, text) from whole listing texts.
 
-    Two dialects: ``Function :`` markers whose names may span lines, and
-    ``.type name,@function`` lines. A later function of the same name replaces
-    the earlier body; functions without instructions vanish in the first
-    dialect only (the second keeps them as one row without text).
-    """
-    marked = F.col("text").contains("Function :")
+def _functions(text: Column, marked: Column) -> Column:
+    """(function, body) of a listing text in order."""
     first = F.transform(
-        F.slice(F.split("text", r"\bFunction\s*:\s*"), 2, 1 << 30),
+        F.slice(F.split(text, r"\bFunction\s*:\s*"), 2, 1 << 30),
         lambda s: F.when(
             s.rlike(r"\n[ \t]*\.headerflags\b"),
             F.struct(F.regexp_replace(s, r"(?s)\n[ \t]*\.headerflags\b.*$", "").alias("function"),
                      F.regexp_replace(s, r"(?s)^.*?\n[ \t]*\.headerflags\b", "").alias("body")),
         ).otherwise(F.struct(F.trim(F.regexp_extract(s, r"^([^\n]*)", 1)).alias("function"),
                              F.regexp_replace(s, r"^[^\n]*\n?", "").alias("body"))))
-    names = F.regexp_extract_all("text", F.lit(r"\.type[ \t]+([^,\s]+)[ \t]*,[ \t]*@function"), F.lit(1))
-    bodies = F.slice(F.split("text", r"[^\n]*\.type[ \t]+[^,\s]+[ \t]*,[ \t]*@function[^\n]*"), 2, 1 << 30)
+    names = F.regexp_extract_all(text, F.lit(r"\.type[ \t]+([^,\s]+)[ \t]*,[ \t]*@function"), F.lit(1))
+    # looked for at the start of a line only: anywhere else the rest of the line would be read again for every character
+    bodies = F.slice(F.split(text, r"(?<![^\n])[^\n]*\.type[ \t]+[^,\s]+[ \t]*,[ \t]*@function[^\n]*"), 2, 1 << 30)
     second = F.transform(F.arrays_zip(names.alias("n"), bodies.alias("b")), lambda z: F.struct(z["n"].alias("function"), z["b"].alias("body")))
-    rows = files.select(key, marked.alias("marked"), F.posexplode(F.when(marked, first).otherwise(second)).alias("ord", "f"))
-    # first dialect: any number per line; second: the first one of each line
-    anywhere = r"/\*([0-9a-fA-F]+)\*/\s*(.*?)\s*;"
-    per_line = r"/\*([0-9a-fA-F]+)\*/[^\S\n]*([^\n]*?)[^\S\n]*;[^\n]*"
-    pick = lambda g: F.when(F.col("marked"), F.regexp_extract_all("f.body", F.lit(anywhere), F.lit(g))).otherwise(
-        F.regexp_extract_all("f.body", F.lit(per_line), F.lit(g)))
-    rows = rows.select(key, "ord", "marked", F.col("f.function").alias("function"), pick(1).alias("addrs"), pick(2).alias("texts"))
-    # zipped, not indexed: an index would evaluate the other extraction per element
-    pairs = F.filter(
-        F.transform(F.arrays_zip("addrs", "texts"), lambda z: F.struct(F.lower(z["addrs"]).alias("addr"), _clean(z["texts"]).alias("text"))),
-        lambda x: x["text"] != "")
-    rows = rows.select(key, "ord", "marked", "function", pairs.alias("ins")).where(~F.col("marked") | (F.size("ins") > 0))
-    last = rows.groupBy(key, "function").agg(F.max_by("ins", "ord").alias("ins"), F.min("ord").alias("ord"))
-    return last.select(key, "function", "ord", F.posexplode_outer("ins").alias("idx", "i")).select(
+    return F.when(marked, first).otherwise(second)
+
+
+def _instructions(body: Column, marked: Column) -> Column:
+    """(addr, text) of the instructions in a body. First dialect: any number per line; second: the first one of each line."""
+    anywhere = r"/\*[0-9a-fA-F]+\*/\s*.*?\s*;"
+    per_line = r"/\*[0-9a-fA-F]+\*/[^\n]*?;[^\n]*"
+    # a body is searched once; what is found is cut without patterns
+    found = F.when(marked, F.regexp_extract_all(body, F.lit(anywhere), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(per_line), F.lit(0)))
+    addr = lambda m: F.substring(F.substring_index(m, "*/", 1), 3, 1 << 30)
+    pairs = F.transform(found, lambda m: F.struct(
+        F.lower(addr(m)).alias("addr"), _clean(F.substring_index(F.substr(m, F.length(addr(m)) + 5), ";", 1)).alias("text")))
+    return F.filter(pairs, lambda x: x["text"] != "")
+
+
+def _last_of_each(found: Column, marked: Column) -> Column:
+    """Functions by name: the place of the first of that name, the place and the instructions of the last."""
+    real = F.filter(found, lambda f: ~marked | (F.size(f["ins"]) > 0))
+    named = F.array_sort(F.transform(real, lambda f: F.struct(f["function"].alias("function"), f["ord"].alias("ord"))))
+    same = lambda a, x, i: F.get(a, i)["function"].eqNullSafe(x["function"])
+    return let(named, lambda a: F.zip_with(
+        F.filter(a, lambda x, i: (i == 0) | ~same(a, x, i - 1)), F.filter(a, lambda x, i: (i == F.size(a) - 1) | ~same(a, x, i + 1)),
+        lambda f, z: F.struct(f["function"].alias("function"), f["ord"].alias("ord"), z["ord"].alias("last"), F.get(found, z["ord"])["ins"].alias("ins"))))
+
+
+def read_listings(files: DataFrame, key: str = "code_id", whole: bool = False) -> DataFrame:
+    """(key, function, ord, idx, addr, text) from whole listing texts.
+
+    Two dialects: ``Function :`` markers whose names may span lines, and
+    ``.type name,@function`` lines. A later function of the same name replaces
+    the earlier body; functions without instructions vanish in the first
+    dialect only (the second keeps them as one row without text). With ``whole``, every row of ``files``
+    is a listing of its own, and nothing is shuffled; else rows of one key are one listing.
+    """
+    marked = F.col("marked")
+    rows = files.select(key, "text", F.col("text").contains("Function :").alias("marked"))
+    # outer, and of one element: else the optimizer would filter by the size of what is found, and read every text three times
+    rows = rows.select(key, "marked", F.explode_outer(F.array(_functions(F.col("text"), marked))).alias("parts"))
+    found = F.transform("parts", lambda f, i: F.struct(f["function"].alias("function"), i.alias("ord"), _instructions(f["body"], marked).alias("ins")))
+    rows = rows.select(key, "marked", F.explode_outer(F.array(found)).alias("found"))
+    rows = rows.select(key, F.explode_outer(_last_of_each(F.col("found"), marked)).alias("f")).where(F.col("f").isNotNull())
+    rows = rows.select(key, "f.function", "f.ord", "f.last", "f.ins")
+    if not whole:
+        rows = rows.groupBy(key, "function").agg(F.max_by("ins", "last").alias("ins"), F.min("ord").alias("ord"))
+    return rows.select(key, "function", "ord", F.posexplode_outer("ins").alias("idx", "i")).select(
         key, "function", "ord", "idx", "i.addr", "i.text")

@@ -170,3 +170,21 @@ def test_dictionary_gives_the_same_lines_as_the_rules(spark):
     direct = direct.select("*", T.token_count("line").alias("cost"), T.opcode_normalized("line").alias("op"))
     got = K.normalized_lines(ins, rewrite=True)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_a_listing_is_read_in_its_row(spark):
+    """Later bodies replace earlier ones, empty functions stay in one dialect only, and a file is read once and not shuffled."""
+    body = lambda *xs: "".join(f"        /*{i * 16:04X}*/   {x} ;  /* 0x0 ; */\n" for i, x in enumerate(xs))
+    cu = "".join(f"  Function : {n}\n\t.headerflags\t@\"X\"\n{b}" for n, b in [("a", body("NOP")), ("b", body("EXIT")), ("a", body("MOV\t R1,  R2", "RET")), ("b", ""), ("none", "")])
+    cu += "/*0abc*/ A B; /*0abd*/\n C ;/*0abe*/ ;\n"
+    nv = "".join(f"  .type  {n},@function\n{b}" for n, b in [("x", body("NOP")), ("y", ""), ("x", "/*1*/ P ; /*2*/ Q ;\n/*3*/;\n/*4*/ no end\n/*5*/ Z;")])
+    df = spark.createDataFrame([(1, cu), (2, nv), (3, "nothing"), (4, None)], "code_id long, text string")
+    want = [(1, "a", 0, 0, "0000", "MOV R1, R2"), (1, "a", 0, 1, "0010", "RET"), (1, "b", 1, 0, "0000", "EXIT"), (1, "none", 4, 0, "0abc", "A B"), (1, "none", 4, 1, "0abd", "C"),
+            (2, "x", 0, 0, "1", "P"), (2, "x", 0, 1, "5", "Z"), (2, "y", 1, None, None, None)]
+    for whole in (False, True):
+        rows = C.read_listings(df, whole=whole)
+        assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
+    twice = C.read_listings(df.union(df)).collect()
+    assert sorted(map(tuple, twice), key=str) == sorted(want, key=str)
+    plan = C.read_listings(df, whole=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("regexp_extract_all") == 3  # two dialects of bodies, and names
