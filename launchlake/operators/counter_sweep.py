@@ -79,20 +79,32 @@ def six(values: np.ndarray, has: np.ndarray, low: np.ndarray, high: np.ndarray)
     return [pa.array(row, pa.float64(), mask=sizes == 0) for row in found]
 
 
-def list_stats6(rows: DataFrame, values: str, prefix: str) -> DataFrame:
-    """``rows`` with the six statistics of a list of values in its place."""
-    kept, names = [c for c in rows.columns if c != values], [f"{prefix}_{s}" for s in STATS]
+def list_windows6(rows: DataFrame, prefix: str, width_us: int, step_us: int, count: int) -> DataFrame:
+    """The windows that begin in each stretch of ``rows``: ``start_ns``, rows ``n`` and six statistics, for windows with any row.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``start_us`` is where a stretch and its first of ``count`` windows begin; ``at`` and ``values`` are lists of its rows in one order.
+    ``at`` counts from there, and is ``-1 - at`` where the value is null.
+    """
+    kept, names = [c for c in rows.columns if c not in ("start_us", "at", "values")], [f"{prefix}_{s}" for s in STATS]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(values)
-            ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
-            flat = lists.flatten()
-            stats = six(*numbers(pa.chunked_array([flat], flat.type)), ends[:-1], ends[1:])
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *stats], names=[*kept, *names])
-
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"`{c}` double" for c in names)]
-    return rows.mapInArrow(add, ", ".join(schema))
+            sizes = batch.column("at").value_lengths().to_numpy(zero_copy_only=False)
+            at, values = (batch.column(c).flatten().to_numpy() for c in ("at", "values"))
+            stretch = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 40
+            place = stretch + np.where(at < 0, -1 - at, at)
+            order = np.argsort(place, kind="stable")
+            place, values, has = place[order], values[order], at[order] >= 0
+            begin = ((np.arange(len(sizes), dtype=np.int64) << 40)[:, None] + np.arange(count) * step_us).reshape(-1)
+            low, high = np.searchsorted(place, begin, "left"), np.searchsorted(place, begin + width_us, "left")
+            some = np.flatnonzero(high > low)
+            of, low, high = some // count, low[some], high[some]
+            start = (batch.column("start_us").to_numpy()[of] + some % count * step_us) * 1000
+            own = [c.take(pa.array(of)) for c in batch.select(kept).columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(start), pa.array(high - low), *six(values, has, low, high)], names=[*kept, "start_ns", "n", *names])
+
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "start_ns long", "n long", *(f"`{c}` double" for c in names)]
+    return rows.mapInArrow(cut, ", ".join(schema))
 
 
 def sliding(rows: DataFrame, keys: Sequence[str], values: Sequence[str], spec, width: int) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from launchlake.operators.counter_sweep import list_stats6
+from launchlake.operators.counter_sweep import list_windows6
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
@@ -61,14 +61,21 @@ def stream_drop_stats(events: DataFrame, observed: str = "drops") -> DataFrame:
 
 
 def stream_counter_windows(samples: DataFrame, metric: str, window: str = "60 seconds", step: str = "5 seconds", delay: str = "30 seconds") -> DataFrame:
-    """Event-time windows with a lateness bound, for append mode: a window leaves the state when the watermark passes
-    its end, and a row that comes more than ``delay`` after the newest one is dropped from windows that have left.
+    """Event-time windows with a lateness bound, for append mode: the windows that begin in a stretch of two window lengths leave
+    the state together, when the watermark passes their last end, and a row that comes more than ``delay`` after the newest one is
+    dropped from stretches that have left.
 
     These start on the epoch grid and exclude their end, so they differ from
     the adaptive windows of the batch operator, which start at a run's first
     sample and include both ends.
     """
+    width, each = (pd.Timedelta(x) // pd.Timedelta(microseconds=1) for x in (window, step))
+    count = max(1, 2 * width // each)
+    length = max(count * each, (count - 1) * each + width)
     rows = samples.withColumn("ts", F.timestamp_micros(F.expr("timestamp_ns div 1000"))).withWatermark("ts", delay)
-    # the state of a window is its values: a tenth of what two percentiles keep, and statistics are taken once, when it leaves
-    out = rows.groupBy("run_id", "gpu_uuid", F.window("ts", window, step)).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.col(metric).cast("double")).alias("values"))
-    return list_stats6(out.select("run_id", "gpu_uuid", (F.unix_micros("window.start") * 1000).alias("start_ns"), "n", "values"), "values", "m")
+    # a sample is kept in the one or two stretches it lies in, and not in every window; windows are cut and judged when a stretch leaves
+    rows = rows.select("run_id", "gpu_uuid", "ts", F.col(metric).cast("double").alias("v"), F.window("ts", f"{length} microseconds", f"{count * each} microseconds").alias("w"))
+    at = (F.unix_micros("ts") - F.unix_micros("w.start")).cast("int" if length < 1 << 31 else "long")
+    out = rows.groupBy("run_id", "gpu_uuid", "w").agg(
+        F.collect_list(F.when(F.col("v").isNull(), -1 - at).otherwise(at)).alias("at"), F.collect_list(F.coalesce("v", F.lit(0.0))).alias("values"))
+    return list_windows6(out.select("run_id", "gpu_uuid", F.unix_micros("w.start").alias("start_us"), "at", "values"), "m", width, each, count)

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from launchlake.operators import counters as N
@@ -64,3 +65,30 @@ def test_a_line_of_the_process_monitor_is_split_once(spark):
     parsed = N.parse_process_monitor(lines)
     assert plan(parsed).count("split(") == 1
     assert [(r.gpu_index, r.pid, r.process_name) for r in parsed.orderBy("gpu_index").collect()] == [(i, 7, "a b") for i in range(3)]
+
+
+def test_stream_windows_keep_a_sample_in_two_stretches_at_most(spark):
+    """Batch use of the stream operator: every window of the grid, with nulls counted but not summed; a sample is not kept once per window."""
+    from launchlake.streaming.stateless import stream_counter_windows
+    rnd = np.random.default_rng(5)
+    samples = [(run, "g", int(t), None if rnd.random() < 0.2 else float(v)) for run in (1, 2)
+               for t, v in zip(rnd.integers(-400, 900, 300) * 1_000_000_000 + rnd.integers(0, 3, 300) * 999_999_000, rnd.integers(0, 50, 300))]
+    df = spark.createDataFrame(samples, "run_id long, gpu_uuid string, timestamp_ns long, power double")
+    for window, step in ((60, 5), (60, 7), (5, 60)):
+        out = stream_counter_windows(df, "power", f"{window} seconds", f"{step} seconds")
+        got = {(r.run_id, r.start_ns // 1_000_000_000): r for r in out.collect()}
+        want = {}
+        for run, _, t, v in samples:
+            s = t // 1_000_000_000 // step * step
+            while s * 1_000_000 + window * 1_000_000 > t // 1000:
+                want.setdefault((run, s), []).append(v)
+                s -= step
+        assert set(got) == set(want)
+        for key, values in want.items():
+            real = sorted(v for v in values if v is not None)
+            assert got[key].n == len(values)
+            assert (got[key].m_min, got[key].m_max) == ((real[0], real[-1]) if real else (None, None))
+            assert got[key].m_mean is None if not real else abs(got[key].m_mean - sum(real) / len(real)) < 1e-9
+    plan = stream_counter_windows(df, "power")._jdf.queryExecution().optimizedPlan().toString()
+    expand = next(line for line in plan.split("\n") if "Expand" in line)
+    assert expand.count("named_struct") <= 2
