@@ -148,12 +148,15 @@ def inside(asks: DataFrame, samples: DataFrame, keys: Sequence[str], values: Seq
     """
     group = [*keys, "bucket"]
     out = [c for c in asks.columns if c != "bucket"]
-    rows = samples.unionByName(asks, allowMissingColumns=True)
+    # each side is one column that is null on the other side, so a sample does not carry a number for every column of a window
+    rows = samples.select(*group, "at", F.struct(*values).alias("sample")).unionByName(
+        asks.select(*group, F.struct(*[c for c in out if c not in keys]).alias("ask")), allowMissingColumns=True)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, group):
             at, sampled = numbers(table.column("at"))
-            begin, until = (numbers(table.column(c))[0] for c in ("window_start_ns", "window_end_ns"))
+            own, sample = (pa.table(dict(zip([f.name for f in c.type], c.flatten()))) for c in (table.column("ask").combine_chunks(), table.column("sample").combine_chunks()))
+            begin, until = (numbers(own.column(c))[0] for c in ("window_start_ns", "window_end_ns"))
             low, high, chosen = [], [], []
             for start, end in zip(bounds[:-1], bounds[1:]):
                 cut = start + np.count_nonzero(sampled[start:end])  # samples stand first
@@ -161,9 +164,9 @@ def inside(asks: DataFrame, samples: DataFrame, keys: Sequence[str], values: Seq
                 high.append(start + np.searchsorted(at[start:cut], until[cut:end], "right"))
                 chosen.append(np.arange(cut, end))
             low, high, chosen = (np.concatenate(x) for x in (low, high, chosen))
-            own = table.select(out).take(pa.array(chosen))
-            stats = [s for v in values for s in six(*numbers(table.column(v)), low, high)]
-            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), pa.array(high - low), *stats], names=[*out, count, *names])
+            picked = [(table if c in keys else own).column(c).take(pa.array(chosen)).combine_chunks() for c in out]
+            stats = [s for v in values for s in six(*numbers(sample.column(v)), low, high)]
+            yield pa.RecordBatch.from_arrays([*picked, pa.array(high - low), *stats], names=[*out, count, *names])
 
     names = [f"{v}_{s}" for v in values for s in STATS]
     schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in asks.select(*out).schema), f"{count} long", *(f"`{c}` double" for c in names)]

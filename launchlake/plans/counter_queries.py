@@ -12,6 +12,7 @@ from launchlake.operators import ordered
 from launchlake.plans import views
 from launchlake.plans.registry import query
 from launchlake.plans.views import SQL, sql
+from launchlake.session import materialize
 
 SPEC = N.Sliding(60, 5, 0.6, 1.0)
 # processes are sampled every three seconds
@@ -96,7 +97,9 @@ SELECT run_id, gpu_uuid, pid, window_index, start_ns AS window_start_ns, end_ns
   coalesce(sample_count_device, 0) AS sample_count_device, {', '.join(f'round({c}, 6) AS {c}' for c in _hyb)},
   {', '.join(f'round(device_{c}, 6) AS device_{c}' for c in _names)} FROM hw LEFT JOIN hd USING (run_id, gpu_uuid, pid, window_index)""", "v4", "v4b", "hw"))
 def hybrid_windows(spark, d):
-    return rounded(N.hybrid_windows(views.process_samples(spark, d), views.device_samples(spark, d), PROCESS_SPEC))
+    # put in order and shuffled once for both sides and the span of the runs
+    rows = materialize(views.device_samples(spark, d).drop("n"), "samples")
+    return rounded(N.hybrid_windows(views.process_side(rows), rows, PROCESS_SPEC))
 
 
 @query("join_process_sources", sql("""

@@ -261,7 +261,11 @@ def device_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = device_samples(spark, sf_dir)
+    return process_side(device_samples(spark, sf_dir))
+
+
+def process_side(rows: DataFrame) -> DataFrame:
+    """Process samples beside ``device_samples``."""
     return rows.select(
         "run_id", "gpu_uuid", (100 + F.col("run_id") % 3).alias("pid"),
         (F.col("timestamp_ns") + 300_000_000).alias("timestamp_ns"),

@@ -92,3 +92,37 @@ def test_stream_windows_keep_a_sample_in_two_stretches_at_most(spark):
     plan = stream_counter_windows(df, "power")._jdf.queryExecution().optimizedPlan().toString()
     expand = next(line for line in plan.split("\n") if "Expand" in line)
     assert expand.count("named_struct") <= 2
+
+
+def test_samples_meet_windows_without_their_columns(spark):
+    """What is shuffled of a device sample is its own columns and one null, however many statistics a window brings."""
+    process = spark.createDataFrame([(1, "g", 7, i * SECOND, float(i), 1.0, None) for i in range(100)],
+                                    "run_id long, gpu_uuid string, pid long, timestamp_ns long, process_gpu_utilization_pct double, process_gpu_memory_pct double, host_ram_gb double")
+    device = spark.createDataFrame([(1, "g", i * SECOND // 2, *[float(i % k) for k in (3, 5, 7, 11, 13)]) for i in range(260)],
+                                   "run_id long, gpu_uuid string, timestamp_ns long, " + ", ".join(f"{m} double" for m in N.DEVICE_METRICS))
+    rows = N.hybrid_windows(process, device)
+    got = rows.orderBy("window_index").collect()
+    assert [(r.window_start_ns, r.sample_count_process, r.sample_count_device, r.process_host_ram_gb_mean) for r in got] == [(5 * k * SECOND, 61, 121, None) for k in range(8)]
+    assert all(r.device_temperature_celsius_max == 10 and r.process_gpu_utilization_pct_mean == 5 * r.window_index + 30 for r in got)
+    tree = rows._jdf.queryExecution().optimizedPlan().toString()
+    union = tree[tree.index("Union"):].split("\n")
+    sides = [line for line in union if "Project" in line and "named_struct" in line or "AS sample" in line]
+    assert sides and all(line.count("null AS") <= 2 for line in sides)
+
+
+def test_hybrid_samples_are_put_in_order_once(spark, monkeypatch):
+    from launchlake.plans import views
+    from launchlake.plans.catalog import QUERIES
+    rows = [(1, "gpu0", i, i * SECOND, *[1.0] * 5, 1, 2.0, 3) for i in range(70)]
+    frame = spark.createDataFrame(rows, "run_id long, gpu_uuid string, n long, timestamp_ns long, " + ", ".join(f"{m} double" for m in N.DEVICE_METRICS)
+                                  + ", l_linenumber long, l_quantity double, l_partkey long")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(views, "device_samples", lambda *_: frame.mapInArrow(counted, frame.schema))
+    assert QUERIES["hybrid_interval_join"](spark, "").count() > 0
+    assert reads.value == 70
