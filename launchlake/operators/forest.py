@@ -281,7 +281,8 @@ def walk_of(tables: Sequence[pa.Table], features: int, depth: int) -> Walk:
         cut[inner] = split.field("leftCategoriesOrThreshold").flatten().to_numpy()
         stats = nodes.field("impurityStats").take(pa.array(order)).flatten().to_numpy().reshape(len(order), -1)
         child = np.stack([np.where(inner, first + left, here), np.where(inner, first + right, here)], axis=1)
-        rows.append((np.unique(first), feature, cut, inner, child, stats / stats.sum(axis=1, keepdims=True)))
+        size = stats.sum(axis=1, keepdims=True)
+        rows.append((np.unique(first), feature, cut, inner, child, stats / np.where(size > 0, size, 1)))  # a tree may have drawn no row
         at += len(order)
     roots, feature, cut, inner, child, share = (np.concatenate(x) for x in zip(*rows))
     cuts = [np.unique(cut[inner & (feature == f)]) for f in range(features)]
@@ -307,7 +308,8 @@ def score(rows: DataFrame, walk: Walk, features: Sequence[str]) -> DataFrame:
                 votes = walk.votes(bins[at])[back]
             else:
                 votes = walk.votes(bins)
-            share = votes / votes.sum(axis=1, keepdims=True)
+            size = votes.sum(axis=1, keepdims=True)
+            share = votes / np.where(size > 0, size, 1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(share) + 1, dtype=np.int32) * classes), pa.array(share.reshape(-1)))
             table = table.append_column("probabilities", lists).append_column("prediction", pa.array(votes.argmax(axis=1).astype(float)))
             yield from table.to_batches()
